@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def within_tolerance(left: Column, right: Column, tolerance: float) -> Column:
     )
 
 
+def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often fn mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _nearest(column: Column, scale: Column) -> Column:
     """``column * scale`` to the nearest integer, decided on the exact binary value.
 
@@ -32,44 +39,52 @@ def _nearest(column: Column, scale: Column) -> Column:
     the operand into a 24-bit head and the rest keeps both products exact.
     """
     head = column.cast("float").cast("double")
-    rest = column - head
-    base = F.floor(column * scale).cast("double")
-    excess = (head * scale - (base + 0.5)) + rest * scale
-    return (
-        F.when(excess > 0, base + 1)
-        .when(excess < 0, base)
-        .otherwise(F.when(F.pmod(base, F.lit(2.0)) == 0, base).otherwise(base + 1))
-        .cast("bigint")
-    )
+    floor = F.floor(column * scale).cast("double")
+
+    def decided(parts: Column) -> Column:
+        base = parts["base"]
+        even = F.pmod(base, F.lit(2.0)) == 0
+        up = (parts["excess"] > 0) | ((parts["excess"] == 0) & ~even)
+        return (base + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
+
+    def measured(base: Column) -> Column:
+        excess = (head * scale - (base + 0.5)) + (column - head) * scale
+        return F.struct(base.alias("base"), excess.alias("excess"))
+
+    return _bind(_bind(floor, measured), decided)
+
+
+def _fixed(column: Column, digits: Column) -> Column:
+    unit = F.pow(F.lit(10.0), digits)
+
+    def text(whole: Column) -> Column:
+        scale = unit.cast("bigint")
+        return F.concat(
+            F.floor(whole / scale).cast("string"),
+            F.when(
+                digits > 0,
+                F.concat(F.lit("."), F.lpad(F.pmod(whole, scale).cast("string"), digits, F.lit("0"))),
+            ).otherwise(""),
+        )
+
+    return _bind(_nearest(column, unit), text)
 
 
 def format_fixed(column: Column, digits: int) -> Column:
     """Non-negative number as Python prints it with ``.{digits}f``, for values under 1e12."""
-    whole = _nearest(column, F.lit(float(10**digits)))
-    if digits == 0:
-        return whole.cast("string")
-    unit = F.lit(10**digits).cast("bigint")
-    return F.concat(
-        F.floor(whole / unit).cast("string"),
-        F.lit("."),
-        F.lpad(F.pmod(whole, unit).cast("string"), digits, "0"),
-    )
+    return _fixed(column, F.lit(digits))
 
 
 def format_general(column: Column) -> Column:
     """Non-negative number as Python prints it with ``:g`` (six significant digits)."""
-    text = F.regexp_replace(
-        F.regexp_replace(F.format_string("%.5e", column), r"\.?0*e", "e"), "^0e.*$", "0"
+    exponent = F.floor(F.log10(column)).cast("int")
+    fixed = F.regexp_replace(_fixed(column, F.lit(5) - exponent), r"\.0*$|(\.\d*?)0+$", "$1")
+    scientific = F.regexp_replace(F.format_string("%.5e", column), r"\.?0*e", "e")
+    return (
+        F.when(column == 0, "0")
+        .when((column >= 1e-4) & (column < 999999.5), fixed)
+        .otherwise(scientific)
     )
-    for exponent in range(5, -5, -1):
-        digits = 5 - exponent
-        fixed = format_fixed(column, digits)
-        if digits:
-            fixed = F.regexp_replace(fixed, r"\.?0+$", "")
-        low = F.lit(float(f"1e{exponent}"))
-        high = F.lit(float(f"1e{exponent + 1}"))
-        text = F.when((column >= low) & (column < high), fixed).otherwise(text)
-    return text
 
 
 def format_grouped(column: Column) -> Column:

@@ -197,7 +197,7 @@ def duplicate_differences(ref: DataFrame, cand: DataFrame, keys: Sequence[str])
     def compared(columns_of, column: str | None, detail: str) -> DataFrame:
         a = duplicate_count(ref, columns_of(ref), "a").select("a")
         b = duplicate_count(cand, columns_of(cand), "b").select("b")
-        pair = a.crossJoin(F.broadcast(b))  # one row each
+        pair = a.unionByName(b, allowMissingColumns=True).agg(F.max("a").alias("a"), F.max("b").alias("b"))
         return _rows(
             pair.filter("a != b"), "duplicate_counts", F.lit(column), F.lit("duplicate_explosion"),
             F.col("a"), F.col("b"), F.lit(detail),

@@ -40,6 +40,9 @@ def order_statistics(
     df: DataFrame, keys: Sequence[str], column: str, statistics: Mapping[str, Statistic]
 ) -> DataFrame:
     """One row per group: the keys, ``n`` (values present) and each named statistic."""
+    if not keys:
+        whole = order_statistics(df.withColumn("__all", F.lit(0)), ["__all"], column, statistics)
+        return whole.drop("__all")
     rows = df.select(*keys, F.col(column).cast("double").alias("__v")).filter(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
@@ -61,12 +64,9 @@ def order_statistics(
         bounds[f"__lo_{name}"] = F.when(small, F.col("__min")).otherwise(F.col("__approx")[2 * i])
         bounds[f"__hi_{name}"] = F.when(small, F.col("__max")).otherwise(F.col("__approx")[2 * i + 1])
     brackets = brackets.withColumns(bounds).drop("__min", "__max", "__approx")
-    if keys:
-        group = brackets.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-        pairs = [(rows[k], group[f"__k_{k}"]) for k in keys]
-        joined = rows.join(group, null_safe(pairs)).drop(*[f"__k_{k}" for k in keys])
-    else:
-        joined = rows.crossJoin(F.broadcast(brackets))  # one row
+    group = brackets.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    pairs = [(rows[k], group[f"__k_{k}"]) for k in keys]
+    joined = rows.join(group, null_safe(pairs)).drop(*[f"__k_{k}" for k in keys])
 
     # A row outside every bracket only has to be counted: all rows of one gap share the entry just
     # before the next bracket's lower edge. Rows inside a bracket are counted by value.

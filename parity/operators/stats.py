@@ -130,7 +130,8 @@ def dataset_stats(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     if not usable:
         return rows.withColumn("duplicate_key_count", F.lit(0).cast("bigint"))
     by_key = duplicate_count(df, usable, "duplicate_key_count").drop("row_count")
-    return rows.crossJoin(F.broadcast(by_key))  # one row each
+    parts = rows.unionByName(by_key, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in (*rows.columns, "duplicate_key_count")])
 
 
 def has_duplicates(df: DataFrame, columns: Sequence[str]) -> bool:

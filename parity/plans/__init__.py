@@ -1,4 +1,4 @@
 """The runnable queries, one per operator."""
 
-from parity.plans import frame_queries  # noqa: F401
+from parity.plans import frame_queries, record_queries  # noqa: F401
 from parity.plans.catalog import ORACLE, QUERIES  # noqa: F401

@@ -9,6 +9,7 @@ from parity.functions.text import LINE_END, WHITE_SPACE, fingerprint
 from parity.operators import compare, delivery, evidence, ledger, lifecycle
 from parity.plans import corpus
 from parity.plans.catalog import query, table
+from parity.session import scratch_path
 from parity.sources import records as facts
 
 
@@ -17,6 +18,34 @@ def _with_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.array_join(column, ","))
 
 
+# --- record files -----------------------------------------------------------------------------------
+
+
+@query(
+    "scan_records",
+    f"""
+WITH {corpus.R}, {corpus.CHECKS_SQL}
+SELECT CASE WHEN r.k % 50 <> 0 THEN id END AS migration_id, CASE WHEN r.k % 50 <> 0 THEN st.status END AS status,
+       r.k % 50 <> 0 AS readable FROM r LEFT JOIN (SELECT k, status FROM st) st ON st.k = r.k
+""",
+)
+def scan_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus written as JSON documents, one in fifty cut off in the middle, and read back."""
+    path = scratch_path(spark, "records")
+    records = corpus.newest(spark, sf)
+    k = F.substring("migration_id", 2, 20).cast("bigint")
+    whole = F.to_json(F.struct(*[c for c in records.columns if c != "modified_at"]))
+    cut = F.expr("substring(doc, 1, length(doc) div 2)")
+    documents = records.select(whole.alias("doc"), k.alias("k"))
+    documents.select(F.when(F.col("k") % 50 == 0, cut).otherwise(F.col("doc"))).write.text(path)
+    found = facts.scan_records(spark, path, limit=None, pattern="*.txt", lines=True)
+    return found.select(
+        F.when(F.col("readable"), F.col("migration_id")).alias("migration_id"),
+        F.when(F.col("readable"), facts.validation_status()).alias("status"),
+        "readable",
+    )
+
+
 # --- harvest ----------------------------------------------------------------------------------------
 
 

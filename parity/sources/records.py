@@ -61,29 +61,35 @@ RECORD_FILENAME = "migration_record.json"
 DEFAULT_LIMIT = 200
 
 
-def scan_records(spark: SparkSession, workspace: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """The newest records below a workspace (``*/migration_record.json``), as columns of
-    :func:`record_schema` plus ``path``, ``modified_at`` and ``readable``.
+def scan_records(
+    spark: SparkSession,
+    workspace: str,
+    limit: int | None = DEFAULT_LIMIT,
+    pattern: str = f"*/{RECORD_FILENAME}",
+    lines: bool = False,
+) -> DataFrame:
+    """The newest record files below a workspace, as columns of :func:`record_schema` plus ``path``,
+    ``modified_at`` and ``readable``. A file is one document or, with ``lines``, one per line.
 
     The newest files are chosen from the file listing alone, before any content is read; at most
     ``limit`` paths come to the driver. Documents that do not parse, or lack an id, a source path
     or a creation time, are kept with ``readable`` false so that they can be counted.
     """
-    paths: str | list[str] = f"{workspace.rstrip('/')}/*/{RECORD_FILENAME}"
+    paths: str | list[str] = f"{workspace.rstrip('/')}/{pattern}"
     if limit is not None:
         listing = spark.read.format("binaryFile").load(paths).select("path", "modificationTime")
         newest = listing.orderBy(F.desc("modificationTime"), "path").limit(limit).collect()
         if not newest:
             return spark.createDataFrame([], _scanned_schema())
         paths = [row["path"] for row in newest]
-    text = spark.read.text(paths, wholetext=True).select(
+    text = spark.read.text(paths, wholetext=not lines).select(
         F.from_json("value", record_schema(), {"mode": "PERMISSIVE"}).alias("record"),
+        F.try_parse_json("value").isNotNull().alias("whole"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
     )
-    required = ("migration_id", "source_path")
-    readable = F.lit(True)
-    for name in required:
+    readable = F.col("whole")
+    for name in ("migration_id", "source_path", "created_at"):
         readable = readable & F.col(f"record.{name}").isNotNull()
     return text.select("record.*", "path", "modified_at", readable.alias("readable"))
 

@@ -47,7 +47,20 @@ def has_hot_group(df: DataFrame, keys: Sequence[str], max_group_rows: int | None
     return largest_group(df, keys) > max_group_rows
 
 
+#: More rows than this are not broadcast, whatever their width.
+BROADCAST_LIMIT_ROWS = 1_000_000
+
+
 def broadcastable(df: DataFrame) -> bool:
-    """True when the optimizer knows the frame to be below the broadcast limit."""
+    """True when the frame is known to be below the broadcast limit.
+
+    The optimizer's estimate decides where it is small. It is pessimistic about frames without
+    statistics, so those are measured: rows are read up to the row limit, and their bytes summed.
+    """
     size = estimated_bytes(df)
-    return size is not None and 0 < size < BROADCAST_LIMIT_BYTES
+    if size is not None and size < BROADCAST_LIMIT_BYTES:
+        return True
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    few = df.limit(BROADCAST_LIMIT_ROWS + 1).select(F.octet_length(text).alias("b"))
+    row = few.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return row["n"] <= BROADCAST_LIMIT_ROWS and (row["b"] or 0) < BROADCAST_LIMIT_BYTES

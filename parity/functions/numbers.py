@@ -1,8 +1,10 @@
-"""Numeric expressions whose rounding and printing follow Python and NumPy."""
+"""Numeric expressions whose rounding and printing follow Python and NumPy.
 
-from __future__ import annotations
+The longer ones are written as SQL text: an expression is then one parsed string instead of a hundred
+calls into the JVM. Arguments called ``sql`` are SQL text too.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,76 +19,47 @@ def round_half_even(column: Column, digits: int = 0) -> Column:
     return F.rint(column * scale) / scale
 
 
-def within_tolerance(left: Column, right: Column, tolerance: float) -> Column:
+def within_tolerance(left: str, right: str, tolerance: float) -> str:
     """Relative closeness, never null: both missing is close, one missing is not, equals are."""
-    scale = F.greatest(F.abs(left), F.abs(right), F.lit(MIN_SCALE))
-    return (
-        F.when(left.isNull() | right.isNull(), left.isNull() & right.isNull())
-        .when(left == right, True)
-        .otherwise(F.abs(left - right) / scale <= F.lit(float(tolerance)))
-    )
+    return f"""CASE WHEN {left} IS NULL OR {right} IS NULL THEN {left} IS NULL AND {right} IS NULL
+        WHEN {left} = {right} THEN true
+        ELSE abs({left} - {right}) / greatest(abs({left}), abs({right}), {MIN_SCALE!r}D) <= {float(tolerance)!r}D END"""
 
 
-def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with the value computed once, however often fn mentions it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
+def _bind(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _nearest(column: Column, scale: Column) -> Column:
-    """``column * scale`` to the nearest integer, decided on the exact binary value.
+def _nearest(x: str, scale: str) -> str:
+    """``x * scale`` to the nearest integer, decided on the exact binary value.
 
-    ``column * scale`` alone is already rounded, so a value just under a tie can land on it. Splitting
-    the operand into a 24-bit head and the rest keeps both products exact.
+    The product alone is already rounded, so a value just under a tie can land on it. Splitting the
+    operand into a 24-bit head and the rest keeps both products exact.
     """
-    head = column.cast("float").cast("double")
-    floor = F.floor(column * scale).cast("double")
-
-    def decided(parts: Column) -> Column:
-        base = parts["base"]
-        even = F.pmod(base, F.lit(2.0)) == 0
-        up = (parts["excess"] > 0) | ((parts["excess"] == 0) & ~even)
-        return (base + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
-
-    def measured(base: Column) -> Column:
-        excess = (head * scale - (base + 0.5)) + (column - head) * scale
-        return F.struct(base.alias("base"), excess.alias("excess"))
-
-    return _bind(_bind(floor, measured), decided)
-
-
-def _fixed(column: Column, digits: Column) -> Column:
-    unit = F.pow(F.lit(10.0), digits)
+    head = f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    excess = f"({head} * {scale} - (b + 0.5D)) + ({x} - {head}) * {scale}"
+    up = "e > 0 OR (e = 0 AND pmod(b, 2.0D) <> 0)"
+    decided = _bind("e", excess, f"CAST(b + if({up}, 1.0D, 0.0D) AS BIGINT)")
+    return _bind("b", f"CAST(floor({x} * {scale}) AS DOUBLE)", decided)
 
-    def text(whole: Column) -> Column:
-        scale = unit.cast("bigint")
-        return F.concat(
-            F.floor(whole / scale).cast("string"),
-            F.when(
-                digits > 0,
-                F.concat(F.lit("."), F.lpad(F.pmod(whole, scale).cast("string"), digits, F.lit("0"))),
-            ).otherwise(""),
-        )
 
-    return _bind(_nearest(column, unit), text)
+def _fixed(x: str, digits: str) -> str:
+    unit = f"pow(10.0D, {digits})"
+    tail = f"if({digits} > 0, concat('.', lpad(CAST(pmod(w, u) AS STRING), {digits}, '0')), '')"
+    text = _bind("u", f"CAST({unit} AS BIGINT)", f"concat(CAST(w div u AS STRING), {tail})")
+    return _bind("w", _nearest(x, unit), text)
 
 
-def format_fixed(column: Column, digits: int) -> Column:
+def format_fixed(sql: str, digits: int) -> str:
     """Non-negative number as Python prints it with ``.{digits}f``, for values under 1e12."""
-    return _fixed(column, F.lit(digits))
+    return _bind("x", f"CAST({sql} AS DOUBLE)", _fixed("x", str(digits)))
 
 
-def format_general(column: Column) -> Column:
+def format_general(sql: str) -> str:
     """Non-negative number as Python prints it with ``:g`` (six significant digits)."""
-    exponent = F.floor(F.log10(column)).cast("int")
-    fixed = F.regexp_replace(_fixed(column, F.lit(5) - exponent), r"\.0*$|(\.\d*?)0+$", "$1")
-    scientific = F.regexp_replace(F.format_string("%.5e", column), r"\.?0*e", "e")
-    return (
-        F.when(column == 0, "0")
-        .when((column >= 1e-4) & (column < 999999.5), fixed)
-        .otherwise(scientific)
-    )
-
-
-def format_grouped(column: Column) -> Column:
-    """Integer with thousands separators."""
-    return F.format_number(column, 0)
+    exponent = "CAST(floor(log10(x)) AS INT)"
+    fixed = f"regexp_replace({_fixed('x', f'(5 - {exponent})')}, r'\\.0*$|(\\.\\d*?)0+$', '$1')"
+    scientific = r"regexp_replace(format_string('%.5e', x), r'\.?0*e', 'e')"
+    text = f"CASE WHEN x = 0 THEN '0' WHEN x >= 1e-4D AND x < 999999.5D THEN {fixed} ELSE {scientific} END"
+    return _bind("x", f"CAST({sql} AS DOUBLE)", text)

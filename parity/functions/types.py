@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,22 +27,31 @@ def is_numeric(dtype: T.DataType) -> bool:
     return dtype_family(dtype) in ("boolean", "integer", "float")
 
 
-def as_double(column: Column, dtype: T.DataType) -> Column:
-    """A numeric or boolean column as double."""
-    if isinstance(dtype, T.BooleanType):
-        return column.cast("int").cast("double")
-    return column.cast("double")
+def quoted(name: str) -> str:
+    """A column name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal_sql(text: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double_sql(sql: str, dtype: T.DataType) -> str:
+    """A numeric or boolean value as double."""
+    inner = f"CAST({sql} AS INT)" if isinstance(dtype, T.BooleanType) else sql
+    return f"CAST({inner} AS DOUBLE)"
 
 
-def as_text(column: Column, dtype: T.DataType) -> Column:
+def text_sql(sql: str, dtype: T.DataType) -> str:
     """Injective text form of a value: equal text exactly when the values are equal."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return (column + F.lit(0.0).cast(dtype)).cast("string")
+        return f"CAST({sql} + CAST(0 AS {dtype.simpleString()}) AS STRING)"  # -0.0 is 0.0
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(column)
+        return f"to_json({sql})"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(column)
-    return column.cast("string")
+        return f"hex({sql})"
+    return f"CAST({sql} AS STRING)"
 
 
 def normalize(df: DataFrame) -> DataFrame:

@@ -169,54 +169,47 @@ def kept_speedup(attempts: DataFrame, subject: str, speedup: str) -> DataFrame:
     return attempts.groupBy(subject).agg(F.coalesce(kept, F.lit(1.0)).alias("kept_speedup"))
 
 
-# --- timings as an array: the few runs one record holds -------------------------------------------------
+# --- timings as an array: the few runs one record holds (SQL text in, SQL text out) ---------------------
 
 
-def array_median(durations: Column) -> Column:
+def array_median(durations: str) -> str:
     """Median of a short array, 0.0 when empty or missing."""
-    ordered, n = F.array_sort(durations), F.size(durations)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.ceil((n - 1) / 2).cast("int"))
-    return F.when(durations.isNull() | (n == 0), 0.0).otherwise((low + high) / 2)
+    middle = "(o[(size(o) - 1) div 2] + o[size(o) div 2]) / 2"
+    return f"transform(array(array_sort({durations})), o -> if(size(o) > 0, {middle}, 0.0D))[0]"
 
 
-def array_p75(durations: Column) -> Column:
-    ordered, n = F.array_sort(durations), F.size(durations)
-    at = F.get(ordered, F.rint((n - 1) * 0.75).cast("int"))
-    return F.when(durations.isNull() | (n == 0), 0.0).otherwise(at)
+def array_p75(durations: str) -> str:
+    at = "o[CAST(rint((size(o) - 1) * 0.75D) AS INT)]"
+    return f"transform(array(array_sort({durations})), o -> if(size(o) > 0, {at}, 0.0D))[0]"
 
 
-def array_noise(durations: Column) -> Column:
-    median = array_median(durations)
-    deviations = F.transform(durations, lambda d: F.abs(d - median))
-    ratio = MAD_SCALE * array_median(deviations) / median
-    return F.when(durations.isNull() | (F.size(durations) < 2) | (median <= 0), 0.0).otherwise(ratio)
+def array_noise(durations: str) -> str:
+    deviations = array_median(f"transform({durations}, v -> abs(v - m))")
+    ratio = f"if(size({durations}) > 1 AND m > 0, {MAD_SCALE}D * {deviations} / m, 0.0D)"
+    return f"transform(array({array_median(durations)}), m -> {ratio})[0]"
 
 
-def array_samples(durations: Column) -> Column:
-    return F.coalesce(F.size(durations), F.lit(0))
-
-
-def array_speedup(baseline: Column, candidate: Column) -> Column:
+def array_speedup(baseline: str, candidate: str) -> str:
     """Baseline median over candidate median, 0.0 when either is not positive."""
-    b, c = array_median(baseline), array_median(candidate)
-    return F.when((b > 0) & (c > 0), b / c).otherwise(0.0)
+    medians = f"array(struct({array_median(baseline)} AS b, {array_median(candidate)} AS c))"
+    return f"transform({medians}, p -> if(p.b > 0 AND p.c > 0, p.b / p.c, 0.0D))[0]"
 
 
 def judged_attempts(attempts: DataFrame) -> DataFrame:
     """Optimisation attempts with the verdict columns of their measured comparison (null without one)."""
     columns = {}
     for prefix, side in (("base", "baseline"), ("cand", "candidate")):
-        durations = F.col(f"comparison.{side}.durations")
-        columns |= {
-            f"{prefix}_samples": F.when(F.size(durations) > 0, F.size(durations)).otherwise(0),
-            f"{prefix}_failed": F.coalesce(F.col(f"comparison.{side}.failed"), F.lit(False)),
-            f"{prefix}_median": array_median(durations),
-            f"{prefix}_p75": array_p75(durations),
-            f"{prefix}_noise_ratio": array_noise(durations),
+        durations = f"comparison.{side}.durations"
+        texts = {
+            "samples": f"greatest(coalesce(size({durations}), 0), 0)",
+            "failed": f"coalesce(comparison.{side}.failed, false)",
+            "median": array_median(durations),
+            "p75": array_p75(durations),
+            "noise_ratio": array_noise(durations),
         }
+        columns |= {f"{prefix}_{name}": F.expr(text) for name, text in texts.items()}
     return judged(
         attempts.withColumns(columns),
-        F.coalesce("comparison.min_speedup", F.lit(MIN_SPEEDUP)),
-        F.coalesce("comparison.max_noise_ratio", F.lit(MAX_NOISE_RATIO)),
+        F.expr(f"coalesce(comparison.min_speedup, {MIN_SPEEDUP}D)"),
+        F.expr(f"coalesce(comparison.max_noise_ratio, {MAX_NOISE_RATIO}D)"),
     )

@@ -14,11 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.functions.numbers import format_general, within_tolerance
-from parity.functions.types import as_double, as_text, dtype_family, is_numeric, normalize
+from parity.functions.numbers import within_tolerance
+from parity.functions.types import (
+    double_sql,
+    dtype_family,
+    is_numeric,
+    literal_sql,
+    normalize,
+    quoted,
+    text_sql,
+)
 from parity.operators.align import BLOCK, aligned
-from parity.operators.joins import null_safe
-from parity.operators.positions import text_key
 from parity.operators.stats import (
     distinct_counts,
     duplicate_count,
@@ -49,7 +55,6 @@ DEFAULT_TOLERANCE = 1e-9
 MAX_SAMPLES = 10
 
 DIFFERENCE = "check string, column string, category string, reference string, candidate string, detail string"
-CHECK = "name string, passed boolean, skipped boolean, detail string"
 
 
 @dataclass(frozen=True)
@@ -107,7 +112,7 @@ def schema_differences(ref: DataFrame, cand: DataFrame) -> DataFrame:
 def _side_by_side(ref: DataFrame, cand: DataFrame, columns: Sequence[str], portable: bool) -> DataFrame:
     """The measures of both sides, ``r_*`` and ``c_*``, one row per shared column."""
     left, right = (
-        frame.select(*[F.col(c).alias(prefix + c) for c in frame.columns])
+        frame.selectExpr(*[f"{c} AS {prefix}{c}" for c in frame.columns])
         for prefix, frame in (
             ("r_", measures(ref, columns, portable)),
             ("c_", measures(cand, columns, portable)),
@@ -116,78 +121,70 @@ def _side_by_side(ref: DataFrame, cand: DataFrame, columns: Sequence[str], porta
     return left.join(right, F.col("r_column") == F.col("c_column"))
 
 
-def row_count_differences(both: DataFrame) -> DataFrame:
-    a, b = F.col("r_row_count"), F.col("c_row_count")
-    delta = F.format_string("row counts differ by %+d", b - a)
-    one = both.filter((F.col("r_ordinal") == 0) & (a != b))
-    return _rows(one, "row_count", F.lit(None), F.lit("null_semantics"), a, b, delta)
-
+def _difference(check: str, column: str, category: str, reference: str, candidate: str, detail: str) -> str:
+    """SQL text of one difference; every argument but the check is SQL text."""
+    named = {"check": f"'{check}'", "column": column, "category": category, "reference": reference}
+    named |= {"candidate": candidate, "detail": detail}
+    return "struct(" + ", ".join(f"CAST({v} AS STRING) AS {k}" for k, v in named.items()) + ")"
 
-def null_count_differences(both: DataFrame) -> DataFrame:
-    a, b = F.col("r_null_count"), F.col("c_null_count")
-    return _rows(
-        both.filter(a != b), "null_counts", F.col("r_column"), F.lit("null_semantics"), a, b,
-        F.lit("null counts differ"),
-    )
 
+#: Checks that the measures of the two sides answer between them.
+ONE_PASS_CHECKS = ("row_count", "null_counts", "aggregate_checksums", "column_statistics")
 
-def checksum_differences(both: DataFrame, tolerance: float) -> DataFrame:
-    """Totals of numeric columns by tolerance; the multiset of values and the null count otherwise."""
-    numeric = F.col("r_is_numeric") & F.col("c_is_numeric")
-    a, b = F.coalesce("r_total", F.lit(0.0)), F.coalesce("c_total", F.lit(0.0))
-    same_values = (F.col("r_checksum") == F.col("c_checksum")) & (
-        F.col("r_null_count") == F.col("c_null_count")
-    )
-    # a checksum alone can collide between multisets of different size
-    same_values &= F.col("r_row_count") == F.col("c_row_count")
-    differs = F.when(numeric, ~within_tolerance(a, b, tolerance)).otherwise(~same_values)
-    return _rows(
-        both.filter(differs),
-        "aggregate_checksums",
-        F.col("r_column"),
-        F.when(numeric, "floating_point"),
-        F.when(numeric, a.cast("string")).otherwise(F.col("r_checksum").cast("string")),
-        F.when(numeric, b.cast("string")).otherwise(F.col("c_checksum").cast("string")),
-        F.when(numeric, "column totals differ beyond tolerance").otherwise("column values differ"),
-    )
 
+def measured_differences(both: DataFrame, checks: Sequence[str], tolerance: float) -> DataFrame:
+    """Differences of all the checks that need one aggregation per side, from one reading of it.
 
-def statistics_differences(
-    both: DataFrame, ref: DataFrame, cand: DataFrame, columns: Sequence[str], tolerance: float
-) -> DataFrame:
-    """Min, max and mean of numeric columns by tolerance; distinct counts of the others."""
-    numeric = F.col("r_is_numeric") & F.col("c_is_numeric")
-    known = F.col("r_total").isNotNull() & F.col("c_total").isNotNull()
-    cells = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), F.col(f"r_{c}").alias("a"), F.col(f"c_{c}").alias("b"))
-            for label, c in (("min", "low"), ("max", "high"), ("mean", "mean"))
-        ]
-    )
-    long = both.filter(numeric & known).select("r_column", F.inline(cells))
-    moved = _rows(
-        long.filter(~within_tolerance(F.col("a"), F.col("b"), tolerance)),
-        "column_statistics",
-        F.col("r_column"),
-        F.lit("floating_point"),
-        F.concat_ws("=", "label", F.col("a").cast("string")),
-        F.concat_ws("=", "label", F.col("b").cast("string")),
-        F.concat(F.col("label"), F.lit(" differs beyond tolerance")),
-    )
-    types = [(ref.schema[c].dataType, cand.schema[c].dataType) for c in columns]
+    Row counts are equal or not; null counts per column; totals of numeric columns by tolerance, of
+    other columns the multiset of values and the null count; min, max and mean by tolerance.
+    """
+    numeric = "(r_is_numeric AND c_is_numeric)"
+    found: list[tuple[str, str]] = []
+    if "row_count" in checks:
+        text = "format_string('row counts differ by %+d', c_row_count - r_row_count)"
+        row = _difference("row_count", "NULL", "'null_semantics'", "r_row_count", "c_row_count", text)
+        found.append(("r_ordinal = 0 AND r_row_count <> c_row_count", row))
+    if "null_counts" in checks:
+        row = _difference(
+            "null_counts", "r_column", "'null_semantics'", "r_null_count", "c_null_count", "'null counts differ'"
+        )
+        found.append(("r_null_count <> c_null_count", row))
+    if "aggregate_checksums" in checks:
+        a, b = (f"coalesce({s}_total, 0.0D)" for s in "rc")
+        text = "'column totals differ beyond tolerance'"
+        row = _difference("aggregate_checksums", "r_column", "'floating_point'", a, b, text)
+        found.append((f"{numeric} AND NOT ({within_tolerance(a, b, tolerance)})", row))
+        same = "r_checksum = c_checksum AND r_null_count = c_null_count AND r_row_count = c_row_count"
+        row = _difference(
+            "aggregate_checksums", "r_column", "NULL", "r_checksum", "c_checksum", "'column values differ'"
+        )
+        found.append((f"NOT {numeric} AND NOT ({same})", row))
+    if "column_statistics" in checks:
+        for label, column in (("min", "low"), ("max", "high"), ("mean", "mean")):
+            a, b = f"r_{column}", f"c_{column}"
+            row = _difference(
+                "column_statistics", "r_column", "'floating_point'", f"concat('{label}=', {a})",
+                f"concat('{label}=', {b})", f"'{label} differs beyond tolerance'",
+            )
+            known = f"{numeric} AND r_total IS NOT NULL AND c_total IS NOT NULL"
+            found.append((f"{known} AND NOT ({within_tolerance(a, b, tolerance)})", row))
+    rows = ", ".join(f"if({condition}, {row}, NULL)" for condition, row in found)
+    return both.selectExpr(f"inline(array_compact(array({rows})))")
+
+
+def distinct_differences(ref: DataFrame, cand: DataFrame, columns: Sequence[str]) -> DataFrame | None:
+    """Distinct counts of the columns that are not numeric on both sides."""
     others = [
-        c for c, (a, b) in zip(columns, types, strict=True) if not (is_numeric(a) and is_numeric(b))
+        c for c in columns if not (is_numeric(ref.schema[c].dataType) and is_numeric(cand.schema[c].dataType))
     ]
     if not others:
-        return moved
+        return None
     a = distinct_counts(ref, others).withColumnRenamed("distinct_count", "a")
     b = distinct_counts(cand, others).withColumnRenamed("distinct_count", "b")
     counts = a.join(b, "column", "full").fillna(0, ["a", "b"])
-    return moved.unionByName(
-        _rows(
-            counts.filter("a != b"), "column_statistics", F.col("column"), F.lit(None), F.col("a"),
-            F.col("b"), F.lit("distinct value counts differ"),
-        )
+    return _rows(
+        counts.filter("a != b"), "column_statistics", F.col("column"), F.lit(None), F.col("a"), F.col("b"),
+        F.lit("distinct value counts differ"),
     )
 
 
@@ -214,31 +211,31 @@ def duplicate_differences(ref: DataFrame, cand: DataFrame, keys: Sequence[str])
 # --- record by record ----------------------------------------------------------------------------
 
 
-def _mismatch(left: Column, right: Column, lt: T.DataType, rt: T.DataType, tolerance: float) -> Column:
+def _mismatch(left: str, right: str, lt: T.DataType, rt: T.DataType, tolerance: float) -> str:
     if is_numeric(lt) and is_numeric(rt):
-        return ~within_tolerance(as_double(left, lt), as_double(right, rt), tolerance)
+        return f"NOT ({within_tolerance(double_sql(left, lt), double_sql(right, rt), tolerance)})"
     if dtype_family(lt) != dtype_family(rt):
-        return ~(left.isNull() & right.isNull())
+        return f"NOT ({left} IS NULL AND {right} IS NULL)"
     if isinstance(lt, T.MapType):
-        left, right = as_text(left, lt), as_text(right, rt)
-    return ~left.eqNullSafe(right)
+        left, right = text_sql(left, lt), text_sql(right, rt)
+    return f"NOT ({left} <=> {right})"
 
 
 def _mismatched_cells(
-    ref: DataFrame, cand: DataFrame, columns: Sequence[str], left, right, tolerance: float
-) -> Column:
-    """Array of the cells that differ, so that only those become rows."""
+    ref: DataFrame, cand: DataFrame, columns: Sequence[str], left: str, right: str, tolerance: float
+) -> str:
+    """Array of the cells that differ, so that only those become rows. ``left`` and ``right`` name the
+    structs that hold the two sides' values."""
     cells = []
     for i, c in enumerate(columns):
         lt, rt = ref.schema[c].dataType, cand.schema[c].dataType
-        cell = F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(c).alias("column"),
-            as_text(left(c), lt).alias("reference"),
-            as_text(right(c), rt).alias("candidate"),
+        a, b = f"{left}.{quoted(c)}", f"{right}.{quoted(c)}"
+        cell = (
+            f"struct({i} AS ordinal, {literal_sql(c)} AS column, {text_sql(a, lt)} AS reference, "
+            f"{text_sql(b, rt)} AS candidate)"
         )
-        cells.append(F.when(_mismatch(left(c), right(c), lt, rt, tolerance), cell))
-    return F.array_compact(F.array(*cells))
+        cells.append(f"if({_mismatch(a, b, lt, rt, tolerance)}, {cell}, NULL)")
+    return f"array_compact(array({', '.join(cells)}))"
 
 
 def keyed_cells(
@@ -250,41 +247,38 @@ def keyed_cells(
     One null-safe full join; only differing cells are turned into rows.
     """
     columns = [c for c in _shared(ref, cand) if c not in keys]
-    left = ref.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in (*keys, *columns)], F.lit(1).alias("__r"))
-    right = cand.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in (*keys, *columns)], F.lit(1).alias("__c"))
-    on = null_safe([(left[f"r_{k}"], right[f"c_{k}"]) for k in keys])
-    joined = left.join(right, on, "full")
-    # the presence markers also keep the join from being read as a filter on one side
-    only_l, only_r = F.col("__c").isNull(), F.col("__r").isNull()
-    keyed = joined.withColumns(
-        {f"__k_{k}": F.when(only_r, F.col(f"c_{k}")).otherwise(F.col(f"r_{k}")) for k in keys}
-    )
-    parts = [
-        F.concat(F.lit(f"{k}="), F.coalesce(as_text(F.col(f"__k_{k}"), ref.schema[k].dataType), F.lit("None")))
-        for k in keys
-    ]
-    key = F.concat_ws(", ", *parts)
-    nothing = F.lit(None).cast("string")
-
-    def whole_row(side: str) -> Column:
-        return F.array(
-            F.struct(
-                F.lit(-1).alias("ordinal"),
-                nothing.alias("column"),
-                (key if side == "left_only" else F.lit("absent")).alias("reference"),
-                (F.lit("absent") if side == "left_only" else key).alias("candidate"),
-            )
-        )
 
-    kind = F.when(only_l, "left_only").when(only_r, "right_only").otherwise("cell")
-    if columns:
-        cells = _mismatched_cells(
-            ref, cand, columns, lambda c: F.col(f"r_{c}"), lambda c: F.col(f"c_{c}"), tolerance
+    def side(df: DataFrame, name: str) -> DataFrame:
+        values = ", ".join(quoted(c) for c in (*keys, *columns))
+        return df.selectExpr(*[f"{quoted(k)} AS __{name}{i}" for i, k in enumerate(keys)], f"struct({values}) AS {name}")
+
+    left, right = side(ref, "r"), side(cand, "c")
+    on = " AND ".join(f"__r{i} <=> __c{i}" for i in range(len(keys)))
+    joined = left.join(right, F.expr(on), "full")
+    parts = []
+    for i, k in enumerate(keys):
+        value = f"if(r IS NULL, __c{i}, __r{i})"
+        text = f"coalesce({text_sql(value, ref.schema[k].dataType)}, 'None')"
+        parts.append(f"concat({literal_sql(k + '=')}, {text})")
+    keyed = joined.selectExpr("r", "c", f"concat_ws(', ', {', '.join(parts)}) AS key")
+
+    def whole_row(reference: str, candidate: str) -> str:
+        return (
+            f"array(struct(-1 AS ordinal, CAST(NULL AS STRING) AS column, {reference} AS reference, "
+            f"{candidate} AS candidate))"
         )
-    else:
-        cells = F.filter(whole_row("left_only"), lambda _: F.lit(False))
-    found = F.when(only_l, whole_row("left_only")).when(only_r, whole_row("right_only")).otherwise(cells)
-    return keyed.select(kind.alias("kind"), key.alias("key"), F.inline(found))
+
+    only_left, only_right = whole_row("key", "'absent'"), whole_row("'absent'", "key")
+    cells = (
+        _mismatched_cells(ref, cand, columns, "r", "c", tolerance)
+        if columns
+        else f"filter({only_left}, x -> false)"
+    )
+    return keyed.selectExpr(
+        "CASE WHEN c IS NULL THEN 'left_only' WHEN r IS NULL THEN 'right_only' ELSE 'cell' END AS kind",
+        "key",
+        f"inline(CASE WHEN c IS NULL THEN {only_left} WHEN r IS NULL THEN {only_right} ELSE {cells} END)",
+    )
 
 
 def keyed_summary(cells: DataFrame) -> DataFrame:
@@ -301,10 +295,8 @@ def sorted_cells(
     """
     columns = _shared(ref, cand)
     left, right = ref.select(*columns), cand.select(*columns)
-    cells = _mismatched_cells(
-        left, right, columns, lambda c: F.col("r").getField(c), lambda c: F.col("c").getField(c), tolerance
-    )
-    return aligned(left, right, columns, block).select("pos", "n", F.inline(cells))
+    cells = _mismatched_cells(left, right, columns, "r", "c", tolerance)
+    return aligned(left, right, columns, block).selectExpr("pos", "n", f"inline({cells})")
 
 
 def samples(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int = MAX_SAMPLES) -> DataFrame:
@@ -462,34 +454,34 @@ def compare(
     spark = reference.sparkSession
     ref, cand = normalize(reference), normalize(candidate)
     columns = _shared(ref, cand)
-    both = _side_by_side(ref, cand, columns, portable_checksum) if columns else None
-    details: dict[str, tuple[DataFrame | None, str]] = {}
+    parts: list[DataFrame] = []
+    rows: list[tuple[str, bool, str]] = []
+    one_pass = [c for c in dict.fromkeys(checks) if c in ONE_PASS_CHECKS]
+    if one_pass and columns:
+        both = _side_by_side(ref, cand, columns, portable_checksum)
+        parts.append(measured_differences(both, one_pass, tolerance))
     for name in dict.fromkeys(checks):
+        skipped = False
         if name not in KNOWN_CHECKS:
-            details[name] = (None, f"unknown check; known checks: {', '.join(sorted(KNOWN_CHECKS))}")
+            skipped, text = True, f"unknown check; known checks: {', '.join(sorted(KNOWN_CHECKS))}"
         elif name == "schema":
-            found = schema_differences(ref, cand)
-            details[name] = (found, f"{len(ref.columns)} reference, {len(cand.columns)} candidate columns")
+            parts.append(schema_differences(ref, cand))
+            text = f"{len(ref.columns)} reference, {len(cand.columns)} candidate columns"
         elif name == "duplicate_counts":
-            details[name] = (duplicate_differences(ref, cand, keys), "full rows and declared keys")
+            parts.append(duplicate_differences(ref, cand, keys))
+            text = "full rows and declared keys"
         elif name == "numeric_tolerance":
-            details[name] = record_check(ref, cand, keys, tolerance, n)
-        elif both is None:
-            details[name] = (None, "no shared columns")
-        elif name == "row_count":
-            details[name] = (row_count_differences(both), "rows on both sides")
-        elif name == "null_counts":
-            details[name] = (null_count_differences(both), f"{len(columns)} shared columns")
-        elif name == "aggregate_checksums":
-            details[name] = (checksum_differences(both, tolerance), f"{len(columns)} shared columns")
+            found, text = record_check(ref, cand, keys, tolerance, n)
+            skipped = found is None
+            if found is not None:
+                parts.append(found)
         else:
-            found = statistics_differences(both, ref, cand, columns, tolerance)
-            details[name] = (found, "min, max and mean of numeric columns, distinct counts otherwise")
-    parts = [d for d, _ in details.values() if d is not None]
-    differences = (
-        reduce(DataFrame.unionByName, parts) if parts else literal_rows(spark, DIFFERENCE, [])
-    )
-    rows = [(name, found is None, text) for name, (found, text) in details.items()]
+            skipped, text = not columns, f"{len(columns)} shared columns"
+            distinct = distinct_differences(ref, cand, columns) if name == "column_statistics" else None
+            if distinct is not None:
+                parts.append(distinct)
+        rows.append((name, skipped, text))
+    differences = reduce(DataFrame.unionByName, parts) if parts else literal_rows(spark, DIFFERENCE, [])
     declared = literal_rows(spark, "name string, skipped boolean, detail string", rows)
     counts = differences.groupBy("check").agg(F.count(F.lit(1)).alias("__n"))
     results = declared.join(counts, F.col("name") == F.col("check"), "left").select(
@@ -499,13 +491,3 @@ def compare(
         "detail",
     )
     return Comparison(results, differences, verdict(results))
-
-
-__all__ = [
-    "CHECK", "DEFAULT_CHECKS", "DEFAULT_TOLERANCE", "DIFFERENCE", "KNOWN_CHECKS", "Comparison",
-    "by_category", "checksum_differences", "compare", "duplicate_differences", "error_verdict",
-    "format_general", "keyed_cells", "keyed_differences", "keyed_summary", "null_count_differences",
-    "record_check", "required_checks", "row_count_differences", "samples", "schema_differences",
-    "sorted_cells", "sorted_differences", "statistics_differences", "summary", "text_key", "verdict",
-    "with_external_check",
-]

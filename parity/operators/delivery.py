@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.numbers import format_fixed, format_general, format_grouped
+from parity.functions.numbers import format_fixed, format_general
 from parity.operators.bench import array_median
 from parity.operators.lifecycle import record_risk
 from parity.sources.records import (
-    duration_of,
     explode_checks,
     explode_differences,
     semantic_differences,
@@ -112,78 +111,61 @@ def extract_claims(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.inline(found))
 
 
-def outcome_speedup() -> Column:
-    """The kept speedup of a record's optimisation, 1.0 when nothing was kept."""
-    final = array_median(F.col("optimization.final.durations"))
-    base = array_median(F.col("optimization.baseline.durations"))
-    kept = (
-        F.coalesce("optimization.applied", F.lit(False))
-        & F.col("optimization.baseline").isNotNull()
-        & F.col("optimization.final").isNotNull()
-        & (final > 0)
+def outcome_speedup() -> str:
+    """SQL text of the kept speedup of a record's optimisation, 1.0 when nothing was kept."""
+    medians = (
+        f"array(struct({array_median('optimization.baseline.durations')} AS b, "
+        f"{array_median('optimization.final.durations')} AS f))"
     )
-    return F.when(kept, base / final).otherwise(1.0)
+    kept = "optimization.applied AND optimization.baseline IS NOT NULL AND optimization.final IS NOT NULL"
+    return f"if({kept}, transform({medians}, p -> if(p.f > 0, p.b / p.f, 1.0D))[0], 1.0D)"
 
 
-def _ratio_texts(value: Column) -> list[Column]:
-    return [format_fixed(value, 2), format_fixed(value, 1), format_general(value)]
+def _entries(kind: str, *values: str) -> str:
+    return "array(" + ", ".join(f"struct('{kind}' AS kind, string({v}) AS value)" for v in values) + ")"
 
 
-def supported_numbers(records: DataFrame) -> DataFrame:
-    """``id, kind, value``: every text a record supports, each once."""
+def _ratio_entries(value: str) -> str:
+    return _entries("speedup", format_fixed(value, 2), format_fixed(value, 1), format_general(value))
 
-    def entries(kind: str, *values: Column) -> Column:
-        return F.array(
-            *[F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value")) for v in values]
-        )
 
-    checks = F.col("validation.report.checks")
-    n = F.coalesce(F.size(checks), F.lit(0))
-    n = F.when(checks.isNull(), 0).otherwise(n)
-    passed = F.size(F.filter(checks, lambda c: c["passed"]))
-    failed = F.size(F.filter(checks, lambda c: ~c["passed"]))
-    found = F.aggregate(checks, F.lit(0), lambda t, c: t + F.greatest(F.size(c["differences"]), F.lit(0)))
-    ref, cand = F.col("validation.report.reference.row_count"), F.col("validation.report.candidate.row_count")
-    run = F.col("validation.test_run")
-    has_optimization, validated = F.col("optimization").isNotNull(), F.col("validation").isNotNull()
-    predicted = F.flatten(
-        F.transform(
-            F.coalesce(
-                F.col("optimization.attempts"),
-                F.array().cast(records.schema["optimization"].dataType["attempts"].dataType),
-            ),
-            lambda a: entries("speedup", *_ratio_texts(a["strategy"]["expected_speedup"])),
-        )
-    )
-    nothing = F.filter(entries("", F.lit("")), lambda _: F.lit(False))
-    parts = [
-        *[entries(kind, *[F.lit(v) for v in values]) for kind, values in ALWAYS_SUPPORTED.items()],
-        F.when(
-            has_optimization,
-            F.concat(
-                entries("speedup", *_ratio_texts(outcome_speedup())),
-                entries("attempts", F.size("optimization.attempts")),
+def supported_numbers(records: DataFrame) -> DataFrame:
+    """``id, kind, value``: every text a record supports, each once."""
+    checks, run = "coalesce(validation.report.checks, array())", "validation.test_run"
+    found = f"aggregate({checks}, 0, (n, c) -> n + greatest(coalesce(size(c.differences), 0), 0))"
+    declared = "coalesce(size(flatten(transform(plan.steps, s -> s.semantic_differences))), 0)"
+    counts = [f"validation.report.{side}.row_count" for side in ("reference", "candidate")]
+    parts = {
+        "true": [_entries(k, *[f"'{v}'" for v in values]) for k, values in ALWAYS_SUPPORTED.items()],
+        "optimization IS NOT NULL": [
+            _ratio_entries(outcome_speedup()),
+            _entries("attempts", "coalesce(size(optimization.attempts), 0)"),
+            f"flatten(transform(coalesce(optimization.attempts, array()), "
+            f"a -> {_ratio_entries('a.strategy.expected_speedup')}))",
+        ],
+        "validation IS NOT NULL": [
+            _entries(
+                "checks", f"size({checks})", f"size(filter({checks}, c -> c.passed))",
+                f"size(filter({checks}, c -> NOT c.passed))",
             ),
-        ).otherwise(nothing),
-        predicted,
-        F.when(
-            validated,
-            F.concat(
-                entries("checks", n, F.coalesce(passed, F.lit(0)), F.coalesce(failed, F.lit(0))),
-                entries("differences", F.coalesce(found, F.lit(0))),
-                entries("rows", ref, format_grouped(ref), cand, format_grouped(cand)),
-                F.when(
-                    run.isNotNull(),
-                    entries("tests", run["passed"], run["failed"], run["errors"],
-                            run["passed"] + run["failed"] + run["errors"] + run["skipped"]),
-                ).otherwise(nothing),
+            _entries("differences", found),
+            _entries("rows", *counts, *[f"format_number({c}, 0)" for c in counts]),
+        ],
+        f"{run} IS NOT NULL": [
+            _entries(
+                "tests", f"{run}.passed", f"{run}.failed", f"{run}.errors",
+                f"{run}.passed + {run}.failed + {run}.errors + {run}.skipped",
             ),
-        ).otherwise(nothing),
-        F.when(F.col("plan").isNotNull(), entries("differences", F.coalesce(F.size(semantic_differences()), F.lit(0)))).otherwise(nothing),
-        F.when(F.col("repair").isNotNull(), entries("attempts", F.coalesce(F.size("repair.attempts"), F.lit(0)))).otherwise(nothing),
-    ]
-    every = F.array_distinct(F.filter(F.concat(*parts), lambda e: e["value"].isNotNull()))
-    return records.select(F.col("migration_id").alias("id"), F.inline(every))
+        ],
+        "plan IS NOT NULL": [_entries("differences", declared)],
+        "repair IS NOT NULL": [_entries("attempts", "coalesce(size(repair.attempts), 0)")],
+    }
+    nothing = "array_remove(array(struct('' AS kind, '' AS value)), struct('' AS kind, '' AS value))"
+    present = [
+        f"if({condition}, {text}, {nothing})" for condition, texts in parts.items() for text in texts
+    ]
+    every = f"array_distinct(filter(concat({', '.join(present)}), e -> e.value IS NOT NULL))"
+    return records.selectExpr("migration_id AS id", f"inline({every})")
 
 
 def violations(claims: DataFrame, supported: DataFrame) -> DataFrame:
@@ -266,15 +248,9 @@ def evidence_rows(records: DataFrame) -> DataFrame:
         F.concat(F.lit("source="), F.col("source_path")),
         F.concat(F.lit("risk="), record_risk()),
         F.concat(F.lit("stages="), F.coalesce(F.size("stages"), F.lit(0)).cast("string")),
-        F.concat(F.lit("seconds="), format_fixed(total_duration(), 1)),
+        F.concat(F.lit("seconds="), F.expr(format_fixed("total_seconds", 1))),
     )
-    provenance = records.select("migration_id", F.posexplode(facts).alias("o", "t"))
+    timed = records.withColumn("total_seconds", total_duration())
+    provenance = timed.select("migration_id", F.posexplode(facts).alias("o", "t"))
     provenance_rows = rows(provenance, "migration_id", "provenance", F.col("o"), F.col("t"))
     return reduce(DataFrame.unionByName, [check_rows, difference_rows, repair_rows, try_rows, provenance_rows])
-
-
-__all__ = [
-    "CLAIM_PATTERNS", "audit", "deliveries", "disposition", "duration_of", "evidence_rows", "excerpts",
-    "explode_differences", "extract_claims", "labels", "narrative_text", "outcome_speedup",
-    "supported_numbers", "violations",
-]

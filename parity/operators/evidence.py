@@ -54,7 +54,7 @@ def optimization_attempts(records: DataFrame) -> DataFrame:
     Speedups and predictions are kept from accepted attempts only.
     """
     measured = F.col("accepted") & F.col("comparison").isNotNull()
-    speedup = array_speedup(F.col("comparison.baseline.durations"), F.col("comparison.candidate.durations"))
+    speedup = F.expr(array_speedup("comparison.baseline.durations", "comparison.candidate.durations"))
     return (
         explode_optimizations(records)
         .filter("admitted")
@@ -132,9 +132,3 @@ def outcomes_by_category(records: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("d.category").alias("category")).agg(
         F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total")
     )
-
-
-__all__ = [
-    "discouraged", "distinct_records", "evidence", "lookup", "optimization_attempts",
-    "outcomes_by_category", "repair_attempts", "totals", "with_rates",
-]

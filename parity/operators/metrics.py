@@ -214,7 +214,7 @@ def optimization_attempts(records: DataFrame) -> DataFrame:
 
 def optimization_speedup(records: DataFrame) -> DataFrame:
     rows = records.filter(F.coalesce("optimization.applied", F.lit(False)))
-    return histogram(rows.select(outcome_speedup().alias("speedup")), "speedup", SPEEDUP_BUCKETS)
+    return histogram(rows.selectExpr(f"{outcome_speedup()} AS speedup"), "speedup", SPEEDUP_BUCKETS)
 
 
 def benchmark_noise(records: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def benchmark_noise(records: DataFrame) -> DataFrame:
         ]
     )
     rows = attempts.select(F.inline(sides)).filter(~F.col("failed") & (F.size("durations") >= 2))
-    measured = rows.select("role", array_noise(F.col("durations")).alias("noise"))
+    measured = rows.selectExpr("role", f"{array_noise('durations')} AS noise")
     return histogram(measured, "noise", NOISE_BUCKETS, ["role"])
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parity.functions.types import as_text
 from parity.operators.joins import null_safe
 from parity.session import pinned
 
@@ -90,12 +89,3 @@ def with_positions(
     placed = with_carries(chunks, keys, carried)
     position = (F.row_number().over(local) - 1 + F.coalesce("__off", F.lit(0))).cast("bigint")
     return placed.withColumn(name, position).drop("__off", CHUNK, INDEX)
-
-
-def text_key(df: DataFrame, columns: Sequence[str]) -> Column:
-    """``a=1, b=x``: a row's key as text for reports."""
-    parts = [
-        F.concat(F.lit(f"{c}="), F.coalesce(as_text(F.col(c), df.schema[c].dataType), F.lit("None")))
-        for c in columns
-    ]
-    return F.concat_ws(", ", *parts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.functions.types import as_text, normalize
+from parity.functions.types import literal_sql, normalize, quoted, text_sql
 from parity.operators.compare import samples
 from parity.operators.skew import BROADCAST_LIMIT_BYTES
 from parity.operators.stats import distinct_counts, literal_rows, measures
@@ -28,11 +28,10 @@ def examples(df: DataFrame, columns: Sequence[str], n: int = MAX_EXAMPLES) -> Da
     Distinct values are found map-side first, and each task then sends at most n per column.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    cells = [
-        F.struct(F.lit(c).alias("column"), as_text(F.col(f"`{c}`"), types[c]).alias("value"))
-        for c in columns
-    ]
-    values = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).distinct()
+    cells = ", ".join(
+        f"struct({literal_sql(c)} AS column, {text_sql(quoted(c), types[c])} AS value)" for c in columns
+    )
+    values = df.selectExpr(f"inline(array({cells}))").filter("value IS NOT NULL").distinct()
     few = samples(values, ["column"], ["value"], n)
     return few.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))
 

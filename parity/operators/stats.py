@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.functions.types import as_double, as_text, is_numeric
+from parity.functions.types import double_sql, is_numeric, literal_sql, quoted, text_sql
 
 
 def literal_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
@@ -23,13 +23,13 @@ def literal_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> Dat
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
-def md5_number(text: Column) -> Column:
+def _md5_number(text: str) -> str:
     """60 bits of the MD5 as a number, reproducible in other engines."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return f"CAST(conv(substring(md5({text}), 1, 15), 16, 10) AS DECIMAL(38, 0))"
 
 
-def fast_number(text: Column) -> Column:
-    return F.xxhash64(text).cast("decimal(38,0)")
+def _fast_number(text: str) -> str:
+    return f"CAST(xxhash64({text}) AS DECIMAL(38, 0))"
 
 
 def measures(df: DataFrame, columns: Sequence[str], portable_checksum: bool = True) -> DataFrame:
@@ -39,46 +39,32 @@ def measures(df: DataFrame, columns: Sequence[str], portable_checksum: bool = Tr
     low_text, high_text``. The checksum of a column is the sum of its values' hashes: it does not
     depend on order and needs no sort.
     """
-    number = md5_number if portable_checksum else fast_number
+    if not columns:
+        raise ValueError("no columns to measure")
+    number = _md5_number if portable_checksum else _fast_number
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        c, dtype = F.col(f"`{name}`"), types[name]
-        aggregates.append(F.count(c).alias(f"n{i}"))
-        if is_numeric(dtype):
-            x = as_double(c, dtype)
-            aggregates += [F.sum(x).alias(f"s{i}"), F.avg(x).alias(f"a{i}")]
-        if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
-            c = as_text(c, dtype)
-        aggregates += [F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}")]
-        aggregates.append(F.coalesce(F.sum(number(as_text(F.col(f"`{name}`"), dtype))),
-                                     F.lit(0)).cast("decimal(38,0)").alias(f"k{i}"))
-    null = F.lit(None).cast("double")
-    rows = []
+    aggregates, rows = ["count(1) AS rows"], []
     for i, name in enumerate(columns):
-        dtype = types[name]
+        c, dtype = quoted(name), types[name]
         numeric = is_numeric(dtype)
-        low, high = F.col(f"l{i}"), F.col(f"h{i}")
-        rows.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(i).alias("ordinal"),
-                F.lit(dtype.simpleString()).alias("dtype"),
-                F.lit(numeric).alias("is_numeric"),
-                F.col("rows").alias("row_count"),
-                (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
-                (F.col(f"s{i}") if numeric else null).alias("total"),
-                (as_double(low, dtype) if numeric else null).alias("low"),
-                (as_double(high, dtype) if numeric else null).alias("high"),
-                (F.col(f"a{i}") if numeric else null).alias("mean"),
-                F.col(f"k{i}").alias("checksum"),
-                low.cast("string").alias("low_text"),
-                high.cast("string").alias("high_text"),
-            )
-        )
-    if not rows:
-        raise ValueError("no columns to measure")
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        text = text_sql(c, dtype)
+        low = text if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) else c
+        aggregates += [f"count({c}) AS n{i}", f"min({low}) AS l{i}", f"max({low}) AS h{i}"]
+        aggregates.append(f"coalesce(sum({number(text)}), 0) AS k{i}")
+        if numeric:
+            aggregates += [f"sum({double_sql(c, dtype)}) AS s{i}", f"avg({double_sql(c, dtype)}) AS a{i}"]
+        facts = {
+            "column": literal_sql(name), "ordinal": str(i), "dtype": literal_sql(dtype.simpleString()),
+            "is_numeric": str(numeric).lower(), "row_count": "rows", "null_count": f"rows - n{i}",
+            "total": f"s{i}" if numeric else "CAST(NULL AS DOUBLE)",
+            "low": double_sql(f"l{i}", dtype) if numeric else "CAST(NULL AS DOUBLE)",
+            "high": double_sql(f"h{i}", dtype) if numeric else "CAST(NULL AS DOUBLE)",
+            "mean": f"a{i}" if numeric else "CAST(NULL AS DOUBLE)",
+            "checksum": f"CAST(k{i} AS DECIMAL(38, 0))",
+            "low_text": f"CAST(l{i} AS STRING)", "high_text": f"CAST(h{i} AS STRING)",
+        }
+        rows.append("struct(" + ", ".join(f"{v} AS {k}" for k, v in facts.items()) + ")")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,17 +73,13 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Two levels of grouping, both combined before their shuffle: values first, then their number.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    cells = [
-        F.struct(F.lit(i).alias("ordinal"), as_text(F.col(f"`{c}`"), types[c]).alias("value"))
-        for i, c in enumerate(columns)
-    ]
-    values = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).distinct()
-    names = F.array(*[F.lit(c) for c in columns])
-    return (
-        values.groupBy("ordinal")
-        .agg(F.count(F.lit(1)).alias("distinct_count"))
-        .select(names[F.col("ordinal")].alias("column"), "distinct_count")
+    cells = ", ".join(
+        f"struct({i} AS ordinal, {text_sql(quoted(c), types[c])} AS value)" for i, c in enumerate(columns)
     )
+    values = df.selectExpr(f"inline(array({cells}))").filter("value IS NOT NULL").distinct()
+    names = ", ".join(literal_sql(c) for c in columns)
+    counts = values.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return counts.selectExpr(f"array({names})[ordinal] AS column", "distinct_count")
 
 
 def column_stats(df: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ run. Every fifth run was stored twice; the older copy says something else and mu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from parity.plans.catalog import table
 from parity.sources.records import record_schema
@@ -23,190 +22,101 @@ STAGES = (
 APPROACHES = ("reduce_shuffle", "broadcast_small", "cache_inputs", "prune_columns", "no_udf")
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
-
-
 def _sql_pick(values: tuple[str, ...], index: str) -> str:
+    """DuckDB text: the value at an index modulo the number of values."""
     listed = ", ".join(f"'{v}'" for v in values)
     return f"([{listed}])[(({index}) % {len(values)})::INT + 1]"
 
 
-def _upto(n: Column) -> Column:
-    """0 .. n-1, empty for n = 0."""
-    return F.filter(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint")), lambda i: i < n)
+def _pick(values: tuple[str, ...], index: str) -> str:
+    """Spark text of the same."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"array({listed})[cast(({index}) % {len(values)} AS INT)]"
+
+
+def _each(var: str, n: str, body: str) -> str:
+    """Array of ``body`` for var = 0 .. n-1."""
+    return f"transform(filter(sequence(0L, {n}), x -> x < {n}), {var} -> {body})"
+
+
+def _bench(seed: str, n: str, scale: str, failed: str) -> str:
+    durations = _each("q", n, f"{scale} + (({seed}) * (q + 3)) % 16 / 16.0D")
+    return f"struct({durations}, {failed})"
+
+
+_LEVELS = ("low", "medium", "high")
+
+#: Spark text of each field of a record, and when it is present, from k (key), d (date), copy (0 or 1).
+FIELDS = {
+    "spec": ("k % 4 <> 1", "struct(" + _each(
+        "i", "k % 3", f"struct({_pick(CATEGORIES, 'k + i')}, {_pick(_LEVELS, 'k + 2 * i')})") + ")"),
+    "plan": ("k % 7 <> 0", f"""struct({_pick(_LEVELS, 'k')}, k % 2 = 0, """ + _each(
+        "s", "k % 3", "struct(concat('s', s), 'aggregate', " + _each(
+            "i", "(k + s) % 3",
+            f"struct({_pick(CATEGORIES, 'k + s + i')}, "
+            f"{_pick((*CHECKS, 'column_statistics', 'lineage'), 'k + s + 3 * i')})") + ")")
+        + ", struct(array('id'), 1e-9D, array('schema', 'row_count')))"),
+    "codegen": ("k % 13 <> 0", "struct(k % 3 + 1, struct('job.py', 'def run(): ...'), struct(true, " + _each(
+        "i", "k % 4",
+        f"struct(concat('G', (k + i) % 12), {_pick(('info', 'warning', 'error'), 'k + i')}, 'm', 100 - i)") + "))"),
+    "validation": ("k % 9 <> 0", "struct(struct(NULL, NULL, struct(k * 37), struct(k * 37 + k % 2), " + _each(
+        "i", "6L", f"""struct({_pick(CHECKS, 'i')}, (k + 7 * i + copy) % 40 > 0, (k + 11 * i) % 90 = 0, 'd', """ + _each(
+            "j", "if((k + 7 * i + copy) % 40 = 0, (k + i) % 3 + 1, 0L)",
+            f"""struct({_pick(CHECKS, 'i')}, concat('c', j), {_pick(CATEGORIES, 'i + j')},
+                string(k + j), string(k - j), 'd')""") + ")")
+        + """), struct('pandas', k % 17 <> 0, k % 50 / 8.0D + 0.25D), struct('spark', k % 19 <> 0, k % 400 / 2.0D + 1.0D),
+             if(k % 4 = 0, struct(k % 20, k % 3, k % 2, k % 5), NULL))"""),
+    "repair": ("k % 3 = 0", "struct(k % 4 = 3, k % 4 <> 3, " + _each(
+        "i", "k % 5", f"""struct(i + 1, struct({_pick(CATEGORIES, 'k + i')}, concat('fix_', k * (i + 1) % 7)), string(NULL),
+            (k + i) % 6 <> 0, if((k + i) % 6 = 0, 'repeated', NULL), if((k + 2 * i) % 4 = 0, 'PASS', 'FAIL'),
+            if((k + i) % 5 <> 0, k * (i + 3) % 7, NULL))""") + ")"),
+    "optimization": ("k % 2 = 1", "struct(k % 6 = 1, " + _each(
+        "i", "k % 4", f"""struct(i + 1, struct({_pick(APPROACHES, 'k + i')}, 1.0D + (k + i) % 9 / 8.0D), (k + i) % 8 <> 0,
+            CASE WHEN (k + i) % 16 = 0 THEN 'no grounded opportunity' WHEN (k + i) % 8 = 0 THEN 'measured before' END,
+            CASE WHEN (k + i) % 9 = 0 THEN NULL WHEN (k + i) % 7 = 0 THEN 'FAIL' ELSE 'PASS' END,
+            (k + i) % 3 = 0 AND (k + i) % 8 <> 0,
+            if((k + i) % 11 <> 0, struct(1.10D, 0.25D,
+               {_bench('k + i', '(k + i) % 7 + 1', '4.0D + k % 4', '(k + i) % 23 = 0')},
+               {_bench('k + 2 * i', '(k + 2 * i) % 7 + 1', '2.0D + (k + i) % 6', '(k + i) % 29 = 0')}), NULL))""")
+        + f", {_bench('k', '4L', '8.0D', 'false')}, {_bench('k + 1', '5L', '4.0D + k % 4', 'false')})"),
+    "delivery": ("k % 12 <> 0", f"struct(if(k % 10 <> 0, struct({_pick(('ready', 'draft', 'refused'), 'k')}), NULL), "
+        "struct(k % 6, " + _each("i", "k % 3", "struct('rows', string(k + i))") + "))"),
+    "stages": ("true", _each(
+        "i", "k % 8", f"""struct({_pick(STAGES, 'i')}, timestamp_micros(unix_micros(d) + i * 1000000000),
+            if(i < k % 8 - 1 OR k % 3 <> 0,
+               timestamp_micros(unix_micros(d) + i * 1000000000 + k * (i + 1) % 2000 * 125000), NULL),
+            if(i < k % 8 - 1 OR k % 3 <> 0, (k + i) % 5 <> 0, NULL), 1)""")),
+}
+
+
+def _built(spark: SparkSession, sf: str, copies: str) -> DataFrame:
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS k", "CAST(o_orderdate AS TIMESTAMP) AS d", f"explode({copies}) AS copy"
+    )
+    types = {f.name: f.dataType.simpleString() for f in record_schema().fields}
+    nested = [
+        f"CAST(if({present}, {text}, NULL) AS {types[name]}) AS {name}" for name, (present, text) in FIELDS.items()
+    ]
+    return orders.selectExpr(
+        "concat('m', k) AS migration_id",
+        "concat('jobs/', k % 100, '.py') AS source_path",
+        "d AS created_at",
+        "'optimization' AS stage",
+        "(k + copy) % 11 = 0 AS failed",
+        "if((k + copy) % 11 = 0, 'timed out', NULL) AS failure_reason",
+        *nested,
+        "d - make_dt_interval(copy) AS modified_at",
+    )
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus as nested records, newest copies and older ones."""
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d")
-    )
-    copies = F.when(F.col("k") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = orders.select("k", "d", F.explode(copies).alias("copy"))
-    return rows.select(*_fields(F.col("k"), F.col("d"), F.col("copy")), _modified())
+    return _built(spark, sf, "if(o_orderkey % 5 = 0, array(0, 1), array(0))")
 
 
 def newest(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus without the older copies, as it is after deduplication."""
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d"), F.lit(0).alias("copy")
-    )
-    return orders.select(*_fields(F.col("k"), F.col("d"), F.col("copy")), _modified())
-
-
-def _modified() -> Column:
-    return (F.col("d") - F.make_dt_interval(F.col("copy"))).alias("modified_at")
-
-
-def _fields(k: Column, d: Column, copy: Column) -> list[Column]:
-    types = {f.name: f.dataType for f in record_schema().fields}
-
-    def present(condition: Column, value: Column, name: str) -> Column:
-        return F.when(condition, value.cast(types[name])).alias(name)
-
-    spec = F.struct(
-        F.transform(
-            _upto(k % 3),
-            lambda i: F.struct(_pick(CATEGORIES, k + i), _pick(("low", "medium", "high"), k + 2 * i)),
-        )
-    )
-    steps = F.transform(
-        _upto(k % 3),
-        lambda s: F.struct(
-            F.concat(F.lit("s"), s.cast("string")),
-            F.lit("aggregate"),
-            F.transform(
-                _upto((k + s) % 3),
-                lambda i: F.struct(_pick(CATEGORIES, k + s + i), _pick((*CHECKS, "column_statistics", "lineage"), k + s + 3 * i)),
-            ),
-        ),
-    )
-    plan = F.struct(
-        _pick(("low", "medium", "high"), k),
-        (k % 2 == 0),
-        steps,
-        F.struct(F.array(F.lit("id")), F.lit(1e-9), F.array(F.lit("schema"), F.lit("row_count"))),
-    )
-    findings = F.transform(
-        _upto(k % 4),
-        lambda i: F.struct(
-            F.concat(F.lit("G"), ((k + i) % 12).cast("string")),
-            _pick(("info", "warning", "error"), k + i),
-            F.lit("m"),
-            (100 - i).cast("int"),
-        ),
-    )
-    codegen = F.struct(
-        (k % 3 + 1), F.struct(F.lit("job.py"), F.lit("def run(): ...")), F.struct(F.lit(True), findings)
-    )
-    checks = F.transform(
-        _upto(F.lit(len(CHECKS))),
-        lambda i: F.struct(
-            _pick(CHECKS, i),
-            ((k + 7 * i + copy) % 40 > 0).alias("passed"),
-            ((k + 11 * i) % 90 == 0),
-            F.lit("d"),
-            F.when(
-                (k + 7 * i + copy) % 40 == 0,
-                F.transform(
-                    _upto((k + i) % 3 + 1),
-                    lambda j: F.struct(
-                        _pick(CHECKS, i), F.concat(F.lit("c"), j.cast("string")), _pick(CATEGORIES, i + j),
-                        (k + j).cast("string"), (k - j).cast("string"), F.lit("d"),
-                    ),
-                ),
-            ).otherwise(F.array()),
-        ),
-    )
-
-    def execution(engine: str, bad: int, seconds: Column) -> Column:
-        return F.struct(F.lit(engine), (k % bad != 0), seconds)
-
-    validation = F.struct(
-        F.struct(
-            F.lit(None).cast("string"), F.lit(None).cast("string"), F.struct(k * 37), F.struct(k * 37 + k % 2), checks
-        ),
-        execution("pandas", 17, (k % 50) / 8.0 + 0.25),
-        execution("spark", 19, (k % 400) / 2.0 + 1.0),
-        F.when(k % 4 == 0, F.struct(k % 20, k % 3, k % 2, k % 5)),
-    )
-    attempts = F.transform(
-        _upto(k % 5),
-        lambda i: F.struct(
-            i + 1,
-            F.struct(_pick(CATEGORIES, k + i), F.concat(F.lit("fix_"), ((k * (i + 1)) % 7).cast("string"))),
-            F.lit(None).cast("string"),
-            ((k + i) % 6 != 0),
-            F.when((k + i) % 6 == 0, F.lit("repeated")),
-            F.when((k + 2 * i) % 4 == 0, F.lit("PASS")).otherwise(F.lit("FAIL")),
-            F.when((k + i) % 5 != 0, (k * (i + 3)) % 7),
-        ),
-    )
-    repair = F.struct((k % 4 == 3), (k % 4 != 3), attempts)
-
-    def bench(seed: Column, n: Column, scale: Column, failed: Column) -> Column:
-        return F.struct(F.transform(_upto(n), lambda r: scale + ((seed * (r + 3)) % 16) / 16.0), failed)
-
-    tries = F.transform(
-        _upto(k % 4),
-        lambda i: F.struct(
-            i + 1,
-            F.struct(_pick(APPROACHES, k + i), F.lit(1.0) + ((k + i) % 9) / 8.0),
-            ((k + i) % 8 != 0),
-            F.when((k + i) % 8 == 0, F.when((k + i) % 16 == 0, F.lit("no grounded opportunity")).otherwise(F.lit("measured before"))),
-            F.when((k + i) % 9 != 0, F.when((k + i) % 7 == 0, F.lit("FAIL")).otherwise(F.lit("PASS"))),
-            ((k + i) % 3 == 0) & ((k + i) % 8 != 0),
-            F.when(
-                (k + i) % 11 != 0,
-                F.struct(
-                    F.lit(1.10), F.lit(0.25),
-                    bench(k + i, (k + i) % 7 + 1, F.lit(4.0) + (k % 4), (k + i) % 23 == 0),
-                    bench(k + 2 * i, (k + 2 * i) % 7 + 1, F.lit(2.0) + ((k + i) % 6), (k + i) % 29 == 0),
-                ),
-            ),
-        ),
-    )
-    optimization = F.struct(
-        (k % 6 == 1), tries, bench(k, F.lit(4), F.lit(8.0), F.lit(False)),
-        bench(k + 1, F.lit(5), F.lit(4.0) + (k % 4), F.lit(False)),
-    )
-    delivery = F.struct(
-        F.when(k % 10 != 0, F.struct(_pick(("ready", "draft", "refused"), k))),
-        F.struct(
-            k % 6,
-            F.transform(_upto(k % 3), lambda i: F.struct(F.lit("rows"), (k + i).cast("string"))),
-        ),
-    )
-    stages = F.transform(
-        _upto(k % 8),
-        lambda i: F.struct(
-            _pick(STAGES, i),
-            F.timestamp_micros(F.unix_micros(d) + i * 1_000_000_000),
-            F.when(
-                (i < k % 8 - 1) | (k % 3 != 0),
-                F.timestamp_micros(F.unix_micros(d) + i * 1_000_000_000 + ((k * (i + 1)) % 2000) * 125_000),
-            ),
-            F.when((i < k % 8 - 1) | (k % 3 != 0), (k + i) % 5 != 0),
-            F.lit(1),
-        ),
-    )
-    return [
-        F.concat(F.lit("m"), k.cast("string")).alias("migration_id"),
-        F.concat(F.lit("jobs/"), (k % 100).cast("string"), F.lit(".py")).alias("source_path"),
-        d.alias("created_at"),
-        F.lit("optimization").alias("stage"),
-        ((k + copy) % 11 == 0).alias("failed"),
-        F.when((k + copy) % 11 == 0, "timed out").alias("failure_reason"),
-        present(k % 4 != 1, spec, "spec"),
-        present(k % 7 != 0, plan, "plan"),
-        present(k % 13 != 0, codegen, "codegen"),
-        present(k % 9 != 0, validation, "validation"),
-        present(k % 3 == 0, repair, "repair"),
-        present(k % 2 == 1, optimization, "optimization"),
-        present(k % 12 != 0, delivery, "delivery"),
-        stages.cast(types["stages"]).alias("stages"),
-    ]
+    return _built(spark, sf, "array(0)")
 
 
 # --- the same facts in SQL ---------------------------------------------------------------------------

@@ -69,8 +69,8 @@ def test_numbers_print_as_python_prints_them(spark):
     values = [1.005, 0.125, 1.015, 2.675, 1.0, 1.25, 1.38, 0.0, 9.999995, 99999.95, 0.00012345, 1e7, 2.5]
     values += [i / 64 for i in range(0, 4000, 7)] + [i / 1000 for i in range(0, 4000, 5)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    x = F.col("x")
-    for r in df.select("x", format_fixed(x, 2).alias("a"), format_fixed(x, 1).alias("b"), format_general(x).alias("g")).collect():
+    got = df.selectExpr("x", f"{format_fixed('x', 2)} AS a", f"{format_fixed('x', 1)} AS b", f"{format_general('x')} AS g")
+    for r in got.collect():
         assert (r.a, r.b, r.g) == (f"{r.x:.2f}", f"{r.x:.1f}", f"{r.x:g}")
 
 

@@ -6,7 +6,7 @@ calls into the JVM. Arguments called ``sql`` are SQL text too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Two values closer to zero than this are compared on this scale.
@@ -26,40 +26,50 @@ def within_tolerance(left: str, right: str, tolerance: float) -> str:
         ELSE abs({left} - {right}) / greatest(abs({left}), abs({right}), {MIN_SCALE!r}D) <= {float(tolerance)!r}D END"""
 
 
-def _bind(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` standing for a value that is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+def with_fixed(df: DataFrame, x: str, digits: str, output: str) -> DataFrame:
+    """Add non-negative ``x`` as Python prints it with ``.{digits}f``, for values under 1e12.
 
-
-def _nearest(x: str, scale: str) -> str:
-    """``x * scale`` to the nearest integer, decided on the exact binary value.
-
-    The product alone is already rounded, so a value just under a tie can land on it. Splitting the
-    operand into a 24-bit head and the rest keeps both products exact.
+    ``x`` and ``digits`` are SQL text. ``x * 10**digits`` is already rounded when it is computed, so a
+    value just under a tie can land on it. The nearest integer is therefore decided on the exact
+    binary value: split into a 24-bit head and the rest, both products are exact. The steps are
+    projections of their own, each value computed once.
     """
-    head = f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
-    excess = f"({head} * {scale} - (b + 0.5D)) + ({x} - {head}) * {scale}"
-    up = "e > 0 OR (e = 0 AND pmod(b, 2.0D) <> 0)"
-    decided = _bind("e", excess, f"CAST(b + if({up}, 1.0D, 0.0D) AS BIGINT)")
-    return _bind("b", f"CAST(floor({x} * {scale}) AS DOUBLE)", decided)
+    steps = (
+        (f"CAST({x} AS DOUBLE) AS __x", f"CAST({digits} AS INT) AS __d"),
+        ("CAST(CAST(__x AS FLOAT) AS DOUBLE) AS __head", "pow(10.0D, __d) AS __unit"),
+        ("floor(__x * __unit) AS __base",),
+        ("(__head * __unit - (__base + 0.5D)) + (__x - __head) * __unit AS __excess",),
+        ("__base + if(__excess > 0 OR (__excess = 0 AND __base % 2 <> 0), 1L, 0L) AS __whole",),
+    )
+    for step in steps:
+        df = df.selectExpr("*", *step)
+    tail = "if(__d > 0, concat('.', lpad(CAST(__whole % CAST(__unit AS BIGINT) AS STRING), __d, '0')), '')"
+    text = f"concat(CAST(__whole div CAST(__unit AS BIGINT) AS STRING), {tail}) AS {output}"
+    temporary = ("__x", "__d", "__head", "__unit", "__base", "__excess", "__whole")
+    return df.selectExpr("*", text).drop(*temporary)
 
 
-def _fixed(x: str, digits: str) -> str:
-    unit = f"pow(10.0D, {digits})"
-    tail = f"if({digits} > 0, concat('.', lpad(CAST(pmod(w, u) AS STRING), {digits}, '0')), '')"
-    text = _bind("u", f"CAST({unit} AS BIGINT)", f"concat(CAST(w div u AS STRING), {tail})")
-    return _bind("w", _nearest(x, unit), text)
+#: Digits after the point that leave six significant ones, as ``:g`` does.
+SIX_SIGNIFICANT = "5 - CAST(floor(log10({x})) AS INT)"
 
 
-def format_fixed(sql: str, digits: int) -> str:
-    """Non-negative number as Python prints it with ``.{digits}f``, for values under 1e12."""
-    return _bind("x", f"CAST({sql} AS DOUBLE)", _fixed("x", str(digits)))
+def trimmed(fixed: str, x: str) -> str:
+    """SQL text of ``:g``: the six-digit text without trailing zeros, or scientific beyond its range."""
+    scientific = rf"regexp_replace(format_string('%.5e', {x}), r'\.?0*e', 'e')"
+    plain = rf"regexp_replace({fixed}, r'\.0*$|(\.\d*?)0+$', '$1')"
+    return f"CASE WHEN {x} = 0 THEN '0' WHEN {x} >= 1e-4D AND {x} < 999999.5D THEN {plain} ELSE {scientific} END"
 
 
-def format_general(sql: str) -> str:
-    """Non-negative number as Python prints it with ``:g`` (six significant digits)."""
-    exponent = "CAST(floor(log10(x)) AS INT)"
-    fixed = f"regexp_replace({_fixed('x', f'(5 - {exponent})')}, r'\\.0*$|(\\.\\d*?)0+$', '$1')"
-    scientific = r"regexp_replace(format_string('%.5e', x), r'\.?0*e', 'e')"
-    text = f"CASE WHEN x = 0 THEN '0' WHEN x >= 1e-4D AND x < 999999.5D THEN {fixed} ELSE {scientific} END"
-    return _bind("x", f"CAST({sql} AS DOUBLE)", text)
+def ratio_texts(df: DataFrame, x: str, output: str, otherwise: str = "NULL") -> DataFrame:
+    """One row per way to quote a non-negative ratio: with two digits, with one, and shortest.
+
+    A row without a ratio stays one row, with the text ``otherwise`` (SQL).
+    """
+    digits = {"two": "2", "one": "1", "short": SIX_SIGNIFICANT.format(x=x)}
+    forms = ", ".join(f"struct('{form}' AS __form, {n} AS __n)" for form, n in digits.items())
+    choice = f"if({x} IS NULL, array(struct('none' AS __form, 0 AS __n)), array({forms}))"
+    rows = with_fixed(df.selectExpr("*", f"inline({choice})"), x, "greatest(coalesce(__n, 0), 0)", "__fixed")
+    text = (
+        f"CASE __form WHEN 'none' THEN {otherwise} WHEN 'short' THEN {trimmed('__fixed', x)} ELSE __fixed END"
+    )
+    return rows.selectExpr("*", f"{text} AS {output}").drop("__form", "__n", "__fixed")

@@ -53,13 +53,10 @@ def aligned(
         )
 
     both = pieces(reference, "r").unionByName(pieces(candidate, "c"), allowMissingColumns=True)
-    starts = both.groupBy("block", "pos").agg(
-        *[F.first(x, ignorenulls=True).alias(x) for x in ("r", "c", "stop_r", "stop_c")]
-    )
-    so_far = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    filled = starts.withColumns(
-        {x: F.last(x, ignorenulls=True).over(so_far) for x in ("r", "c", "stop_r", "stop_c")}
-    )
-    return filled.select(
-        "pos", (F.least("stop_r", "stop_c") - F.col("pos")).alias("n"), "r", "c"
+    # the frame ends with the last row of the same position, so both sides' pieces are in it
+    so_far = Window.partitionBy("block").orderBy("pos")
+    known = {x: F.last(x, ignorenulls=True).over(so_far) for x in ("r", "c", "stop_r", "stop_c")}
+    filled = both.withColumns({**known, "before": F.lag("pos").over(so_far)})
+    return filled.filter("before IS NULL OR before <> pos").selectExpr(
+        "pos", "least(stop_r, stop_c) - pos AS n", "r", "c"
     )

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -444,15 +445,18 @@ def compare(
     checks: Sequence[str] = DEFAULT_CHECKS,
     portable_checksum: bool = False,
     n: int = MAX_SAMPLES,
+    cache: bool = False,
 ) -> Comparison:
     """Run the named checks on two frames.
 
     Row counts, null counts, checksums and column statistics come from one aggregation per side.
-    The inputs are read again for duplicates and records; cache them before the call when they
-    are costly to compute.
+    The inputs are read again for duplicates and records. Reading files again, a few columns at a
+    time, is cheap; ``cache`` keeps inputs that are costly to compute, on disk where memory ends.
     """
     spark = reference.sparkSession
     ref, cand = normalize(reference), normalize(candidate)
+    if cache:
+        ref, cand = (side.persist(StorageLevel.MEMORY_AND_DISK) for side in (ref, cand))
     columns = _shared(ref, cand)
     parts: list[DataFrame] = []
     rows: list[tuple[str, bool, str]] = []

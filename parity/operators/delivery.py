@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.numbers import format_fixed, format_general
+from parity.functions.numbers import ratio_texts, with_fixed
 from parity.operators.bench import array_median
 from parity.operators.lifecycle import record_risk
 from parity.sources.records import (
@@ -122,15 +122,19 @@ def outcome_speedup() -> str:
 
 
 def _entries(kind: str, *values: str) -> str:
-    return "array(" + ", ".join(f"struct('{kind}' AS kind, string({v}) AS value)" for v in values) + ")"
+    rows = ", ".join(f"struct('{kind}' AS kind, string({v}) AS value, CAST(NULL AS DOUBLE) AS ratio)" for v in values)
+    return f"array({rows})"
 
 
-def _ratio_entries(value: str) -> str:
-    return _entries("speedup", format_fixed(value, 2), format_fixed(value, 1), format_general(value))
+def _ratio(value: str) -> str:
+    return f"struct('speedup' AS kind, CAST(NULL AS STRING) AS value, CAST({value} AS DOUBLE) AS ratio)"
 
 
 def supported_numbers(records: DataFrame) -> DataFrame:
-    """``id, kind, value``: every text a record supports, each once."""
+    """``id, kind, value``: every text a record supports; two of its numbers may read the same.
+
+    The numbers become rows first; ratios are then printed in each way they may be quoted.
+    """
     checks, run = "coalesce(validation.report.checks, array())", "validation.test_run"
     found = f"aggregate({checks}, 0, (n, c) -> n + greatest(coalesce(size(c.differences), 0), 0))"
     declared = "coalesce(size(flatten(transform(plan.steps, s -> s.semantic_differences))), 0)"
@@ -138,10 +142,9 @@ def supported_numbers(records: DataFrame) -> DataFrame:
     parts = {
         "true": [_entries(k, *[f"'{v}'" for v in values]) for k, values in ALWAYS_SUPPORTED.items()],
         "optimization IS NOT NULL": [
-            _ratio_entries(outcome_speedup()),
+            f"array({_ratio(outcome_speedup())})",
             _entries("attempts", "coalesce(size(optimization.attempts), 0)"),
-            f"flatten(transform(coalesce(optimization.attempts, array()), "
-            f"a -> {_ratio_entries('a.strategy.expected_speedup')}))",
+            f"transform(coalesce(optimization.attempts, array()), a -> {_ratio('a.strategy.expected_speedup')})",
         ],
         "validation IS NOT NULL": [
             _entries(
@@ -160,19 +163,21 @@ def supported_numbers(records: DataFrame) -> DataFrame:
         "plan IS NOT NULL": [_entries("differences", declared)],
         "repair IS NOT NULL": [_entries("attempts", "coalesce(size(repair.attempts), 0)")],
     }
-    nothing = "array_remove(array(struct('' AS kind, '' AS value)), struct('' AS kind, '' AS value))"
+    nothing = f"filter({_entries('', 'NULL')}, e -> false)"
     present = [
         f"if({condition}, {text}, {nothing})" for condition, texts in parts.items() for text in texts
     ]
-    every = f"array_distinct(filter(concat({', '.join(present)}), e -> e.value IS NOT NULL))"
-    return records.selectExpr("migration_id AS id", f"inline({every})")
+    every = f"array_distinct(concat({', '.join(present)}))"
+    rows = records.selectExpr("migration_id AS id", f"inline({every})")
+    texts = ratio_texts(rows.withColumnRenamed("value", "plain"), "ratio", "value", otherwise="plain")
+    return texts.filter("value IS NOT NULL").select("id", "kind", "value")
 
 
 def violations(claims: DataFrame, supported: DataFrame) -> DataFrame:
     """Claims that the record does not support; thousands separators do not matter."""
     known = supported.select(
         F.col("id").alias("__id"), F.col("kind").alias("__kind"), F.replace("value", F.lit(","), F.lit("")).alias("__v")
-    ).distinct()
+    )
     plain = F.replace("claimed", F.lit(","), F.lit(""))
     on = (F.col("id") == F.col("__id")) & (F.col("kind") == F.col("__kind")) & (plain == F.col("__v"))
     return claims.join(known, on, "left_anti")
@@ -248,9 +253,9 @@ def evidence_rows(records: DataFrame) -> DataFrame:
         F.concat(F.lit("source="), F.col("source_path")),
         F.concat(F.lit("risk="), record_risk()),
         F.concat(F.lit("stages="), F.coalesce(F.size("stages"), F.lit(0)).cast("string")),
-        F.concat(F.lit("seconds="), F.expr(format_fixed("total_seconds", 1))),
+        F.concat(F.lit("seconds="), F.col("seconds_text")),
     )
-    timed = records.withColumn("total_seconds", total_duration())
+    timed = with_fixed(records.withColumn("total_seconds", total_duration()), "total_seconds", "1", "seconds_text")
     provenance = timed.select("migration_id", F.posexplode(facts).alias("o", "t"))
     provenance_rows = rows(provenance, "migration_id", "provenance", F.col("o"), F.col("t"))
     return reduce(DataFrame.unionByName, [check_rows, difference_rows, repair_rows, try_rows, provenance_rows])

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.types import dtype_family
+from parity.functions.types import dtype_family, quoted
 from parity.operators.skew import MAX_GROUP_ROWS, broadcastable, has_hot_group
 
 JOIN_TYPES = ("inner", "left", "right", "outer", "cross", "semi", "anti")
@@ -50,8 +50,10 @@ def _output_names(
     return left_names, right_names, shared
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
+def _prefixed(df: DataFrame, prefix: str, marker: str | None) -> DataFrame:
+    """Columns renamed apart from the other side's, and a marker that is missing on padded rows."""
+    renamed = df.toDF(*[prefix + c for c in df.columns])
+    return renamed.withColumn(marker, F.lit(True)) if marker else renamed
 
 
 def join(
@@ -94,11 +96,13 @@ def join(
         return left.join(keys, null_safe(pairs), f"left_{how}")
 
     left_names, right_names, shared = _output_names(left, right, left_on, right_on, suffixes)
-    lhs, rhs = _prefixed(left, "__l_"), _prefixed(right, "__r_")
+    marked = indicator or how == "outer"
+    lhs = _prefixed(left, "__l_", "__in_l" if marked else None)
+    rhs = _prefixed(right, "__r_", "__in_r" if marked else None)
     lkeys, rkeys = [f"__l_{c}" for c in left_on], [f"__r_{c}" for c in right_on]
-    if indicator or how == "outer":
-        lhs, rhs = lhs.withColumn("__in_l", F.lit(True)), rhs.withColumn("__in_r", F.lit(True))
-    condition = null_safe([(F.col(a), F.col(b)) for a, b in zip(lkeys, rkeys, strict=True)])
+    condition = F.expr(
+        " AND ".join(f"{quoted(a)} <=> {quoted(b)}" for a, b in zip(lkeys, rkeys, strict=True))
+    )
 
     padded = {"left": [(rhs, rkeys)], "right": [(lhs, lkeys)], "outer": [(lhs, lkeys), (rhs, rkeys)]}
     if any(has_hot_group(side, keys, max_group_rows) for side, keys in padded.get(how, [])):
@@ -108,23 +112,18 @@ def join(
 
     columns = []
     for source, target in left_names.items():
-        value = F.col(f"__l_{source}")
-        if source in shared and how in ("right", "outer"):
-            value = (
-                F.when(F.col("__in_l"), value).otherwise(F.col(f"__r_{source}"))
-                if how == "outer"
-                else F.col(f"__r_{source}")
-            )
-        columns.append(value.alias(target))
-    columns += [F.col(f"__r_{source}").alias(target) for source, target in right_names.items()]
+        value, other = quoted(f"__l_{source}"), quoted(f"__r_{source}")
+        if source in shared and how == "right":
+            value = other
+        elif source in shared and how == "outer":
+            value = f"if(__in_l, {value}, {other})"
+        columns.append(f"{value} AS {quoted(target)}")
+    columns += [f"{quoted(f'__r_{source}')} AS {quoted(target)}" for source, target in right_names.items()]
     if indicator:
-        side = (
-            F.when(F.col("__in_l").isNull(), "right_only")
-            .when(F.col("__in_r").isNull(), "left_only")
-            .otherwise("both")
+        columns.append(
+            "CASE WHEN __in_l IS NULL THEN 'right_only' WHEN __in_r IS NULL THEN 'left_only' ELSE 'both' END AS _merge"
         )
-        columns.append(side.alias("_merge"))
-    return joined.select(*columns)
+    return joined.selectExpr(*columns)
 
 
 def _split_outer(

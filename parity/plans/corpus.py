@@ -7,6 +7,8 @@ run. Every fifth run was stored twice; the older copy says something else and mu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from parity.plans.catalog import table
@@ -89,34 +91,41 @@ FIELDS = {
 }
 
 
-def _built(spark: SparkSession, sf: str, copies: str) -> DataFrame:
+def _built(spark: SparkSession, sf: str, copies: str, parts: Sequence[str]) -> DataFrame:
+    """Records with the named nested parts; the others are null.
+
+    The parts come out of one ``inline``, which computes each of them once. As plain projected
+    expressions the optimizer would copy a part into every access to one of its fields.
+    """
     orders = table(spark, sf, "orders").selectExpr(
         "o_orderkey AS k", "CAST(o_orderdate AS TIMESTAMP) AS d", f"explode({copies}) AS copy"
     )
     types = {f.name: f.dataType.simpleString() for f in record_schema().fields}
-    nested = [
-        f"CAST(if({present}, {text}, NULL) AS {types[name]}) AS {name}" for name, (present, text) in FIELDS.items()
-    ]
-    return orders.selectExpr(
+    wanted = {name: FIELDS[name] for name in parts}
+    built = ", ".join(
+        f"CAST(if({present}, {text}, NULL) AS {types[name]}) AS {name}" for name, (present, text) in wanted.items()
+    )
+    rows = orders.selectExpr("k", "d", "copy", f"inline(array(struct({built})))")
+    return rows.selectExpr(
         "concat('m', k) AS migration_id",
         "concat('jobs/', k % 100, '.py') AS source_path",
         "d AS created_at",
         "'optimization' AS stage",
         "(k + copy) % 11 = 0 AS failed",
         "if((k + copy) % 11 = 0, 'timed out', NULL) AS failure_reason",
-        *nested,
+        *[name if name in wanted else f"CAST(NULL AS {types[name]}) AS {name}" for name in FIELDS],
         "d - make_dt_interval(copy) AS modified_at",
     )
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus as nested records, newest copies and older ones."""
-    return _built(spark, sf, "if(o_orderkey % 5 = 0, array(0, 1), array(0))")
+def records(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
+    """The corpus as nested records, newest copies and older ones, with the named parts (or all)."""
+    return _built(spark, sf, "if(o_orderkey % 5 = 0, array(0, 1), array(0))", parts or tuple(FIELDS))
 
 
-def newest(spark: SparkSession, sf: str) -> DataFrame:
+def newest(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
     """The corpus without the older copies, as it is after deduplication."""
-    return _built(spark, sf, "array(0)")
+    return _built(spark, sf, "array(0)", parts or tuple(FIELDS))
 
 
 # --- the same facts in SQL ---------------------------------------------------------------------------

@@ -40,7 +40,7 @@ SELECT CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS outcome, CASE WHEN
 """,
 )
 def m_migrations(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.migrations(corpus.newest(spark, sf))
+    return metrics.migrations(corpus.newest(spark, sf, "plan"))
 
 
 @query(
@@ -55,7 +55,7 @@ def m_migrations(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def m_duration_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.migration_duration(corpus.newest(spark, sf)))
+    return _rounded(metrics.migration_duration(corpus.newest(spark, sf, "stages")))
 
 
 @query(
@@ -69,7 +69,7 @@ def m_duration_hist(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def m_stage_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.stage_duration(corpus.newest(spark, sf)))
+    return _rounded(metrics.stage_duration(corpus.newest(spark, sf, "stages")))
 
 
 @query(
@@ -81,7 +81,7 @@ SELECT name AS "check", CASE WHEN skipped THEN 'skip' WHEN passed THEN 'pass' EL
 """,
 )
 def m_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.validation_checks(corpus.newest(spark, sf))
+    return metrics.validation_checks(corpus.newest(spark, sf, "validation"))
 
 
 @query(
@@ -89,7 +89,7 @@ def m_checks(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {corpus.R}, {corpus.CHECKS_SQL} SELECT status, count(*)::BIGINT AS value FROM st GROUP BY 1",
 )
 def m_validations(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.validations(corpus.newest(spark, sf))
+    return metrics.validations(corpus.newest(spark, sf, "validation"))
 
 
 @query(
@@ -101,7 +101,7 @@ SELECT CASE WHEN NOT admitted THEN 'refused' WHEN succeeded THEN 'fixed' ELSE 'd
 """,
 )
 def m_repair_attempts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.repair_attempts(corpus.newest(spark, sf))
+    return metrics.repair_attempts(corpus.newest(spark, sf, "repair"))
 
 
 @query(
@@ -113,7 +113,7 @@ FROM r WHERE has_repair GROUP BY 1
 """,
 )
 def m_repairs(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.repairs(corpus.newest(spark, sf))
+    return metrics.repairs(corpus.newest(spark, sf, "repair"))
 
 
 @query(
@@ -128,7 +128,7 @@ FROM tr GROUP BY 1
 """,
 )
 def m_opt_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.optimization_attempts(corpus.newest(spark, sf))
+    return metrics.optimization_attempts(corpus.newest(spark, sf, "optimization"))
 
 
 @query(
@@ -141,7 +141,7 @@ def m_opt_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def m_speedup_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.optimization_speedup(corpus.newest(spark, sf)))
+    return _rounded(metrics.optimization_speedup(corpus.newest(spark, sf, "optimization")))
 
 
 @query(
@@ -156,7 +156,7 @@ def m_speedup_hist(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def m_noise_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.benchmark_noise(corpus.newest(spark, sf)))
+    return _rounded(metrics.benchmark_noise(corpus.newest(spark, sf, "optimization")))
 
 
 @query(
@@ -171,7 +171,7 @@ def m_noise_hist(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def m_exec_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.execution_duration(corpus.newest(spark, sf)))
+    return _rounded(metrics.execution_duration(corpus.newest(spark, sf, "validation")))
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +202,7 @@ def m_agent_tools(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m_gate", f"WITH {corpus.R} SELECT sum(k % 3 + 1)::BIGINT AS value FROM r WHERE has_code")
 def m_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.gate_submissions(corpus.newest(spark, sf))
+    return metrics.gate_submissions(corpus.newest(spark, sf, "codegen"))
 
 
 @query(
@@ -214,12 +214,12 @@ SELECT CASE WHEN k % 10 = 0 THEN 'refused' ELSE (['ready', 'draft', 'refused'])[
 """,
 )
 def m_deliveries(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.delivery_outcomes(corpus.newest(spark, sf))
+    return metrics.delivery_outcomes(corpus.newest(spark, sf, "delivery"))
 
 
 @query("m_violations", f"WITH {corpus.R} SELECT sum(k % 3)::BIGINT AS value FROM r WHERE has_del")
 def m_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.claim_violations(corpus.newest(spark, sf))
+    return metrics.claim_violations(corpus.newest(spark, sf, "delivery"))
 
 
 @query(
@@ -294,7 +294,7 @@ def label_audit(spark: SparkSession, sf: str) -> DataFrame:
     from parity.sources.records import explode_checks
 
     result = F.when(F.col("skipped"), "skip").when(F.col("passed"), "pass").otherwise("fail")
-    series = explode_checks(corpus.newest(spark, sf)).select(F.col("name").alias("check"), result.alias("result"))
+    series = explode_checks(corpus.newest(spark, sf, "validation")).select(F.col("name").alias("check"), result.alias("result"))
     return metrics.label_audit(series, {"check": ("schema", "row_count"), "result": ("pass", "fail")})
 
 

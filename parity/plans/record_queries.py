@@ -54,7 +54,7 @@ def scan_records(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {corpus.R}, {corpus.CHECKS_SQL} SELECT r.id AS migration_id, failed, status FROM r LEFT JOIN st ON st.k = r.k",
 )
 def harvest_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = evidence.distinct_records(corpus.records(spark, sf))
+    distinct = evidence.distinct_records(corpus.records(spark, sf, "validation"))
     return distinct.select("migration_id", "failed", facts.validation_status().alias("status"))
 
 
@@ -68,7 +68,7 @@ SELECT (SELECT count(*) FROM r)::BIGINT AS migrations_observed,
 """,
 )
 def harvest_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.totals(evidence.distinct_records(corpus.records(spark, sf)))
+    return evidence.totals(evidence.distinct_records(corpus.records(spark, sf, "validation")))
 
 
 @query(
@@ -81,7 +81,7 @@ FROM rp WHERE admitted GROUP BY 1
 """,
 )
 def harvest_repairs(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = evidence.distinct_records(corpus.records(spark, sf))
+    distinct = evidence.distinct_records(corpus.records(spark, sf, "repair"))
     found = evidence.evidence(evidence.repair_attempts(distinct))
     return found.select("key", "attempts", "successes", "migrations")
 
@@ -96,7 +96,7 @@ FROM tr WHERE admitted GROUP BY 1
 """,
 )
 def harvest_optimizations(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = evidence.distinct_records(corpus.records(spark, sf))
+    distinct = evidence.distinct_records(corpus.records(spark, sf, "optimization"))
     found = evidence.evidence(evidence.optimization_attempts(distinct))
     return found.select("key", "attempts", "successes", "migrations", "speedups")
 
@@ -109,7 +109,7 @@ thin AS (SELECT approach || '@' || (k % 100) AS key, count(*) AS attempts, count
 
 
 def _thin(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = evidence.distinct_records(corpus.records(spark, sf))
+    distinct = evidence.distinct_records(corpus.records(spark, sf, "repair"))
     rows = facts.explode_repairs(distinct).filter("admitted")
     source = distinct.select("migration_id", F.regexp_extract("source_path", r"(\d+)", 1).alias("src"))
     keyed = rows.join(source, "migration_id").select(
@@ -151,7 +151,7 @@ SELECT key, round(ms, 9) AS median_speedup, round(CASE WHEN n >= 3 THEN mp - ms
 """,
 )
 def evidence_speedups(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = evidence.distinct_records(corpus.records(spark, sf))
+    distinct = evidence.distinct_records(corpus.records(spark, sf, "optimization"))
     found = evidence.evidence(evidence.optimization_attempts(distinct))
     return found.select(
         "key", F.round("median_speedup", 9).alias("median_speedup"), F.round("optimism", 9).alias("optimism")
@@ -171,7 +171,7 @@ FROM asked LEFT JOIN seen USING (key)
 """,
 )
 def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    distinct = evidence.distinct_records(corpus.records(spark, sf))
+    distinct = evidence.distinct_records(corpus.records(spark, sf, "repair"))
     attempts = facts.explode_repairs(distinct)
     known = evidence.evidence(evidence.repair_attempts(distinct))
     k = F.substring("migration_id", 2, 20).cast("bigint")
@@ -192,7 +192,7 @@ FROM pd JOIN st ON st.k = pd.k GROUP BY category
 """,
 )
 def outcomes_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.outcomes_by_category(evidence.distinct_records(corpus.records(spark, sf)))
+    return evidence.outcomes_by_category(evidence.distinct_records(corpus.records(spark, sf, "plan", "validation")))
 
 
 # --- verdicts of stored reports ----------------------------------------------------------------------
@@ -206,7 +206,7 @@ SELECT id AS migration_id, status, n::BIGINT AS checks, n_failed::BIGINT AS fail
 """,
 )
 def diff_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.verdict(facts.explode_checks(corpus.newest(spark, sf)), ["migration_id"])
+    return compare.verdict(facts.explode_checks(corpus.newest(spark, sf, "validation")), ["migration_id"])
 
 
 @query(
@@ -221,7 +221,7 @@ FROM ck GROUP BY id
 """,
 )
 def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
-    flat = compare.summary(facts.explode_checks(corpus.newest(spark, sf)), ["migration_id"])
+    flat = compare.summary(facts.explode_checks(corpus.newest(spark, sf, "validation")), ["migration_id"])
     return _with_text(flat, "failed_checks")
 
 
@@ -236,7 +236,7 @@ FROM st
 )
 def diff_external_check(spark: SparkSession, sf: str) -> DataFrame:
     """The test run of a record, where there is one, counts as one more check of its report."""
-    records = corpus.newest(spark, sf)
+    records = corpus.newest(spark, sf, "validation")
     checks = facts.explode_checks(records).select("migration_id", "name", "passed", "skipped")
     run = F.col("validation.test_run")
     tests = records.filter(run.isNotNull()).select(
@@ -263,7 +263,7 @@ FROM w
 """,
 )
 def required_checks(spark: SparkSession, sf: str) -> DataFrame:
-    planned = corpus.newest(spark, sf).filter("plan is not null")
+    planned = corpus.newest(spark, sf, "plan").filter("plan is not null")
     plans = planned.select(
         F.col("migration_id").alias("id"),
         F.col("plan.validation_plan.required_checks").alias("required"),
@@ -282,7 +282,7 @@ FROM d GROUP BY category
 """,
 )
 def diff_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    found = facts.explode_differences(corpus.newest(spark, sf))
+    found = facts.explode_differences(corpus.newest(spark, sf, "validation"))
     return _with_text(compare.by_category(found), "columns")
 
 
@@ -366,7 +366,7 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY differences, attempt) = 1
 """,
 )
 def best_attempt(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.best_attempt(facts.explode_repairs(corpus.newest(spark, sf)))
+    return ledger.best_attempt(facts.explode_repairs(corpus.newest(spark, sf, "repair")))
 
 
 @query(
@@ -379,7 +379,7 @@ FROM rp GROUP BY id
 """,
 )
 def repair_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.repair_outcomes(facts.explode_repairs(corpus.newest(spark, sf)), max_attempts=3)
+    return ledger.repair_outcomes(facts.explode_repairs(corpus.newest(spark, sf, "repair")), max_attempts=3)
 
 
 # --- lifecycle ------------------------------------------------------------------------------------------
@@ -394,7 +394,7 @@ FROM sg GROUP BY id
 """,
 )
 def stage_durations(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.stage_durations(facts.explode_stages(corpus.newest(spark, sf)))
+    return lifecycle.stage_durations(facts.explode_stages(corpus.newest(spark, sf, "stages")))
 
 
 @query(
@@ -411,7 +411,7 @@ FROM r LEFT JOIN todo ON todo.id = r.id LEFT JOIN o ON o.i = todo.i
 """,
 )
 def resume_points(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.resume_points(corpus.newest(spark, sf))
+    return lifecycle.resume_points(corpus.newest(spark, sf, "plan", "stages"))
 
 
 @query(
@@ -426,7 +426,7 @@ FROM r LEFT JOIN s ON s.k = r.k
 """,
 )
 def risk_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.risk_rollup(corpus.newest(spark, sf))
+    return lifecycle.risk_rollup(corpus.newest(spark, sf, "plan", "spec"))
 
 
 @query(
@@ -441,7 +441,7 @@ FROM f GROUP BY id
 """,
 )
 def findings_pass(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.findings_pass(lifecycle.explode_findings(corpus.newest(spark, sf)))
+    return lifecycle.findings_pass(lifecycle.explode_findings(corpus.newest(spark, sf, "codegen")))
 
 
 # --- delivery -------------------------------------------------------------------------------------------
@@ -461,7 +461,7 @@ SELECT id AS migration_id, CASE WHEN a THEN 'refused' WHEN failed THEN 'draft' W
 """,
 )
 def disposition(spark: SparkSession, sf: str) -> DataFrame:
-    return delivery.deliveries(corpus.newest(spark, sf)).select("migration_id", "disposition")
+    return delivery.deliveries(corpus.newest(spark, sf, "codegen", "validation", "repair", "plan", "spec", "optimization")).select("migration_id", "disposition")
 
 
 @query(
@@ -477,7 +477,7 @@ FROM dr LEFT JOIN s ON s.k = dr.k
 """,
 )
 def disposition_labels(spark: SparkSession, sf: str) -> DataFrame:
-    made = delivery.deliveries(corpus.newest(spark, sf), origin="auto")
+    made = delivery.deliveries(corpus.newest(spark, sf, "codegen", "validation", "repair", "plan", "spec", "optimization"), origin="auto")
     return _with_text(made.select("migration_id", "labels"), "labels")
 
 
@@ -565,7 +565,7 @@ def claims_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("claims_supported", f"WITH {_CLAIM_BASE} SELECT id, kind, value FROM sp")
 def claims_supported(spark: SparkSession, sf: str) -> DataFrame:
-    return delivery.supported_numbers(corpus.newest(spark, sf))
+    return delivery.supported_numbers(corpus.newest(spark, sf, "plan", "validation", "repair", "optimization")).distinct()
 
 
 @query(
@@ -582,7 +582,7 @@ FROM tx LEFT JOIN (SELECT id, count(*) AS n FROM cl GROUP BY id) c ON c.id = tx.
 def claims_audit(spark: SparkSession, sf: str) -> DataFrame:
     texts = claim_texts(spark, sf)
     claims = delivery.extract_claims(texts)
-    broken = delivery.violations(claims, delivery.supported_numbers(corpus.newest(spark, sf)))
+    broken = delivery.violations(claims, delivery.supported_numbers(corpus.newest(spark, sf, "plan", "validation", "repair", "optimization")))
     return delivery.audit(texts, claims, broken)
 
 
@@ -603,7 +603,7 @@ FROM v
 )
 def claims_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     texts = claim_texts(spark, sf)
-    supported = delivery.supported_numbers(corpus.newest(spark, sf))
+    supported = delivery.supported_numbers(corpus.newest(spark, sf, "plan", "validation", "repair", "optimization"))
     broken = delivery.violations(delivery.extract_claims(texts), supported)
     return delivery.excerpts(broken, texts).select("id", "kind", "claimed", "excerpt")
 
@@ -632,4 +632,4 @@ UNION ALL SELECT id, 'provenance', 3, 'seconds=' || printf('%.1f', coalesce(secs
 """,
 )
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return delivery.evidence_rows(corpus.newest(spark, sf))
+    return delivery.evidence_rows(corpus.newest(spark, sf, "plan", "spec", "validation", "repair", "optimization", "stages"))

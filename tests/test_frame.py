@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from frames import assert_same, to_spark
 from parity.functions.masks import and_, filter_rows, mask, ne, not_, or_, query
-from parity.functions.numbers import format_fixed, format_general, round_half_even
+from parity.functions.numbers import ratio_texts, round_half_even, with_fixed
 from parity.functions.types import normalize
 from parity.operators import frame
 
@@ -69,9 +69,11 @@ def test_numbers_print_as_python_prints_them(spark):
     values = [1.005, 0.125, 1.015, 2.675, 1.0, 1.25, 1.38, 0.0, 9.999995, 99999.95, 0.00012345, 1e7, 2.5]
     values += [i / 64 for i in range(0, 4000, 7)] + [i / 1000 for i in range(0, 4000, 5)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = df.selectExpr("x", f"{format_fixed('x', 2)} AS a", f"{format_fixed('x', 1)} AS b", f"{format_general('x')} AS g")
-    for r in got.collect():
-        assert (r.a, r.b, r.g) == (f"{r.x:.2f}", f"{r.x:.1f}", f"{r.x:g}")
+    two = with_fixed(df, "x", "2", "a").collect()
+    assert [r.a for r in two] == [f"{r.x:.2f}" for r in two]
+    quoted = ratio_texts(df.distinct(), "x", "t").groupBy("x").agg(F.collect_list("t").alias("t")).collect()
+    for r in quoted:
+        assert sorted(r.t) == sorted([f"{r.x:.2f}", f"{r.x:.1f}", f"{r.x:g}"])
 
 
 def test_fillna(df):

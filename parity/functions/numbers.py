@@ -72,4 +72,6 @@ def ratio_texts(df: DataFrame, x: str, output: str, otherwise: str = "NULL") ->
     text = (
         f"CASE __form WHEN 'none' THEN {otherwise} WHEN 'short' THEN {trimmed('__fixed', x)} ELSE __fixed END"
     )
-    return rows.selectExpr("*", f"{text} AS {output}").drop("__form", "__n", "__fixed")
+    # exploding one text keeps filters on it, which joins add too, from being pushed down into a copy
+    # of the whole computation
+    return rows.selectExpr("*", f"explode(array({text})) AS {output}").drop("__form", "__n", "__fixed")

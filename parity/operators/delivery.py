@@ -167,10 +167,10 @@ def supported_numbers(records: DataFrame) -> DataFrame:
     present = [
         f"if({condition}, {text}, {nothing})" for condition, texts in parts.items() for text in texts
     ]
-    every = f"array_distinct(concat({', '.join(present)}))"
+    every = f"filter(concat({', '.join(present)}), e -> e.value IS NOT NULL OR e.ratio IS NOT NULL)"
     rows = records.selectExpr("migration_id AS id", f"inline({every})")
     texts = ratio_texts(rows.withColumnRenamed("value", "plain"), "ratio", "value", otherwise="plain")
-    return texts.filter("value IS NOT NULL").select("id", "kind", "value")
+    return texts.select("id", "kind", "value")
 
 
 def violations(claims: DataFrame, supported: DataFrame) -> DataFrame:

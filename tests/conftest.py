@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
+        spark__python__sql__dataFrameDebugging__enabled="false",
         spark__driver__memory="8g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )

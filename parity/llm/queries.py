@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm import quality
+from parity.llm import decontaminate, quality
 from parity.llm.registry import query, table
 
 BLANK_SET = "[^\\x20\\x09-\\x0D]+"
@@ -46,3 +46,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~F.col("kept_base")).alias("base_failed"),
         F.col("kept_v2").alias("kept"),
     )
+
+
+ITEM_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op9_benchmark_decontamination",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOW}, '{ITEM_WORD}') AS ws
+               FROM documents),
+    b AS (SELECT item_id, ws, least(len(ws), 10) AS n
+          FROM (SELECT item_id, regexp_extract_all({LOW}, '{ITEM_WORD}') AS ws FROM benchmark) WHERE len(ws) > 0),
+    g AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS gram
+          FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+    s AS (SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS gram
+          FROM (SELECT k, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS i
+                FROM d, (SELECT DISTINCT n FROM g))),
+    h AS (SELECT k, i, n, item_id FROM s JOIN g USING (n, gram)),
+    c AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM h) GROUP BY k),
+    t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+          FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY k)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
+    """,
+)
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parity.session import apply_defaults
+from parity.session import apply_defaults, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if spark.sparkContext.getCheckpointDir() is None:
+                spark.sparkContext.setCheckpointDir(shared_dir(spark))
             return fn(apply_defaults(spark), sf_dir)
 
         QUERIES[name] = run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm import decontaminate, language, quality, tokens
+from parity.llm import decontaminate, language, private, quality, tokens
 from parity.llm.registry import query, table
 
 BLANK_SET = "[^\\x20\\x09-\\x0D]+"
@@ -97,3 +97,13 @@ def tokenizer_path() -> str:
 @query("op7_token_ids")
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = private.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm import decontaminate, language, private, quality, tokens
+from parity.llm import decontaminate, forest, language, mixture, private, quality, tokens
 from parity.llm.registry import query, table
 
 BLANK_SET = "[^\\x20\\x09-\\x0D]+"
@@ -107,3 +107,15 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         "spans",
     )
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forest.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_class")
+
+
+@query("op8_source_mixture")
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixture.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", "topic", "ratio", "probability", "sampled")

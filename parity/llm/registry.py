@@ -14,16 +14,22 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def prepared(fn: Callable) -> Callable:
+    """``fn`` with the library's settings and a shared checkpoint folder on the session it is given."""
+
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        return fn(apply_defaults(spark), *args)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; without SQL the tests hold it against brute force."""
 
     def register(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            if spark.sparkContext.getCheckpointDir() is None:
-                spark.sparkContext.setCheckpointDir(shared_dir(spark))
-            return fn(apply_defaults(spark), sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = prepared(fn)
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn

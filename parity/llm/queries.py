@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parity.llm import decontaminate, forest, language, mixture, private, quality, tokens
+from parity.llm import decontaminate, forest, language, mixture, private, quality, template, tokens
 from parity.llm.registry import query, table
 
 BLANK_SET = "[^\\x20\\x09-\\x0D]+"
@@ -119,3 +119,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixture.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", "topic", "ratio", "probability", "sampled")
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = template.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -57,15 +57,20 @@ def buckets_for(rows: DataFrame, bytes_each: int = 64 << 20) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
 
 
+def groups(changes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the groups of n sorted rows, from where a row differs from the one before it."""
+    starts = np.concatenate([np.zeros(min(n, 1), np.int64), np.flatnonzero(changes) + 1])
+    return starts, np.append(starts[1:], n)[: len(starts)]
+
+
 def packed(rec: Records, bucket: np.ndarray, fields) -> pd.DataFrame:
     """One row for each bucket with the bytes of each field."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    cuts, ends = groups(b[1:] != b[:-1], len(b))
     out = {"bucket": b[cuts].astype(np.int32)}
     for name, kind in fields:
         values = rec[name].astype(kind)[order]
-        ends = np.append(cuts[1:], len(b))
         out[name] = [values[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)]
     return pd.DataFrame(out)
 
@@ -89,8 +94,7 @@ def gathered(out: dict[str, np.ndarray]) -> pd.DataFrame:
     found = np.zeros(len(order), FOUND)
     for name in FOUND.names:
         found[name] = out[name][order]
-    cuts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(i))
+    cuts, ends = groups((i[1:] != i[:-1]) | (k[1:] != k[:-1]), len(i))
     return pd.DataFrame({
         "id": i[cuts], "key": k[cuts], "found": [found[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
     })

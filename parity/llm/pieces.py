@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: White space beside white space or at an end, and the mark used for the first piece of a text.
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$|\x01")
+#: White space other than the space and the line end, and the mark used for the first piece of a text.
+_RARE_ASCII = "\t\r\v\f\x1c\x1d\x1e\x1f\x01"
+_RARE = re.compile(r"[^\S \n]")
+#: A word and the marks after it: the pre-tokenizer always parts a letter or digit from a following mark.
+_MARKED = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
 #: Pieces remembered by a worker before it starts anew; bounds its memory.
 REMEMBERED = 1_000_000
 
@@ -27,20 +30,52 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = tuple(added)
+        tokens = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(tokens.values()) + 1, bool)
+        self.spaced[[i for t, i in tokens.items() if t[0] in "\u0120\u010a"]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.cores: dict[str, np.ndarray] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _learn(self, cores: list[str]) -> None:
+        """Ids of texts that begin with their only white space, all in one call: an id whose token begins with white
+        space is the first of its text."""
+        if not cores:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(cores)], add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(cores):
+            raise ValueError("this tokenizer joins text across a space")
+        self.cores.update(zip(cores, np.split(ids, starts[1:]), strict=True))
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a short text without a leading space."""
+        if text not in self.cores:
+            self.cores[text] = np.array(
+                self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32
+            )
+        return self.cores[text]
+
     def _add(self, keys: list[str], texts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split = []
+        for text in texts:
+            marked = _MARKED.fullmatch(text)
+            good = marked and (marked[1][-1].isalpha() or marked[1][-1].isdecimal())
+            split.append((marked[1], marked[2]) if good else (text, ""))
+        self._learn(list(dict.fromkeys(c for c, _ in split if c[0] in " \n" and c not in self.cores)))
+        encoded = []
+        for core, marks in split:
+            ids = self.cores[core] if core[0] in " \n" else self._plain(core)
+            encoded.append(np.concatenate([ids, self._plain(marks)]) if marks else ids)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
+        flat = np.concatenate(encoded)
         first, n = len(self.index), len(keys)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -53,13 +88,21 @@ class PieceEncoder:
         self.index.update(zip(keys, range(first, first + n), strict=True))
         self.used += len(flat)
 
+    def _regular(self, text: str) -> bool:
+        """Whether every space and line end stands alone between other characters, and nothing else is special."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return False
+        if any(c in text for c in _RARE_ASCII) or not text.isascii() and _RARE.search(text):
+            return False
+        return not any(x in text for x in self.special)
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); ``end`` is put after each text."""
         if len(self.index) > REMEMBERED:
             self._forget()
         regular, pieces, counts = [], [], []
         for i, text in enumerate(texts):
-            if text and not _IRREGULAR.search(text) and not (self.special and self.special.search(text)):
+            if text and self._regular(text):
                 cut = text.replace("\n", " \n").split(" ")
                 cut[0] = "\1" + cut[0]
                 pieces += cut

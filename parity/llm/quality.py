@@ -62,45 +62,43 @@ def mask_of(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of MEASURES (long), in place of any that are there already."""
     own = [c for c in docs.columns if c not in MEASURES]
+    # the columns of the caller travel as one, so that no name of theirs meets one of these steps
+    carried = f"struct({', '.join(f'`{c}`' for c in own)}) AS carried" if own else "struct(1 AS none) AS carried"
     source = f"coalesce(`{text}`, '')"
-    first = docs.selectExpr(
-        *(f"`{c}`" for c in own),
-        f"{source} AS _t",
-        f"trim(BOTH '{BLANKS}' FROM {source}) AS _trimmed",
-    )
-    cut = first.selectExpr(
-        *(f"`{c}`" for c in own),
-        f"if(_trimmed = '', array(), split(_trimmed, '[{BLANKS}]+')) AS _w",
-        f"filter(split(_t, '\\\\n'), l -> l rlike '[^{BLANKS}]') AS _lines",
-        "length(regexp_replace(_t, '[^#*$%&|<>]+', '')) AS n_symbols",
-        "length(regexp_replace(_t, '\\\\P{L}+', '')) AS n_letters",
+    plain = [m for m in MEASURES if m != "n_repeat_words"]
+    trimmed = docs.selectExpr(carried, f"{source} AS t", f"trim(BOTH '{BLANKS}' FROM {source}) AS trimmed")
+    cut = trimmed.selectExpr(
+        "carried",
+        f"if(trimmed = '', array(), split(trimmed, '[{BLANKS}]+')) AS w",
+        f"filter(split(t, '\\\\n'), l -> l rlike '[^{BLANKS}]') AS lines",
+        "length(regexp_replace(t, '[^#*$%&|<>]+', '')) AS n_symbols",
+        "length(regexp_replace(t, '\\\\P{L}+', '')) AS n_letters",
     )
     hashed = cut.selectExpr(
-        *(f"`{c}`" for c in own),
-        "cast(size(_w) AS BIGINT) AS n_words",
-        "cast(length(array_join(_w, '')) AS BIGINT) AS word_chars",
+        "carried",
+        "cast(size(w) AS BIGINT) AS n_words",
+        "cast(length(array_join(w, '')) AS BIGINT) AS word_chars",
         "cast(n_symbols AS BIGINT) AS n_symbols",
         "cast(n_letters AS BIGINT) AS n_letters",
-        "cast(size(_lines) AS BIGINT) AS n_lines",
-        "cast(size(_lines) - size(array_distinct(_lines)) AS BIGINT) AS n_dup_lines",
-        f"cast(size(filter(_lines, l -> rtrim('{BLANKS}', l) rlike '(\\\\.\\\\.\\\\.|\\u2026)$')) AS BIGINT)"
+        "cast(size(lines) AS BIGINT) AS n_lines",
+        "cast(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines",
+        f"cast(size(filter(lines, l -> rtrim('{BLANKS}', l) rlike '(\\\\.\\\\.\\\\.|\u2026)$')) AS BIGINT)"
         " AS n_ellipsis_lines",
-        "if(size(_w) < 3, array(),"
-        " transform(sequence(0, size(_w) - 3), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)))) AS _h",
+        "if(size(w) < 3, array(),"
+        " transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))) AS h",
     )
-    plain = ", ".join(m for m in MEASURES if m != "n_repeat_words")
     placed = hashed.selectExpr(
-        *(f"`{c}`" for c in own), *plain.split(", "),
-        "if(size(array_distinct(_h)) < size(_h), sort_array(transform(_h, (x, i) -> struct(x AS x, i AS i))), array()) AS _z",
+        "carried", *plain,
+        "if(size(array_distinct(h)) < size(h), sort_array(transform(h, (x, i) -> struct(x AS x, i AS i))), array()) AS z",
     )
     starts = placed.selectExpr(
-        *(f"`{c}`" for c in own), *plain.split(", "),
-        "sort_array(transform(filter(_z, (e, i) -> coalesce(e.x = get(_z, i - 1).x, false)"
-        " OR coalesce(e.x = get(_z, i + 1).x, false)), e -> e.i)) AS _p",
+        "carried", *plain,
+        "sort_array(transform(filter(z, (e, i) -> coalesce(e.x = get(z, i - 1).x, false)"
+        " OR coalesce(e.x = get(z, i + 1).x, false)), e -> e.i)) AS p",
     )
     return starts.selectExpr(
-        *(f"`{c}`" for c in own), *plain.split(", "),
-        "aggregate(transform(_p, (x, j) -> least(3, coalesce(get(_p, j + 1) - x, 3))), 0L, (a, b) -> a + b)"
+        *(f"carried.`{c}` AS `{c}`" for c in own), *plain,
+        "aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1) - x, 3))), 0L, (a, b) -> a + b)"
         " AS n_repeat_words",
     )
 

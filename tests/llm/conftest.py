@@ -1,0 +1,10 @@
+import pytest
+
+from parity.session import shared_dir
+
+
+@pytest.fixture(scope="session", autouse=True)
+def checkpoints(spark):
+    """The operators read the shared folder from the session."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parity.functions.types import has_floats, normalize
+
 
 @dataclass(frozen=True)
 class Mask:
@@ -21,6 +23,8 @@ class Mask:
 
     condition: Column
     two_valued: Column
+    #: Whether the bare condition keeps every row to keep even where a float is NaN, so that it may filter first.
+    pushable: bool = True
 
     def __and__(self, other: Mask) -> Mask:
         return and_(self, other)
@@ -41,8 +45,8 @@ def ne(column: Column, value: Any) -> Mask:
     """``!=`` as pandas has it: a missing operand makes it True."""
     if isinstance(value, Column):
         kept = F.coalesce(column != value, F.lit(True))
-    else:
-        kept = column.isNull() | (column != value)
+        return Mask(kept, kept, False)
+    kept = column.isNull() | (column != value)
     return Mask(kept, kept)
 
 
@@ -50,6 +54,7 @@ def and_(*masks: Mask) -> Mask:
     return Mask(
         reduce(lambda a, b: a & b, (m.condition for m in masks)),
         reduce(lambda a, b: a & b, (m.two_valued for m in masks)),
+        all(m.pushable for m in masks),
     )
 
 
@@ -57,18 +62,25 @@ def or_(*masks: Mask) -> Mask:
     return Mask(
         reduce(lambda a, b: a | b, (m.condition for m in masks)),
         reduce(lambda a, b: a | b, (m.two_valued for m in masks)),
+        all(m.pushable for m in masks),
     )
 
 
 def not_(m: Mask) -> Mask:
-    return Mask(~m.two_valued, ~m.two_valued)
+    return Mask(~m.two_valued, ~m.two_valued, False)
 
 
 def filter_rows(df: DataFrame, predicate: Mask | Column) -> DataFrame:
-    """``df[mask]``."""
-    return df.filter(predicate.condition if isinstance(predicate, Mask) else predicate)
+    """``df[mask]``. NaN is a missing value and comes out as one; where no negation forbids it the bare condition
+    filters first, for the scan to push down."""
+    if not isinstance(predicate, Mask):
+        return normalize(df).filter(predicate)
+    if not has_floats(df):
+        return df.filter(predicate.condition)
+    first = df.filter(predicate.condition) if predicate.pushable else df
+    return normalize(first).filter(predicate.condition)
 
 
 def query(df: DataFrame, text: str) -> DataFrame:
     """``df.query(text)`` for a predicate in Spark SQL; write ``<=>`` for ``!=`` on nullable columns."""
-    return df.filter(F.expr(text))
+    return normalize(df).filter(F.expr(text))

@@ -26,27 +26,53 @@ def within_tolerance(left: str, right: str, tolerance: float) -> str:
         ELSE abs({left} - {right}) / greatest(abs({left}), abs({right}), {MIN_SCALE!r}D) <= {float(tolerance)!r}D END"""
 
 
-def with_fixed(df: DataFrame, x: str, digits: str, output: str) -> DataFrame:
-    """Add non-negative ``x`` as Python prints it with ``.{digits}f``, for values under 1e12.
+#: The largest double below which a whole number is a BIGINT, and below which two BIGINT factors make a decimal.
+_AS_LONG, _AS_DECIMAL = "9.2e18D", "pow(2.0D, 115)"
+
+
+def with_fixed_entries(df: DataFrame, entries: str, output: str) -> DataFrame:
+    """Add ``output``: for each struct (x, d, form) of the array ``entries`` (SQL text) its fields and ``fixed``, the
+    non-negative ``x`` as Python prints it with ``.{d}f``.
 
-    ``x`` and ``digits`` are SQL text. ``x * 10**digits`` is already rounded when it is computed, so a
-    value just under a tie can land on it. The nearest integer is therefore decided on the exact
-    binary value: split into a 24-bit head and the rest, both products are exact. The steps are
-    projections of their own, each value computed once.
+    The whole part is split off first, which is exact. The fraction times ``10**d`` is already rounded when it is
+    computed, so a value just under a tie can land on it. The nearest integer is therefore decided on the exact binary
+    value: split into a 24-bit head and the rest, both products are exact. Whole numbers beyond a BIGINT are a mantissa
+    times a power of two, multiplied as decimals; beyond those the digits after the first 17 are zeros. The steps are
+    projections of their own, each value computed once, and none of them can fail.
     """
+    long, decimal = _AS_LONG, _AS_DECIMAL
     steps = (
-        (f"CAST({x} AS DOUBLE) AS __x", f"CAST({digits} AS INT) AS __d"),
-        ("CAST(CAST(__x AS FLOAT) AS DOUBLE) AS __head", "pow(10.0D, __d) AS __unit"),
-        ("floor(__x * __unit) AS __base",),
-        ("(__head * __unit - (__base + 0.5D)) + (__x - __head) * __unit AS __excess",),
-        ("__base + if(__excess > 0 OR (__excess = 0 AND __base % 2 <> 0), 1L, 0L) AS __whole",),
+        {"w": f"if(e.x < {long}, floor(least(e.x, {long})), 0L)", "unit": "pow(10.0D, e.d)"},
+        {"f": f"if(e.x < {long}, e.x - e.w, 0.0D)"},
+        {"head": "CAST(CAST(e.f AS FLOAT) AS DOUBLE)", "base": "floor(e.f * e.unit)"},
+        {"excess": "(e.head * e.unit - (e.base + 0.5D)) + (e.f - e.head) * e.unit"},
+        {"part": "e.base + if(e.excess > 0 OR (e.excess = 0 AND (e.base + if(e.d = 0, e.w, 0L)) % 2 <> 0), 1L, 0L)"},
+        {"carry": "e.part >= e.unit", "power": f"if(e.x >= {long}, CAST(floor(log2(e.x)) AS INT) - 52, 0)"},
+        {
+            "whole": f"CASE WHEN e.x < {long} THEN CAST(e.w + if(e.carry, 1L, 0L) AS STRING) WHEN e.x < {decimal}"
+            " THEN CAST(CAST(CAST(e.x / pow(2.0D, e.power) AS BIGINT) AS DECIMAL(19, 0))"
+            " * CAST(shiftleft(1L, e.power) AS DECIMAL(19, 0)) AS STRING) ELSE format_string('%.0f', e.x) END"
+        },
+        {
+            "fixed": "if(e.x IS NULL, NULL, concat(e.whole, if(e.d > 0, concat('.', lpad(CAST(if(e.carry, 0L, e.part)"
+            " AS STRING), e.d, '0')), '')))"
+        },
     )
+    df = df.selectExpr("*", f"{entries} AS {output}")
+    fields = ["x", "d", "form"]
     for step in steps:
-        df = df.selectExpr("*", *step)
-    tail = "if(__d > 0, concat('.', lpad(CAST(__whole % CAST(__unit AS BIGINT) AS STRING), __d, '0')), '')"
-    text = f"concat(CAST(__whole div CAST(__unit AS BIGINT) AS STRING), {tail}) AS {output}"
-    temporary = ("__x", "__d", "__head", "__unit", "__base", "__excess", "__whole")
-    return df.selectExpr("*", text).drop(*temporary)
+        kept = [f"e.{f} AS {f}" for f in fields] + [f"{sql} AS {name}" for name, sql in step.items()]
+        df = df.withColumn(output, F.expr(f"transform({output}, e -> struct({', '.join(kept)}))"))
+        fields += list(step)
+    return df
+
+
+def with_fixed(df: DataFrame, x: str, digits: str, output: str) -> DataFrame:
+    """Add non-negative ``x`` as Python prints it with ``.{digits}f``; ``x`` and ``digits`` are SQL text."""
+    entry = f"array(struct(CAST({x} AS DOUBLE) AS x, CAST({digits} AS INT) AS d, '' AS form))"
+    return with_fixed_entries(df, entry, "__fixed_entries").selectExpr("*", f"__fixed_entries[0].fixed AS {output}").drop(
+        "__fixed_entries"
+    )
 
 
 #: Digits after the point that leave six significant ones, as ``:g`` does.
@@ -60,18 +86,14 @@ def trimmed(fixed: str, x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN '0' WHEN {x} >= 1e-4D AND {x} < 999999.5D THEN {plain} ELSE {scientific} END"
 
 
-def ratio_texts(df: DataFrame, x: str, output: str, otherwise: str = "NULL") -> DataFrame:
-    """One row per way to quote a non-negative ratio: with two digits, with one, and shortest.
-
-    A row without a ratio stays one row, with the text ``otherwise`` (SQL).
-    """
-    digits = {"two": "2", "one": "1", "short": SIX_SIGNIFICANT.format(x=x)}
-    forms = ", ".join(f"struct('{form}' AS __form, {n} AS __n)" for form, n in digits.items())
-    choice = f"if({x} IS NULL, array(struct('none' AS __form, 0 AS __n)), array({forms}))"
-    rows = with_fixed(df.selectExpr("*", f"inline({choice})"), x, "greatest(coalesce(__n, 0), 0)", "__fixed")
-    text = (
-        f"CASE __form WHEN 'none' THEN {otherwise} WHEN 'short' THEN {trimmed('__fixed', x)} ELSE __fixed END"
+def with_ratio_texts(df: DataFrame, ratios: str, output: str) -> DataFrame:
+    """Add ``output``: every way to quote each non-negative ratio of an array (SQL text): with two digits, with one,
+    and shortest."""
+    forms = {"two": "2", "one": "1", "short": SIX_SIGNIFICANT.format(x="r")}
+    each = ", ".join(
+        f"struct(r AS x, greatest(coalesce({n}, 0), 0) AS d, '{form}' AS form)" for form, n in forms.items()
     )
-    # exploding one text keeps filters on it, which joins add too, from being pushed down into a copy
-    # of the whole computation
-    return rows.selectExpr("*", f"explode(array({text})) AS {output}").drop("__form", "__n", "__fixed")
+    entries = f"flatten(transform(filter({ratios}, r -> r IS NOT NULL), r -> array({each})))"
+    printed = with_fixed_entries(df, entries, output)
+    text = f"if(e.form = 'short', {trimmed('e.fixed', 'e.x')}, e.fixed)"
+    return printed.withColumn(output, F.expr(f"transform({output}, e -> {text})"))

@@ -1,4 +1,4 @@
-"""Type families: storage width is noise, a change of family is a finding."""
+"""Families that column types are compared and chosen by, SQL text forms of values, and one form of missing."""
 
 from __future__ import annotations
 
@@ -54,6 +54,10 @@ def text_sql(sql: str, dtype: T.DataType) -> str:
     return f"CAST({sql} AS STRING)"
 
 
+def has_floats(df: DataFrame) -> bool:
+    return any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in df.schema.fields)
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """NaN to null in every float column, so that one missing value remains, as in pandas."""
     floats = {

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +28,14 @@ from parity.functions.types import (
 )
 from parity.operators.align import BLOCK, aligned
 from parity.operators.stats import (
+    column_stats,
     distinct_counts,
     duplicate_count,
     has_duplicates,
     literal_rows,
     measures,
 )
+from parity.sources.datasets import DatasetError, load_dataset
 
 # The named checks, and those run when nothing else is asked for.
 KNOWN_CHECKS = (
@@ -58,13 +61,29 @@ MAX_SAMPLES = 10
 DIFFERENCE = "check string, column string, category string, reference string, candidate string, detail string"
 
 
+# How rows are paired where keys do not name them.
+NOT_UNIQUE, NO_KEYS = "sorted rows (keys not unique)", "sorted rows (no usable keys)"
+
+
 @dataclass(frozen=True)
 class Comparison:
-    """Lazily computed results of one comparison."""
+    """Lazily computed results of one comparison.
+
+    ``differences`` has samples of differing records, ``all_differences`` every one of them. ``statistics`` has the
+    columns of both sides, with ``side``.
+    """
 
     checks: DataFrame
     differences: DataFrame
     verdict: DataFrame
+    all_differences: DataFrame | None = None
+    statistics: DataFrame | None = None
+    cached: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Give back what ``cache`` holds."""
+        for side in self.cached:
+            side.unpersist()
 
 
 def _shared(ref: DataFrame, cand: DataFrame) -> list[str]:
@@ -316,24 +335,34 @@ def keyed_differences(cells: DataFrame, n: int = MAX_SAMPLES) -> DataFrame:
     side = F.when(F.col("kind") == "left_only", 0).when(F.col("kind") == "right_only", 1).otherwise(2)
     capped = counted.orderBy(side, "ordinal", "key").limit(2 * n)
     detail = (
-        F.when(F.col("kind") == "left_only", "row present only in the reference")
-        .when(F.col("kind") == "right_only", "row present only in the candidate")
-        .otherwise(F.format_string("at %s (%d rows differ in this column)", "key", "mismatches"))
+        F.when(F.col("kind") == "left_only", F.format_string("one of %d reference records without a partner", "mismatches"))
+        .when(F.col("kind") == "right_only", F.format_string("one of %d candidate records without a partner", "mismatches"))
+        .otherwise(F.format_string("key %s, one of %d cells of the column", "key", "mismatches"))
     )
+    return _cell_rows(capped, detail)
+
+
+def _cell_rows(cells: DataFrame, detail: Column) -> DataFrame:
     category = F.when(F.col("kind") == "cell", "floating_point")
     return _rows(
-        capped, "numeric_tolerance", F.col("column"), category, F.col("reference"), F.col("candidate"), detail
+        cells, "numeric_tolerance", F.col("column"), category, F.col("reference"), F.col("candidate"), detail
     )
 
 
-def sorted_differences(cells: DataFrame, strategy: str, n: int = MAX_SAMPLES) -> DataFrame:
-    """The first n positions per column."""
-    few = samples(cells, ["column"], ["pos"], n)
-    span = F.sequence(F.col("pos"), F.col("pos") + F.least(F.col("n"), F.lit(n)) - 1)
-    spread = few.withColumn("pos", F.explode(span))
-    detail = F.format_string(f"{strategy}: differs at sorted position %d", "pos")
+def all_keyed_differences(cells: DataFrame) -> DataFrame:
+    """Every differing cell and every record of one side only."""
+    side = F.when(F.col("kind") == "left_only", "reference only").when(F.col("kind") == "right_only", "candidate only")
+    return _cell_rows(cells, F.concat_ws(" ", F.concat(F.lit("key "), F.col("key")), side))
+
+
+def sorted_differences(cells: DataFrame, strategy: str, n: int | None = MAX_SAMPLES) -> DataFrame:
+    """The first n positions per column, or all of them."""
+    few = cells if n is None else samples(cells, ["column"], ["pos"], n)
+    last = F.col("n") if n is None else F.least(F.col("n"), F.lit(n))
+    spread = few.withColumn("pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + last - 1)))
+    detail = F.format_string(f"{strategy}, place %d in the order of both", "pos")
     return _rows(
-        samples(spread, ["column"], ["pos"], n),
+        spread if n is None else samples(spread, ["column"], ["pos"], n),
         "numeric_tolerance", F.col("column"), F.lit(None), F.col("reference"), F.col("candidate"), detail,
     )
 
@@ -344,8 +373,8 @@ def record_check(
     keys: Sequence[str],
     tolerance: float = DEFAULT_TOLERANCE,
     n: int = MAX_SAMPLES,
-) -> tuple[DataFrame | None, str]:
-    """Differences of the record-level check, and what was done. None: the check cannot run.
+) -> tuple[DataFrame | None, DataFrame | None, str]:
+    """Sampled and all differences of the record-level check, and what was done. None: the check cannot run.
 
     The strategy depends on the data, so whether the keys are unique (and, without keys, whether
     the sizes agree) is looked up here, each by a job that returns one value.
@@ -353,19 +382,23 @@ def record_check(
     spark = ref.sparkSession
     usable = [k for k in keys if k in ref.columns and k in cand.columns]
     if keys and not usable:
-        return None, f"declared keys {list(keys)} are absent from the outputs"
+        return None, None, f"neither output has all of the keys {list(keys)}"
     if usable and not (has_duplicates(ref, usable) or has_duplicates(cand, usable)):
         cells = keyed_cells(ref, cand, usable, tolerance)
-        return keyed_differences(cells, n), f"records keyed on {usable} at tolerance {tolerance:g}"
-    strategy = "sorted rows (keys not unique)" if usable else "sorted rows (no usable keys)"
+        told = f"records keyed on {usable} at tolerance {tolerance:g}"
+        return keyed_differences(cells, n), all_keyed_differences(cells), told
+    strategy = NOT_UNIQUE if usable else NO_KEYS
     a, b = ref.count(), cand.count()
     if a != b:
-        row = ("numeric_tolerance", None, None, str(a), str(b), "row counts differ, records cannot be aligned")
-        return literal_rows(spark, DIFFERENCE, [row]), f"{strategy}: row counts differ"
+        text = f"{a} reference records cannot be paired with {b} candidate records"
+        found = literal_rows(spark, DIFFERENCE, [("numeric_tolerance", None, None, str(a), str(b), text)])
+        return found, found, f"{strategy}: {a} and {b} rows"
     if not _shared(ref, cand):
-        return literal_rows(spark, DIFFERENCE, []), f"{strategy}: no shared columns"
+        found = literal_rows(spark, DIFFERENCE, [])
+        return found, found, f"{strategy}: no shared columns"
     cells = sorted_cells(ref, cand, tolerance)
-    return sorted_differences(cells, strategy, n), f"{strategy}: {a} rows at tolerance {tolerance:g}"
+    told = f"{strategy}: {a} rows at tolerance {tolerance:g}"
+    return sorted_differences(cells, strategy, n), sorted_differences(cells, strategy, None), told
 
 
 # --- verdict -------------------------------------------------------------------------------------
@@ -460,6 +493,7 @@ def compare(
     columns = _shared(ref, cand)
     parts: list[DataFrame] = []
     rows: list[tuple[str, bool, str]] = []
+    sampled = complete = literal_rows(spark, DIFFERENCE, [])
     one_pass = [c for c in dict.fromkeys(checks) if c in ONE_PASS_CHECKS]
     if one_pass and columns:
         both = _side_by_side(ref, cand, columns, portable_checksum)
@@ -475,17 +509,17 @@ def compare(
             parts.append(duplicate_differences(ref, cand, keys))
             text = "full rows and declared keys"
         elif name == "numeric_tolerance":
-            found, text = record_check(ref, cand, keys, tolerance, n)
+            found, every, text = record_check(ref, cand, keys, tolerance, n)
             skipped = found is None
             if found is not None:
-                parts.append(found)
+                sampled, complete = found, every
         else:
             skipped, text = not columns, f"{len(columns)} shared columns"
             distinct = distinct_differences(ref, cand, columns) if name == "column_statistics" else None
             if distinct is not None:
                 parts.append(distinct)
         rows.append((name, skipped, text))
-    differences = reduce(DataFrame.unionByName, parts) if parts else literal_rows(spark, DIFFERENCE, [])
+    differences = reduce(DataFrame.unionByName, parts, sampled)
     declared = literal_rows(spark, "name string, skipped boolean, detail string", rows)
     counts = differences.groupBy("check").agg(F.count(F.lit(1)).alias("__n"))
     results = declared.join(counts, F.col("name") == F.col("check"), "left").select(
@@ -494,4 +528,21 @@ def compare(
         "skipped",
         "detail",
     )
-    return Comparison(results, differences, verdict(results))
+    statistics = reduce(
+        DataFrame.unionByName,
+        (column_stats(side).withColumn("side", F.lit(name)) for name, side in (("reference", ref), ("candidate", cand))),
+    )
+    every = reduce(DataFrame.unionByName, parts, complete)
+    return Comparison(results, differences, verdict(results), every, statistics, (ref, cand) if cache else ())
+
+
+def compare_paths(spark: SparkSession, reference: str, candidate: str, **options) -> Comparison:
+    """:func:`compare` for outputs on disk. One that cannot be read makes the verdict ERROR, with the message."""
+    sides = []
+    for path in (reference, candidate):
+        try:
+            sides.append(load_dataset(spark, path))
+        except (DatasetError, AnalysisException) as exc:
+            none = literal_rows(spark, "name string, passed boolean, skipped boolean, detail string", [])
+            return Comparison(none, literal_rows(spark, DIFFERENCE, []), error_verdict(spark, str(exc)))
+    return compare(*sides, **options)

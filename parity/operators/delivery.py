@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.numbers import ratio_texts, with_fixed
+from parity.functions.numbers import with_fixed, with_ratio_texts
 from parity.operators.bench import array_median
 from parity.operators.lifecycle import record_risk
 from parity.sources.records import (
@@ -29,8 +29,6 @@ CLAIM_PATTERNS = {
     "attempts": r"(\d+)\s+(?:repair\s+)?attempts?\b",
 }
 ALWAYS_SUPPORTED = {"speedup": ("1", "1.0", "1.00")}
-EXCERPT_LENGTH = 160
-MAX_LISTED_DIFFERENCES = 10
 
 
 # --- disposition -----------------------------------------------------------------------------------
@@ -99,16 +97,19 @@ def _matches(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?iU){CLAIM_PATTERNS[kind]}"), F.lit(1))
 
 
-def extract_claims(texts: DataFrame) -> DataFrame:
-    """``id, kind, place, claimed`` for every number claimed in ``id, text``."""
+def _claims() -> Column:
     def tagged(kind: str) -> Column:
         def claim(value: Column, place: Column) -> Column:
             return F.struct(F.lit(kind).alias("kind"), place.alias("place"), value.alias("claimed"))
 
         return F.transform(_matches(F.col("text"), kind), claim)
 
-    found = F.flatten(F.array(*[tagged(kind) for kind in CLAIM_PATTERNS]))
-    return texts.select("id", F.inline(found))
+    return F.flatten(F.array(*[tagged(kind) for kind in CLAIM_PATTERNS]))
+
+
+def extract_claims(texts: DataFrame) -> DataFrame:
+    """``id, kind, place, claimed`` for every number claimed in ``id, text``."""
+    return texts.select("id", F.inline(_claims()))
 
 
 def outcome_speedup() -> str:
@@ -122,30 +123,20 @@ def outcome_speedup() -> str:
 
 
 def _entries(kind: str, *values: str) -> str:
-    rows = ", ".join(f"struct('{kind}' AS kind, string({v}) AS value, CAST(NULL AS DOUBLE) AS ratio)" for v in values)
+    rows = ", ".join(f"struct('{kind}' AS kind, string({v}) AS value)" for v in values)
     return f"array({rows})"
 
 
-def _ratio(value: str) -> str:
-    return f"struct('speedup' AS kind, CAST(NULL AS STRING) AS value, CAST({value} AS DOUBLE) AS ratio)"
-
-
-def supported_numbers(records: DataFrame) -> DataFrame:
-    """``id, kind, value``: every text a record supports; two of its numbers may read the same.
-
-    The numbers become rows first; ratios are then printed in each way they may be quoted.
-    """
+def supported_lists(records: DataFrame) -> DataFrame:
+    """``id, supported``: one row a record with an array of the (kind, value) it supports; two of its numbers may read
+    the same."""
     checks, run = "coalesce(validation.report.checks, array())", "validation.test_run"
     found = f"aggregate({checks}, 0, (n, c) -> n + greatest(coalesce(size(c.differences), 0), 0))"
     declared = "coalesce(size(flatten(transform(plan.steps, s -> s.semantic_differences))), 0)"
     counts = [f"validation.report.{side}.row_count" for side in ("reference", "candidate")]
     parts = {
         "true": [_entries(k, *[f"'{v}'" for v in values]) for k, values in ALWAYS_SUPPORTED.items()],
-        "optimization IS NOT NULL": [
-            f"array({_ratio(outcome_speedup())})",
-            _entries("attempts", "coalesce(size(optimization.attempts), 0)"),
-            f"transform(coalesce(optimization.attempts, array()), a -> {_ratio('a.strategy.expected_speedup')})",
-        ],
+        "optimization IS NOT NULL": [_entries("attempts", "coalesce(size(optimization.attempts), 0)")],
         "validation IS NOT NULL": [
             _entries(
                 "checks", f"size({checks})", f"size(filter({checks}, c -> c.passed))",
@@ -167,41 +158,53 @@ def supported_numbers(records: DataFrame) -> DataFrame:
     present = [
         f"if({condition}, {text}, {nothing})" for condition, texts in parts.items() for text in texts
     ]
-    every = f"filter(concat({', '.join(present)}), e -> e.value IS NOT NULL OR e.ratio IS NOT NULL)"
-    rows = records.selectExpr("migration_id AS id", f"inline({every})")
-    texts = ratio_texts(rows.withColumnRenamed("value", "plain"), "ratio", "value", otherwise="plain")
-    return texts.select("id", "kind", "value")
+    plain = f"filter(concat({', '.join(present)}), e -> e.value IS NOT NULL) AS plain"
+    ratios = (
+        f"if(optimization IS NULL, array(), concat(array(CAST({outcome_speedup()} AS DOUBLE)),"
+        " transform(coalesce(optimization.attempts, array()), a -> CAST(a.strategy.expected_speedup AS DOUBLE)))) AS ratios"
+    )
+    rows = with_ratio_texts(records.selectExpr("migration_id AS id", plain, ratios), "ratios", "quoted")
+    quoted = "transform(quoted, v -> struct('speedup' AS kind, v AS value))"
+    return rows.selectExpr("id", f"concat(plain, {quoted}) AS supported")
+
+
+def supported_numbers(records: DataFrame) -> DataFrame:
+    """``id, kind, value``: the supported numbers as rows."""
+    return supported_lists(records).select("id", F.inline("supported"))
 
 
 def violations(claims: DataFrame, supported: DataFrame) -> DataFrame:
     """Claims that the record does not support; thousands separators do not matter."""
     known = supported.select(
         F.col("id").alias("__id"), F.col("kind").alias("__kind"), F.replace("value", F.lit(","), F.lit("")).alias("__v")
-    )
+    ).distinct()
     plain = F.replace("claimed", F.lit(","), F.lit(""))
     on = (F.col("id") == F.col("__id")) & (F.col("kind") == F.col("__kind")) & (plain == F.col("__v"))
     return claims.join(known, on, "left_anti")
 
 
-def audit(texts: DataFrame, claims: DataFrame, broken: DataFrame) -> DataFrame:
-    """``id, checked, violations, passed`` for every text, including those without a claim."""
-    marks = (
-        texts.select("id", F.lit(0).alias("c"), F.lit(0).alias("v"))
-        .unionByName(claims.select("id", F.lit(1).alias("c"), F.lit(0).alias("v")))
-        .unionByName(broken.select("id", F.lit(0).alias("c"), F.lit(1).alias("v")))
-    )
-    return marks.groupBy("id").agg(
-        F.sum("c").alias("checked"), F.sum("v").alias("violations"), (F.sum("v") == 0).alias("passed")
-    )
+def audit(texts: DataFrame, records: DataFrame) -> DataFrame:
+    """``id, checked, violations, passed`` for every text, including those without a claim.
+
+    A text meets its record once; claims and supported numbers stay arrays of the row they belong to.
+    """
+    plain = "replace({}, ',', '')"
+    known = f"transform(supported, s -> struct(s.kind, {plain.format('s.value')} AS v))"
+    found = texts.select("id", _claims().alias("claims")).join(supported_lists(records), "id", "left")
+    rows = found.selectExpr("id", "claims", f"coalesce({known}, array()) AS known")
+    broken = f"size(filter(claims, c -> NOT array_contains(known, struct(c.kind, {plain.format('c.claimed')} AS v))))"
+    counted = rows.selectExpr("id", "CAST(size(claims) AS BIGINT) AS checked", f"CAST({broken} AS BIGINT) AS violations")
+    return counted.withColumn("passed", F.col("violations") == 0)
 
 
-def excerpts(broken: DataFrame, texts: DataFrame) -> DataFrame:
-    """Add the first sentence that makes each violating claim."""
+def excerpts(broken: DataFrame, texts: DataFrame, length: int | None = None) -> DataFrame:
+    """Add the first sentence that makes each violating claim, cut to ``length`` characters if given."""
     sentences = F.split("text", r"\n|(?<=\.)(?=\s|$)")
 
     def first(kind: str) -> Column:
         hits = F.filter(sentences, lambda s: F.array_contains(_matches(s, kind), F.col("claimed")))
-        return F.substring(F.trim(F.get(hits, F.lit(0))), 1, EXCERPT_LENGTH)
+        sentence = F.trim(F.get(hits, F.lit(0)))
+        return sentence if length is None else F.substring(sentence, 1, length)
 
     chosen = reduce(
         lambda case, kind: case.when(F.col("kind") == kind, first(kind)),
@@ -214,8 +217,9 @@ def excerpts(broken: DataFrame, texts: DataFrame) -> DataFrame:
 # --- evidence -----------------------------------------------------------------------------------------
 
 
-def evidence_rows(records: DataFrame) -> DataFrame:
-    """``id, section, ordinal, text``: the measured facts a reviewer reads, one per row."""
+def evidence_rows(records: DataFrame, most_differences: int | None = None) -> DataFrame:
+    """``id, section, ordinal, text``: the measured facts a reviewer reads, one per row; of the differences the first
+    ``most_differences`` if given."""
 
     def rows(frame: DataFrame, id_: str, section: str, ordinal: Column, text: Column) -> DataFrame:
         return frame.select(
@@ -233,7 +237,8 @@ def evidence_rows(records: DataFrame) -> DataFrame:
             lambda c: F.coalesce(c["differences"], F.array()),
         )
     )
-    few = records.select("migration_id", F.posexplode(F.slice(found, 1, MAX_LISTED_DIFFERENCES)).alias("o", "d"))
+    listed = found if most_differences is None else F.slice(found, 1, most_differences)
+    few = records.select("migration_id", F.posexplode(listed).alias("o", "d"))
     where = F.when(F.col("d.column").isNotNull(), F.concat(F.lit(" ["), F.col("d.column"), F.lit("]"))).otherwise("")
     text = F.concat(F.col("d.check"), where, F.lit(": reference="), F.col("d.reference"), F.lit(" candidate="), F.col("d.candidate"))
     difference_rows = rows(few, "migration_id", "differences", F.col("o"), text)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.functions.types import dtype_family, is_numeric
+from parity.functions.types import dtype_family, normalize
 
 
 def select(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -145,7 +145,7 @@ def sort_values(
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """``sort_values``: a range-partitioned sort, missing values last, ties by ``tiebreak``."""
-    return df.orderBy(*order_columns(by, ascending), *order_columns(tiebreak))
+    return normalize(df).orderBy(*order_columns(by, ascending), *order_columns(tiebreak))
 
 
 def head(
@@ -208,6 +208,3 @@ def apply_rows(df: DataFrame, columns: Sequence[str], fn, return_type: str) -> C
     batch.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
     return F.pandas_udf(batch, return_type)(F.struct(*[df[c] for c in columns]))
 
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]

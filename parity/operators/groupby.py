@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from parity.functions.types import normalize
 from parity.operators.frame import sort_values
 
 
@@ -49,6 +49,7 @@ def groupby_agg(
     Rows with a missing key are left out unless ``dropna=False``; a sum over no values is 0. Every
     output is named. With no keys it is the global aggregate.
     """
+    df = normalize(df)
     columns = [_aggregate(df, c, fn).alias(out) for out, (c, fn) in aggregates.items()]
     if not keys:
         return df.agg(*columns)
@@ -66,6 +67,7 @@ def pivot_table(
     fn: str = "mean",
 ) -> DataFrame:
     """``pivot_table``: one output column per label; cells without rows are null."""
+    df = normalize(df)
     source = df.filter(present([*index, columns]))
     return source.groupBy(*index).pivot(columns, list(labels)).agg(_aggregate(df, values, fn))
 
@@ -74,7 +76,7 @@ def pivot(
     df: DataFrame, index: Sequence[str], columns: str, values: str, labels: Sequence[str]
 ) -> DataFrame:
     """``pivot``: as above without aggregation. A second value for a cell raises when the cell is computed."""
-    kept = df.filter(F.col(columns).isin(list(labels)))
+    kept = normalize(df).filter(F.col(columns).isin(list(labels)))
     cell = F.when(
         F.count(F.lit(1)) > 1,
         F.raise_error(F.lit("index contains duplicate entries, cannot reshape")).cast(
@@ -84,13 +86,11 @@ def pivot(
     return kept.groupBy(*index).pivot(columns, list(labels)).agg(cell)
 
 
-def labels_of(df: DataFrame, column: str, limit: int = 10_000) -> list:
-    """The labels of a pivot column, for callers that do not know them. More than ``limit`` raises."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
+def labels_of(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """The labels of a pivot column, for callers that do not know them. A ``limit`` makes more labels an error."""
+    labels = normalize(df).select(column).filter(F.col(column).isNotNull()).distinct()
+    found = (labels if limit is None else labels.limit(limit + 1)).collect()
+    if limit is not None and len(found) > limit:
         raise ValueError(f"{column} has more than {limit} labels; a pivot needs a bounded set")
     return sorted(row[0] for row in found)
 
-
-def zero_of(dtype: T.DataType) -> Column:
-    return F.lit(0).cast(dtype)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.types import dtype_family, quoted
+from parity.functions.types import dtype_family, normalize, quoted
 from parity.operators.skew import MAX_GROUP_ROWS, broadcastable, has_hot_group
 
 JOIN_TYPES = ("inner", "left", "right", "outer", "cross", "semi", "anti")
@@ -80,6 +80,7 @@ def join(
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"how must be one of {JOIN_TYPES}")
+    left, right = normalize(left), normalize(right)
     if how == "cross":
         return cross(left, right, suffixes)
     right_on = list(left_on if right_on is None else right_on)
@@ -91,7 +92,8 @@ def join(
         right = F.broadcast(right)
 
     if how in ("semi", "anti"):
-        keys = right.select(*[F.col(b).alias(f"__r{i}") for i, b in enumerate(right_on)])
+        # distinct, so that a key with very many rows on the right is one row and not one task
+        keys = right.select(*[F.col(b).alias(f"__r{i}") for i, b in enumerate(right_on)]).distinct()
         pairs = [(left[a], keys[f"__r{i}"]) for i, a in enumerate(left_on)]
         return left.join(keys, null_safe(pairs), f"left_{how}")
 
@@ -143,13 +145,12 @@ def _split_outer(
 def cross(
     left: DataFrame, right: DataFrame, suffixes: tuple[str, str] = ("_x", "_y")
 ) -> DataFrame:
-    """``how="cross"``: every pair. One side must be known to be small; it is sent to every task."""
+    """``how="cross"``: every pair. A side measured to be small is sent to every task; of two large sides every
+    pair of partitions is a task."""
     if broadcastable(right):
         right = F.broadcast(right)
     elif broadcastable(left):
         left = F.broadcast(left)
-    else:
-        raise ValueError("a cross join needs one side known to be under the broadcast limit")
     overlap = set(left.columns) & set(right.columns)
     lhs = left.withColumnsRenamed({c: c + suffixes[0] for c in overlap})
     rhs = right.withColumnsRenamed({c: c + suffixes[1] for c in overlap})
@@ -161,7 +162,7 @@ def keyed_difference(
 ) -> DataFrame:
     """Keys present on one side only, with the side. Each side is reduced to distinct keys first."""
     sides = [
-        frame.select(*keys).distinct().withColumn("__side", F.lit(side))
+        normalize(frame).select(*keys).distinct().withColumn("__side", F.lit(side))
         for frame, side in ((reference, 1), (candidate, 2))
     ]
     return (
@@ -186,7 +187,7 @@ def fanout_report(
     names = [f"__k{i}" for i in range(len(right_on))]
 
     def counts(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
-        rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+        rows = normalize(df).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
         return rows.groupBy(*names).agg(
             F.sum(F.lit(1 if side == "l" else 0)).alias("l"),
             F.sum(F.lit(0 if side == "l" else 1)).alias("r"),

@@ -66,7 +66,7 @@ def profile_found(spark: SparkSession, dataset: DatasetFile, sample_rows: int |
     try:
         df = load_found(spark, dataset)
     except Exception as exc:  # noqa: BLE001 - whatever the reader says goes into the profile
-        row = (dataset.path, dataset.format, False, 0, False, 0, 0, str(exc)[:500])
+        row = (dataset.path, dataset.format, False, 0, False, 0, 0, str(exc))
         return literal_rows(spark, PROFILE, [row])
     counted = (df.limit(sample_rows + 1) if sample_rows else df).agg(F.count(F.lit(1)).alias("n"))
     limit = F.lit(sample_rows if sample_rows else (1 << 62)).cast("bigint")

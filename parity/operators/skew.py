@@ -15,19 +15,11 @@ from pyspark.sql import functions as F
 #: A group of up to this many rows is sorted by one task without trouble.
 MAX_GROUP_ROWS = 10_000_000
 
-#: An input below this size fits one task whole, whatever its keys.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
 #: A side is broadcast only below this size.
 BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None where the session does not offer one."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
+#: More rows than this are not broadcast, whatever their width.
+BROADCAST_LIMIT_ROWS = 1_000_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -40,26 +32,15 @@ def has_hot_group(df: DataFrame, keys: Sequence[str], max_group_rows: int | None
     """True when some group exceeds the limit. None as the limit means the caller knows it does not."""
     if max_group_rows is None:
         return False
-    if max_group_rows >= MAX_GROUP_ROWS:
-        size = estimated_bytes(df)
-        if size is not None and size < SMALL_INPUT_BYTES:
-            return False
     return largest_group(df, keys) > max_group_rows
 
 
-#: More rows than this are not broadcast, whatever their width.
-BROADCAST_LIMIT_ROWS = 1_000_000
-
-
 def broadcastable(df: DataFrame) -> bool:
-    """True when the frame is known to be below the broadcast limit.
+    """True when the frame is measured to be below the broadcast limits in rows and in bytes.
 
-    The optimizer's estimate decides where it is small. It is pessimistic about frames without
-    statistics, so those are measured: rows are read up to the row limit, and their bytes summed.
+    Estimates play no part: compressed columns and exploded rows both make them far too small. At most
+    one row more than the limit is read.
     """
-    size = estimated_bytes(df)
-    if size is not None and size < BROADCAST_LIMIT_BYTES:
-        return True
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     few = df.limit(BROADCAST_LIMIT_ROWS + 1).select(F.octet_length(text).alias("b"))
     row = few.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parity.functions.types import normalize
 from parity.operators.frame import order_columns
 from parity.operators.joins import null_safe
 from parity.operators.positions import CHUNK, INDEX, carries, chunked, with_carries, with_positions
@@ -62,6 +63,7 @@ def rolling(
 ) -> DataFrame:
     """``groupby(...).rolling(n)``: null until ``min_periods`` (n by default) values are in the window."""
     _required(partition_by, order_by)
+    df = normalize(df)
     needed = n if min_periods is None else min_periods
 
     def value(window: Window) -> Column:
@@ -86,6 +88,7 @@ def shift(
 ) -> DataFrame:
     """``groupby(...).shift(k)``; negative k looks ahead."""
     _required(partition_by, order_by)
+    df = normalize(df)
 
     def value(window: Window) -> Column:
         return F.lag(column, k).over(window) if k >= 0 else F.lead(column, -k).over(window)
@@ -143,7 +146,7 @@ def expanding(
 ) -> DataFrame:
     """``groupby(...).expanding()``: over all rows so far, from the first value on."""
     _required(partition_by, order_by)
-    return _running(df, column, fn, partition_by, order_columns(order_by), output, max_group_rows)
+    return _running(normalize(df), column, fn, partition_by, order_columns(order_by), output, max_group_rows)
 
 
 def cumsum(
@@ -156,7 +159,7 @@ def cumsum(
 ) -> DataFrame:
     """``groupby(...).cumsum()``: a missing value stays missing and the sum goes on after it."""
     _required(partition_by, order_by)
-    summed = _running(df, column, "sum", partition_by, order_columns(order_by), output, max_group_rows)
+    summed = _running(normalize(df), column, "sum", partition_by, order_columns(order_by), output, max_group_rows)
     return summed.withColumn(output, F.when(F.col(column).isNotNull(), F.col(output)))
 
 
@@ -179,6 +182,7 @@ def rank(
         raise ValueError("a window needs partition_by")
     if method == "first" and not order_by:
         raise ValueError("rank 'first' needs order_by")
+    df = normalize(df)
     value_order = order_columns([column], ascending)
     missing = F.col(column).isNull()
 
@@ -236,6 +240,7 @@ def drop_duplicates(
     Keeping one row is a row_number filter, which Spark also applies before the shuffle, so that a
     task sends at most one row per key. Dropping all copies carries one row and a count per key.
     """
+    df = normalize(df)
     if keep is False:
         others = [c for c in df.columns if c not in subset]
         grouped = df.groupBy(*subset).agg(

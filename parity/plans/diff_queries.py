@@ -351,3 +351,57 @@ def compare_phantom_null_group(spark: SparkSession, sf: str) -> DataFrame:
     naive = revenue_by_nation(spark, sf, dropna=False, zero=False)
     found = compare.compare(right, naive, ["n_name"], cache=True).differences
     return found.select("check", "column", "category")
+
+
+@query(
+    "diff_all_differences",
+    f"""
+WITH {CELLS}
+SELECT kind, col AS "column", count(*)::BIGINT AS n FROM cells GROUP BY kind, col
+""",
+)
+def diff_all_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every difference of a whole comparison is there, not only the samples."""
+    found = compare.compare(reference(spark, sf), candidate(spark, sf), ["o_orderkey"]).all_differences
+    kind = (
+        F.when(F.endswith("detail", F.lit("reference only")), "left_only")
+        .when(F.endswith("detail", F.lit("candidate only")), "right_only")
+        .otherwise("cell")
+    )
+    cells = found.filter(F.col("check") == "numeric_tolerance").select(kind.alias("kind"), "column")
+    return cells.groupBy("kind", "column").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "compare_stats",
+    f"""
+WITH {SIDES}
+SELECT 'reference' AS side, 'o_orderstatus' AS "column", count(*) - count(o_orderstatus) AS null_count,
+       count(DISTINCT o_orderstatus) AS distinct_count FROM a
+UNION ALL SELECT 'candidate', 'o_orderstatus', count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus) FROM b
+UNION ALL SELECT 'reference', 'o_custkey', count(*) - count(o_custkey), count(DISTINCT o_custkey) FROM a
+UNION ALL SELECT 'candidate', 'o_custkey', count(*) - count(o_custkey), count(DISTINCT o_custkey) FROM b
+""",
+)
+def compare_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The report carries the statistics of both sides."""
+    found = compare.compare(reference(spark, sf), candidate(spark, sf), ["o_orderkey"], checks=["schema"]).statistics
+    wanted = found.filter(F.col("column").isin("o_orderstatus", "o_custkey"))
+    return wanted.select("side", "column", F.col("null_count").cast("bigint"), F.col("distinct_count").cast("bigint"))
+
+
+@query(
+    "compare_paths_error",
+    """
+SELECT 'ERROR' AS status, true AS told, count(*)::BIGINT AS rows FROM orders
+UNION ALL SELECT 'PASS', false, count(*)::BIGINT FROM orders
+""",
+)
+def compare_paths_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs by path: a missing one is an ERROR that says so, the same one twice a PASS."""
+    path = f"{sf.rstrip('/')}/orders.parquet"
+    missing = compare.compare_paths(spark, path, f"{sf.rstrip('/')}/no_such_output.parquet", keys=["o_orderkey"])
+    same = compare.compare_paths(spark, path, path, keys=["o_orderkey"])
+    n = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("rows"))
+    told = missing.verdict.select("status", F.contains("error", F.lit("no_such_output")).alias("told"))
+    return told.unionByName(same.verdict.select("status", F.lit(False).alias("told"))).crossJoin(F.broadcast(n))

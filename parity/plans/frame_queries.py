@@ -21,6 +21,12 @@ def holed(column: str, key: str, modulus: int) -> Column:
     return F.when(F.col(key) % modulus != 0, F.col(column))
 
 
+def gaps(column: str, key: str, modulus: int) -> Column:
+    """The float column, missing on the same rows: by turns null and NaN, which SQL states as null both."""
+    nan = F.lit(float("nan"))
+    return F.when(F.col(key) % modulus != 0, F.col(column)).when(F.col(key) % (2 * modulus) == 0, nan)
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with their nation's name; both the name and the balance have holes."""
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
@@ -31,7 +37,7 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey",
         "c_mktsegment",
         holed("n_name", "c_custkey", 33).alias("n_name"),
-        holed("c_acctbal", "c_custkey", 7).alias("bal"),
+        gaps("c_acctbal", "c_custkey", 7).alias("bal"),
     )
 
 
@@ -65,6 +71,11 @@ def revenue_by_nation(spark: SparkSession, sf: str, dropna: bool = True, zero: b
     return frame.sort_values(result, ["n_name"])
 
 
+def cents(column: str) -> Column:
+    """A price as a whole number, whose sums and means do not depend on the order of summation."""
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
@@ -459,7 +470,7 @@ FROM lineitem GROUP BY l_suppkey
 )
 def agg_sum_zero(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
-        "l_suppkey", holed("l_extendedprice", "l_suppkey", 4).alias("price")
+        "l_suppkey", gaps("l_extendedprice", "l_suppkey", 4).alias("price")
     )
     summed = groupby.groupby_agg(lines, ["l_suppkey"], {"total": ("price", "sum")})
     return _rounded(summed, total=2)
@@ -468,16 +479,15 @@ def agg_sum_zero(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_mean",
     """
-SELECT l_suppkey, round(avg(CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice END), 4) AS mean_price
+SELECT l_suppkey, avg(CASE WHEN l_suppkey % 4 <> 0 THEN round(l_extendedprice * 100)::BIGINT END) AS mean_cents
 FROM lineitem GROUP BY l_suppkey
 """,
 )
 def agg_mean(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
-        "l_suppkey", holed("l_extendedprice", "l_suppkey", 4).alias("price")
+        "l_suppkey", F.when(F.col("l_suppkey") % 4 != 0, cents("l_extendedprice")).alias("price")
     )
-    averaged = groupby.groupby_agg(lines, ["l_suppkey"], {"mean_price": ("price", "mean")})
-    return _rounded(averaged, mean_price=4)
+    return groupby.groupby_agg(lines, ["l_suppkey"], {"mean_cents": ("price", "mean")})
 
 
 @query(
@@ -489,7 +499,7 @@ FROM lineitem GROUP BY l_returnflag
 )
 def agg_count(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
-        "l_returnflag", holed("l_quantity", "l_orderkey", 5).alias("qty")
+        "l_returnflag", gaps("l_quantity", "l_orderkey", 5).alias("qty")
     )
     return groupby.groupby_agg(lines, ["l_returnflag"], {"n": ("qty", "count")})
 
@@ -531,14 +541,14 @@ def agg_nunique(spark: SparkSession, sf: str) -> DataFrame:
     "agg_multi",
     """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity,
-       round(avg(l_extendedprice), 4) AS l_extendedprice, max(l_discount) AS l_discount,
+       avg(round(l_extendedprice * 100)::BIGINT) AS l_extendedprice, max(l_discount) AS l_discount,
        count(l_tax)::BIGINT AS l_tax
 FROM lineitem GROUP BY l_returnflag, l_linestatus
 """,
 )
 def agg_multi(spark: SparkSession, sf: str) -> DataFrame:
     grouped = groupby.groupby_agg(
-        table(spark, sf, "lineitem"),
+        table(spark, sf, "lineitem").withColumn("l_extendedprice", cents("l_extendedprice")),
         ["l_returnflag", "l_linestatus"],
         {
             "l_quantity": ("l_quantity", "sum"),
@@ -547,7 +557,7 @@ def agg_multi(spark: SparkSession, sf: str) -> DataFrame:
             "l_tax": ("l_tax", "count"),
         },
     )
-    return _rounded(grouped, l_quantity=2, l_extendedprice=4)
+    return _rounded(grouped, l_quantity=2)
 
 
 @query(
@@ -574,9 +584,9 @@ def agg_global(spark: SparkSession, sf: str) -> DataFrame:
     "pivot_table_mean",
     """
 WITH o AS (SELECT o_custkey % 50 AS grp, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS st,
-                  o_totalprice AS p FROM orders)
-SELECT grp, round(avg(CASE WHEN st = 'F' THEN p END), 4) AS "F",
-       round(avg(CASE WHEN st = 'O' THEN p END), 4) AS "O", round(avg(CASE WHEN st = 'P' THEN p END), 4) AS "P"
+                  round(o_totalprice * 100)::BIGINT AS p FROM orders)
+SELECT grp, avg(CASE WHEN st = 'F' THEN p END) AS "F", avg(CASE WHEN st = 'O' THEN p END) AS "O",
+       avg(CASE WHEN st = 'P' THEN p END) AS "P"
 FROM o WHERE st IS NOT NULL GROUP BY grp
 """,
 )
@@ -584,10 +594,9 @@ def pivot_table_mean(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         (F.col("o_custkey") % 50).alias("grp"),
         holed("o_orderstatus", "o_orderkey", 9).alias("st"),
-        "o_totalprice",
+        cents("o_totalprice").alias("p"),
     )
-    wide = groupby.pivot_table(orders, ["grp"], "st", "o_totalprice", ["F", "O", "P"])
-    return _rounded(wide, F=4, O=4, P=4)
+    return groupby.pivot_table(orders, ["grp"], "st", "p", ["F", "O", "P"])
 
 
 @query(
@@ -610,7 +619,7 @@ def pivot_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        "event_id", "ts", "user_id", holed("value", "event_id", 10).alias("v")
+        "event_id", "ts", "user_id", gaps("value", "event_id", 10).alias("v")
     )
 
 

@@ -159,3 +159,57 @@ def load_part_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "parts")
     files.to_csv(_orders(spark, sf).repartition(4), path)
     return datasets.load_dataset(spark, path, _orders(spark, sf).schema)
+
+
+@query("csv_text_roundtrip", "SELECT doc_id, ' ' || text || chr(10) || '\"x, y\" ' AS t FROM documents")
+def csv_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line breaks, quotes, separators and blanks at their ends come back as they were."""
+    path = scratch_path(spark, "csv-text")
+    texts = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit(" "), F.col("text"), F.lit('\n"x, y" ')).alias("t")
+    )
+    files.to_csv(texts, path)
+    return files.read_csv(spark, path)
+
+
+@query("json_null_column_roundtrip", "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS note FROM nation")
+def json_null_column_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A column without any value is still a column."""
+    path = scratch_path(spark, "json-null")
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("note"))
+    files.to_json(nations, path)
+    return files.read_json(spark, path)
+
+
+@query(
+    "load_parts_by_name",
+    """
+SELECT c_custkey AS k, c_acctbal AS bal, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS segment
+FROM customer
+""",
+)
+def load_parts_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV parts with their columns in another order, and a tab-separated part with one column more."""
+    path = scratch_path(spark, "by-name")
+    rows = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment")
+    )
+    third = F.pmod("k", F.lit(3))
+    files.to_csv(rows.filter(third == 0).select("k", "bal"), f"{path}/a")
+    files.to_csv(rows.filter(third == 1).select("bal", "k"), f"{path}/b")
+    tabs = rows.filter(third == 2).select("segment", "bal", "k").coalesce(1)
+    tabs.write.option("header", True).option("sep", "\t").option("extension", "tsv").csv(f"{path}/c")
+    return datasets.load_dataset(spark, path)
+
+
+@query(
+    "load_parquet_parts_by_name",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END AS o_totalprice FROM orders",
+)
+def load_parquet_parts_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """A column that only later parts have."""
+    path = scratch_path(spark, "parquet-by-name")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    files.to_parquet(orders.filter(F.col("o_orderkey") % 2 == 0).select("o_orderkey"), f"{path}/a")
+    files.to_parquet(orders.filter(F.col("o_orderkey") % 2 == 1), f"{path}/b")
+    return datasets.load_dataset(spark, path)

@@ -580,10 +580,8 @@ FROM tx LEFT JOIN (SELECT id, count(*) AS n FROM cl GROUP BY id) c ON c.id = tx.
 """,
 )
 def claims_audit(spark: SparkSession, sf: str) -> DataFrame:
-    texts = claim_texts(spark, sf)
-    claims = delivery.extract_claims(texts)
-    broken = delivery.violations(claims, delivery.supported_numbers(corpus.newest(spark, sf, "plan", "validation", "repair", "optimization")))
-    return delivery.audit(texts, claims, broken)
+    records = corpus.newest(spark, sf, "plan", "validation", "repair", "optimization")
+    return delivery.audit(claim_texts(spark, sf), records)
 
 
 @query(
@@ -605,7 +603,7 @@ def claims_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     texts = claim_texts(spark, sf)
     supported = delivery.supported_numbers(corpus.newest(spark, sf, "plan", "validation", "repair", "optimization"))
     broken = delivery.violations(delivery.extract_claims(texts), supported)
-    return delivery.excerpts(broken, texts).select("id", "kind", "claimed", "excerpt")
+    return delivery.excerpts(broken, texts, length=160).select("id", "kind", "claimed", "excerpt")
 
 
 @query(
@@ -632,4 +630,4 @@ UNION ALL SELECT id, 'provenance', 3, 'seconds=' || printf('%.1f', coalesce(secs
 """,
 )
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return delivery.evidence_rows(corpus.newest(spark, sf, "plan", "spec", "validation", "repair", "optimization", "stages"))
+    return delivery.evidence_rows(corpus.newest(spark, sf, "plan", "spec", "validation", "repair", "optimization", "stages"), most_differences=10)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parity.sources.files import FORMATS, format_of, read_csv, read_json, read_parquet
+from parity.sources.files import FORMATS, format_of, read_csv_groups, read_json, read_parquet
 
 
 class DatasetError(Exception):
@@ -67,17 +69,38 @@ def load_dataset(
 def load_found(
     spark: SparkSession, dataset: DatasetFile, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    suffix = "." + dataset.parts[0].rsplit(".", 1)[-1].lower()
+    """Part files are put together by column name, as a list of frames is in pandas."""
     paths = list(dataset.parts)
     if dataset.format == "parquet":
-        return read_parquet(spark, paths)
+        return read_parquet(spark, paths, merge=len(paths) > 1)
     if dataset.format == "json":
         return read_json(spark, paths, schema)
     if dataset.format == "csv":
-        return read_csv(spark, paths, schema, sep=FORMATS[suffix][1])
+        return read_csv_groups(spark, csv_groups(spark, paths), schema)
     raise DatasetError(f"cannot read {dataset.path}")
 
 
+def csv_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], str]]:
+    """The paths by header and separator; a single file needs no look at its header."""
+    by_suffix = {p: FORMATS["." + p.rsplit(".", 1)[-1].lower()][1] for p in paths}
+    if len(paths) == 1:
+        return [(paths, by_suffix[paths[0]])]
+    first = spark.read.text(paths).filter(F.col("_metadata.file_block_start") == 0)
+    first = first.select(F.col("_metadata.file_path").alias("p"), "value", F.monotonically_increasing_id().alias("i"))
+    headers = first.groupBy("p").agg(F.min_by("value", "i").alias("header"))
+    known = {_plain(r["p"]): r["header"] for r in headers.toLocalIterator()}
+    groups: dict[tuple[str, str | None], list[str]] = {}
+    for path in paths:
+        if _plain(path) in known:  # a file without a line has no columns either
+            groups.setdefault((by_suffix[path], known[_plain(path)]), []).append(path)
+    return [(members, sep) for (sep, _), members in groups.items()] or [(paths, by_suffix[paths[0]])]
+
+
+def _plain(path: str) -> str:
+    """Without the ways to write a local scheme, and decoded."""
+    return unquote(path.removeprefix("file:").replace("///", "/", 1) if path.startswith("file:") else path)
+
+
 def scan_directory(spark: SparkSession, path: str) -> list[DatasetFile]:
     """Every readable dataset directly in a directory, by name; other files are skipped."""
     fs, location = _listing(spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ FORMATS = {
     ".ndjson": ("json", None),
 }
 
+#: Rows of a written CSV part at most.
+CSV_PART_ROWS = 1_000_000
+
 WRITE_MODES = ("overwrite", "append", "errorifexists")
 
 
@@ -43,13 +47,34 @@ def read_csv(
     schema: T.StructType | str | None = None,
     na_values: Sequence[str] = PANDAS_NA,
     sep: str = ",",
+    multiline: bool = True,
 ) -> DataFrame:
     """A header CSV. The texts pandas takes for missing become null, then the columns are cast.
 
     Without a schema every column is inferred in a second pass as pandas does it: integers, or
-    doubles when some are missing, or booleans, else text (dates stay text).
+    doubles when some are missing, or booleans, else text (dates stay text). Quoted cells may hold
+    line breaks; ``multiline=False`` rules them out and lets Spark split large files.
     """
-    raw = spark.read.csv(path, header=True, sep=sep, multiLine=False, escape='"', nullValue="")
+    paths = [path] if isinstance(path, str) else list(path)
+    return read_csv_groups(spark, [(paths, sep)], schema, na_values, multiline)
+
+
+def read_csv_groups(
+    spark: SparkSession,
+    groups: Sequence[tuple[list[str], str]],
+    schema: T.StructType | str | None = None,
+    na_values: Sequence[str] = PANDAS_NA,
+    multiline: bool = True,
+) -> DataFrame:
+    """Files of one header and separator each, put together by column name before types are inferred."""
+    frames = [
+        spark.read.csv(
+            paths, header=True, sep=sep, multiLine=multiline, escape='"', nullValue="",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+        for paths, sep in groups
+    ]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     cleaned = raw.select(
         *[
             F.when(c.isin(list(na_values)), None).otherwise(c).alias(name)
@@ -69,12 +94,15 @@ def read_csv(
 
 def _infer(text: DataFrame) -> T.StructType:
     """One aggregation over all columns; its result is one row."""
-    integer, number, boolean = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", "^(True|False|TRUE|FALSE|true|false)$"
+    number = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+    boolean = "^(True|False|TRUE|FALSE|true|false)$"
     facts = []
     for i, name in enumerate(text.columns):
         c = F.col(f"`{name}`")
-        for label, pattern in (("i", integer), ("n", number), ("b", boolean)):
-            facts.append(F.coalesce(F.bool_and(c.rlike(pattern)), F.lit(False)).alias(f"{label}{i}"))
+        # up to 19 digits may fit a long; whether they do, the cast tells
+        whole = c.rlike(r"^\s*[+-]?\d{1,19}\s*$") & F.trim(c).try_cast("bigint").isNotNull()
+        for label, holds in (("i", whole), ("n", c.rlike(number)), ("b", c.rlike(boolean))):
+            facts.append(F.coalesce(F.bool_and(holds), F.lit(False)).alias(f"{label}{i}"))
         facts.append(F.count_if(c.isNull()).alias(f"m{i}"))
         facts.append(F.count(c).alias(f"c{i}"))
     row = text.agg(*facts).first()
@@ -100,9 +128,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return read_csv(spark, path, schema, sep="\t")
 
 
-def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | list[str], merge: bool = False) -> DataFrame:
+    """``merge`` takes the columns of all part files, not only those of the first."""
     paths = [path] if isinstance(path, str) else path
-    return normalize(spark.read.parquet(*paths))
+    return normalize(spark.read.option("mergeSchema", merge).parquet(*paths))
 
 
 def read_json(
@@ -155,8 +184,10 @@ def _writer(df: DataFrame, mode: str):
 
 
 def to_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A header CSV as a directory of part files; never forced into one."""
-    _writer(df, mode).option("header", True).option("escape", '"').csv(path)
+    """A header CSV as a directory of part files; never forced into one, and small enough to be read whole where
+    cells hold line breaks."""
+    writer = _writer(df, mode).option("header", True).option("escape", '"').option("maxRecordsPerFile", CSV_PART_ROWS)
+    writer.csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def to_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -164,7 +195,7 @@ def to_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def to_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    _writer(df, mode).json(path)
+    _writer(df, mode).json(path, ignoreNullFields=False)
 
 
 def to_sql(

@@ -58,13 +58,12 @@ def record_schema() -> T.StructType:
 
 
 RECORD_FILENAME = "migration_record.json"
-DEFAULT_LIMIT = 200
 
 
 def scan_records(
     spark: SparkSession,
     workspace: str,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     pattern: str = f"*/{RECORD_FILENAME}",
     lines: bool = False,
 ) -> DataFrame:
@@ -72,7 +71,7 @@ def scan_records(
     ``modified_at`` and ``readable``. A file is one document or, with ``lines``, one per line.
 
     The newest files are chosen from the file listing alone, before any content is read; at most
-    ``limit`` paths come to the driver. Documents that do not parse, or lack an id, a source path
+    ``limit`` paths come to the driver. Without a limit all records are read. Documents that do not parse, or lack an id, a source path
     or a creation time, are kept with ``readable`` false so that they can be counted.
     """
     paths: str | list[str] = f"{workspace.rstrip('/')}/{pattern}"

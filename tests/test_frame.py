@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from frames import assert_same, to_spark
 from parity.functions.masks import and_, filter_rows, mask, ne, not_, or_, query
-from parity.functions.numbers import ratio_texts, round_half_even, with_fixed
+from parity.functions.numbers import round_half_even, with_fixed, with_ratio_texts
 from parity.functions.types import normalize
 from parity.operators import frame
 
@@ -71,11 +71,23 @@ def test_numbers_print_as_python_prints_them(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     two = with_fixed(df, "x", "2", "a").collect()
     assert [r.a for r in two] == [f"{r.x:.2f}" for r in two]
-    quoted = ratio_texts(df.distinct(), "x", "t").groupBy("x").agg(F.collect_list("t").alias("t")).collect()
+    quoted = with_ratio_texts(df.distinct(), "array(x)", "t").collect()
     for r in quoted:
         assert sorted(r.t) == sorted([f"{r.x:.2f}", f"{r.x:.1f}", f"{r.x:g}"])
 
 
+def test_large_numbers_print_and_never_fail(spark):
+    values = [1e12 + 0.125, 4.5e13 + 0.375, 2.0**53 - 1, 2.0**53 + 2, 9.1e18, 9.3e18, 1e17, 1e20, 1e23, 1.5e30, 2.0**114]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2):
+        got = with_fixed(df, "x", str(digits), "a").collect()
+        assert [r.a for r in got] == [f"{r.x:.{digits}f}" for r in got]
+    beyond = spark.createDataFrame([(1e40,), (1e300,), (None,)], "x double")
+    assert [bool(r.a) for r in with_fixed(beyond, "x", "2", "a").collect()] == [True, True, False]
+    quoted = with_ratio_texts(df, "array(x)", "t").collect()
+    assert [sorted(r.t) for r in quoted] == [sorted([f"{r.x:.2f}", f"{r.x:.1f}", f"{r.x:g}"]) for r in quoted]
+
+
 def test_fillna(df):
     assert_same(frame.fillna(df, {"a": -1, "b": "?"}), PDF.fillna({"a": -1, "b": "?"}))
     with pytest.raises(TypeError):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import assert_same, rows_of_spark, to_spark
-from parity.operators import groupby, joins
+from parity.operators import groupby, joins, skew
 
 LEFT = pd.DataFrame({"k": [1, 2, 2, None, 5, None], "v": [10, 20, 21, 30, 50, 31]})
 RIGHT = pd.DataFrame({"k": [2, 2, None, 7, 1], "v": ["a", "b", "c", "d", "e"]})
@@ -51,12 +51,33 @@ def test_different_names_and_semi_anti(sides):
     assert_same(joins.join(left, right, "anti", ["k"]), LEFT.drop(inside.index))
 
 
-def test_cross(sides, spark):
+def test_cross(sides, monkeypatch):
     left, right = sides
-    assert_same(joins.join(left, right, "cross"), LEFT.merge(RIGHT, how="cross"))
-    big = spark.range(1 << 40)
+    want = LEFT.merge(RIGHT, how="cross")
+    assert_same(joins.join(left, right, "cross"), want)
+    monkeypatch.setattr(skew, "BROADCAST_LIMIT_ROWS", 0)
+    apart = joins.join(left, right, "cross")
+    assert "Broadcast" not in apart._jdf.queryExecution().optimizedPlan().toString()
+    assert_same(apart, want)
+
+
+def test_sizes_are_measured_and_not_estimated(spark, tmp_path):
+    """Twenty million rows of one key compress to almost nothing."""
+    path = str(tmp_path / "one_key")
+    spark.range(20_000_000).selectExpr("1 AS k").write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert not skew.broadcastable(rows)
+    assert skew.has_hot_group(rows, ["k"], skew.MAX_GROUP_ROWS)
+    assert skew.broadcastable(rows.limit(10))
     with pytest.raises(ValueError, match="broadcast limit"):
-        joins.cross(big, big)
+        joins.join(rows, rows, "inner", ["k"], broadcast="right")
+
+
+def test_semi_and_anti_keys_are_distinct(sides):
+    left, right = sides
+    for how in ("semi", "anti"):
+        plan = joins.join(left, right, how, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan
 
 
 def test_key_guards(sides, spark):

@@ -125,11 +125,12 @@ def histogram_quantile(hist: DataFrame, q: float, labels: Sequence[str] = ()) ->
 
 
 def increase(
-    df: DataFrame, ts: str, labels: Sequence[str], size: str, slide: str | None = None
+    df: DataFrame, ts: str, labels: Sequence[str], size: str, slide: str | None = None, amount: str | None = None
 ) -> DataFrame:
-    """``window_start, window_end, labels..., value``: counts per trailing window."""
+    """``window_start, window_end, labels..., value``: rows per trailing window, or the sum of ``amount``."""
     window = F.window(F.col(ts).cast("timestamp"), size, slide) if slide else F.window(F.col(ts).cast("timestamp"), size)
-    grouped = df.groupBy(window.alias("w"), *labels).agg(F.count(F.lit(1)).alias("value"))
+    value = F.count(F.lit(1)) if amount is None else F.coalesce(F.sum(amount), F.lit(0))
+    grouped = df.groupBy(window.alias("w"), *labels).agg(value.alias("value"))
     return grouped.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *labels, "value"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ PROFILE = (
     "size_bytes bigint, column_count int, error string"
 )
 
+COLUMN_PROFILE = (
+    "column string, ordinal int, dtype string, null_count bigint, null_fraction double, distinct_count bigint, "
+    "min_value string, max_value string, examples array<string>"
+)
+
 
 def examples(df: DataFrame, columns: Sequence[str], n: int = MAX_EXAMPLES) -> DataFrame:
     """The n smallest distinct values per column as text: ``column, examples``.
@@ -102,6 +108,14 @@ def profile_directory(spark: SparkSession, path: str, sample_rows: int | None =
     return union.orderBy("path")
 
 
+def profile_directory_columns(spark: SparkSession, path: str) -> DataFrame:
+    """The column profiles of every readable dataset of a directory, with its ``path``."""
+    profiles = [
+        profile_columns(load_found(spark, d)).withColumn("path", F.lit(d.path)) for d in scan_directory(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, profiles) if profiles else literal_rows(spark, f"{COLUMN_PROFILE}, path string", [])
+
+
 def with_broadcast_candidates(profiles: DataFrame) -> DataFrame:
     """Flag datasets small enough to broadcast."""
     size = F.col("size_bytes")

@@ -298,9 +298,27 @@ def label_audit(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.label_audit(series, {"check": ("schema", "row_count"), "result": ("pass", "fail")})
 
 
+@query(
+    "amounts_by_window",
+    """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, sum(event_id % 7)::BIGINT AS value
+FROM events GROUP BY ALL
+""",
+)
+def amounts_by_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The increase of a counter that each row moves by an amount."""
+    events = table(spark, sf, "events").withColumn("moved", F.col("event_id") % 7)
+    return _window_text(metrics.increase(events, "ts", ["event_type"], "1 day", amount="moved"))
+
+
 # --- streams ------------------------------------------------------------------------------------------
 
 
+WINDOW_KEYS = ["window_start", "window_end", "event_type"]
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return streams.read_file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
 
@@ -320,14 +338,14 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     events = streams.watermarked(event_stream(spark, sf), "ts", "1 hour")
     counts = streams.window_counts(events, "ts", ["event_type"], "1 day")
-    return _window_text(streams.run_to_table(counts, "tumbling"))
+    return _window_text(streams.run_to_latest(counts, "tumbling", WINDOW_KEYS))
 
 
 @query("stream_sliding", _SLIDING_SQL)
 def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
     events = streams.watermarked(event_stream(spark, sf), "ts", "1 hour")
     counts = streams.window_counts(events, "ts", ["event_type"], "1 day", "6 hours")
-    return _window_text(streams.run_to_table(counts, "sliding"))
+    return _window_text(streams.run_to_latest(counts, "sliding", WINDOW_KEYS))
 
 
 @query(
@@ -344,7 +362,7 @@ def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
 def stream_histogram(spark: SparkSession, sf: str) -> DataFrame:
     events = streams.watermarked(event_stream(spark, sf), "ts", "1 hour")
     hist = streams.window_histogram(events, "ts", "value", metrics.STAGE_BUCKETS, ["event_type"], "1 day")
-    return _window_text(_rounded(streams.run_to_table(hist, "histogram")))
+    return _window_text(_rounded(streams.run_to_latest(hist, "histogram", [*WINDOW_KEYS, "le"])))
 
 
 @query(

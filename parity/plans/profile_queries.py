@@ -56,14 +56,58 @@ def profile_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(name, "format", "exists", "row_count", "sampled", "column_count")
 
 
-@query("broadcast_candidates")
+def _written(spark: SparkSession, sf: str) -> str:
+    """A directory with a dataset in each format."""
+    path = scratch_path(spark, "directory")
+    files.to_parquet(table(spark, sf, "nation").select("n_nationkey", "n_name"), f"{path}/nations.parquet")
+    files.to_csv(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), f"{path}/suppliers.csv")
+    files.to_json(table(spark, sf, "region").select("r_regionkey"), f"{path}/regions.json")
+    return path
+
+
+def _name():
+    return F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+
+
+@query(
+    "broadcast_candidates",
+    """
+SELECT 'nations.parquet' AS name, count(*)::BIGINT AS row_count, true AS broadcast_candidate FROM nation
+UNION ALL SELECT 'suppliers.csv', count(*)::BIGINT, true FROM supplier
+UNION ALL SELECT 'regions.json', count(*)::BIGINT, true FROM region
+""",
+)
 def broadcast_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.size_report(profile.profile_directory(spark, sf))
+    report = profile.size_report(profile.profile_directory(spark, _written(spark, sf)))
+    return report.select(_name(), "row_count", "broadcast_candidate")
 
 
-@query("profile_directory")
+@query(
+    "profile_directory",
+    """
+SELECT 'nations.parquet' AS name, 'parquet' AS format, count(*)::BIGINT AS row_count, 2 AS column_count FROM nation
+UNION ALL SELECT 'suppliers.csv', 'csv', count(*)::BIGINT, 2 FROM supplier
+UNION ALL SELECT 'regions.json', 'json', count(*)::BIGINT, 1 FROM region
+""",
+)
 def profile_directory(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.profile_directory(spark, sf)
+    found = profile.profile_directory(spark, _written(spark, sf))
+    return found.select(_name(), "format", "row_count", "column_count")
+
+
+@query(
+    "profile_directory_columns",
+    """
+SELECT 'nations.parquet' AS name, 'n_nationkey' AS "column", count(DISTINCT n_nationkey)::BIGINT AS distinct_count FROM nation
+UNION ALL SELECT 'nations.parquet', 'n_name', count(DISTINCT n_name)::BIGINT FROM nation
+UNION ALL SELECT 'suppliers.csv', 's_suppkey', count(DISTINCT s_suppkey)::BIGINT FROM supplier
+UNION ALL SELECT 'suppliers.csv', 's_acctbal', count(DISTINCT s_acctbal)::BIGINT FROM supplier
+UNION ALL SELECT 'regions.json', 'r_regionkey', count(DISTINCT r_regionkey)::BIGINT FROM region
+""",
+)
+def profile_directory_columns(spark: SparkSession, sf: str) -> DataFrame:
+    found = profile.profile_directory_columns(spark, _written(spark, sf))
+    return found.select(_name(), "column", "distinct_count")
 
 
 @query(

@@ -81,22 +81,28 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a windowed aggregation over all available input and return its complete result.
+def run_to_latest(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run a windowed aggregation over all available input in update mode and return the last row of each key.
 
-    The result is kept in a memory table on the driver, so this is for aggregates over bounded label
-    sets, such as a dashboard shows; send anything else to files.
+    Every batch writes the rows it changed to a folder of its own, which a repeated batch replaces, so
+    nothing is kept on the driver, and the watermark lets finished windows leave the state.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, name)
-    view = base.rsplit("/", 1)[-1].replace("-", "_")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
     query = (
-        stream.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(view)
+        stream.writeStream.outputMode("update")
+        .foreachBatch(keep)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.table(view)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{base}/out")
+    others = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)

@@ -18,10 +18,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space other than the space and the line end, and the mark used for the first piece of a text.
 _RARE_ASCII = "\t\r\v\f\x1c\x1d\x1e\x1f\x01"
 _RARE = re.compile(r"[^\S \n]")
-#: A word and the marks after it: the pre-tokenizer always parts a letter or digit from a following mark.
-_MARKED = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.DOTALL)
-#: Pieces remembered by a worker before it starts anew; bounds its memory.
+#: The pre-tokenizer always parts a letter or digit from marks that follow it.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pieces remembered by a worker before it forgets the rare ones; bounds its memory.
 REMEMBERED = 1_000_000
+#: Rare is what was met less often than this.
+OFTEN = 3
 
 
 class PieceEncoder:
@@ -37,60 +39,94 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
+        #: Entry of each piece, and of each part of pieces, in the table of ids.
         self.index: dict[str, int] = {}
-        self.cores: dict[str, np.ndarray] = {}
+        self.parts: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, cores: list[str]) -> None:
-        """Ids of texts that begin with their only white space, all in one call: an id whose token begins with white
-        space is the first of its text."""
-        if not cores:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(cores)], add_special_tokens=False)[0].ids, np.uint32)
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(cores):
-            raise ValueError("this tokenizer joins text across a space")
-        self.cores.update(zip(cores, np.split(ids, starts[1:]), strict=True))
-
-    def _plain(self, text: str) -> np.ndarray:
-        """Ids of a short text without a leading space."""
-        if text not in self.cores:
-            self.cores[text] = np.array(
-                self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32
-            )
-        return self.cores[text]
-
-    def _add(self, keys: list[str], texts: list[str]) -> None:
-        split = []
-        for text in texts:
-            marked = _MARKED.fullmatch(text)
-            good = marked and (marked[1][-1].isalpha() or marked[1][-1].isdecimal())
-            split.append((marked[1], marked[2]) if good else (text, ""))
-        self._learn(list(dict.fromkeys(c for c, _ in split if c[0] in " \n" and c not in self.cores)))
-        encoded = []
-        for core, marks in split:
-            ids = self.cores[core] if core[0] in " \n" else self._plain(core)
-            encoded.append(np.concatenate([ids, self._plain(marks)]) if marks else ids)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.concatenate(encoded)
-        first, n = len(self.index), len(keys)
+        #: In how many calls each entry was met.
+        self.met = np.zeros(1 << 16, np.int32)
+        self.used = self.entries = 0
+
+    def _forget_rare(self) -> None:
+        """Keep the pieces that come again and again, at most half of what is remembered."""
+        keys, entries = list(self.index), np.fromiter(self.index.values(), np.int64, len(self.index))
+        met = self.met[entries]
+        least = max(OFTEN, int(np.partition(met, -(REMEMBERED // 2))[-(REMEMBERED // 2)]) + 1 if len(met) > REMEMBERED // 2 else 0)
+        kept = np.flatnonzero(met >= least)
+        flat, lengths = self._gathered(entries[kept]), self.lengths[entries[kept]]
+        self._forget()
+        self._append(flat, lengths)
+        self.index = {keys[i]: k for k, i in enumerate(kept.tolist())}
+
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> int:
+        """Add entries and return the number of the first."""
+        first, n = self.entries, len(lengths)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.starts) < first + n:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.lengths[first : first + n] = lengths
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
-        self.index.update(zip(keys, range(first, first + n), strict=True))
         self.used += len(flat)
+        self.entries += n
+        return first
+
+    def _gathered(self, entries: np.ndarray) -> np.ndarray:
+        """The ids of the entries, one after another."""
+        lengths = self.lengths[entries]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[entries] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Entries of new parts. Those that begin with their only white space are encoded in one call: an id whose
+        token begins with white space is the first of its part. The others are few and short."""
+        spaced = [p for p in parts if p[0] in " \n"]
+        if spaced:
+            text = "".join(spaced)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(spaced):
+                raise ValueError("this tokenizer joins text across a space")
+            first = self._append(ids, np.diff(np.append(starts, len(ids))))
+            self.parts.update(zip(spaced, range(first, self.entries), strict=True))
+        plain = [p for p in parts if p[0] not in " \n"]
+        if plain:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+            first = self._append(np.concatenate(found), np.array([len(f) for f in found]))
+            self.parts.update(zip(plain, range(first, self.entries), strict=True))
+
+    def _add(self, keys: list[str]) -> None:
+        """Entries of new pieces: those of their word, or of their word and the marks after it together."""
+        whole, marked = [], []
+        for key in keys:
+            text = key[1:] if key[0] == "\1" else key if key[0] == "\n" else f" {key}"
+            core = text.rstrip(_MARKS)
+            if len(core) < len(text) and core and (core[-1].isalpha() or core[-1].isdecimal()):
+                marked.append((key, core, text[len(core) :]))
+            else:
+                whole.append((key, text))
+        wanted = dict.fromkeys(t for _, t in whole)
+        wanted.update(dict.fromkeys(c for _, c, _ in marked))
+        wanted.update(dict.fromkeys(m for _, _, m in marked))
+        known = self.parts
+        self._learn([p for p in wanted if p not in known])
+        self.index.update((key, known[t]) for key, t in whole)
+        if marked:
+            both = np.array([(known[c], known[m]) for _, c, m in marked], np.int64)
+            first = self._append(self._gathered(both.ravel()), self.lengths[both].sum(axis=1))
+            self.index.update(zip((k for k, _, _ in marked), range(first, self.entries), strict=True))
 
     def _regular(self, text: str) -> bool:
         """Whether every space and line end stands alone between other characters, and nothing else is special."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and self._even(text)
+
+    def _even(self, text: str) -> bool:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return False
         if any(c in text for c in _RARE_ASCII) or not text.isascii() and _RARE.search(text):
             return False
@@ -99,33 +135,33 @@ class PieceEncoder:
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); ``end`` is put after each text."""
         if len(self.index) > REMEMBERED:
-            self._forget()
-        regular, pieces, counts = [], [], []
-        for i, text in enumerate(texts):
-            if text and self._regular(text):
-                cut = text.replace("\n", " \n").split(" ")
-                cut[0] = "\1" + cut[0]
-                pieces += cut
-                counts.append(len(cut))
-                regular.append(i)
+            self._forget_rare()
+        # one look at all of them; where it finds something, one at each
+        if all(texts) and self._even("x".join(texts)) and all(t[0] not in " \n" and t[-1] not in " \n" for t in texts):
+            regular = list(range(len(texts)))
+        else:
+            regular = [i for i, t in enumerate(texts) if self._regular(t)]
+        chosen = [texts[i] for i in regular]
+        # every text begins a piece that is marked as the first
+        pieces = ("\1" + " \1".join(chosen)).replace("\n", " \n").split(" ") if chosen else []
+        counts = [t.count(" ") + t.count("\n") + 1 for t in chosen]
         at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(pieces[i] for i in missing))
-            self._add(new, [p[1:] if p[0] == "\1" else p if p[0] == "\n" else f" {p}" for p in new])
+            self._add(list(dict.fromkeys(pieces[i] for i in missing)))
             at[missing] = [self.index[pieces[i]] for i in missing]
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        flat = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        edge = np.concatenate([[0], ends])[bounds]
+        self.met[at] += 1  # once for each call, however often it is in it
+        flat = self._gathered(at)
+        edge = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for k, i in enumerate(regular):
             parts[i] = flat[edge[k] : edge[k + 1]]
         taken = set(regular)
         rest = [i for i, t in enumerate(texts) if t and i not in taken]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else []):
-            parts[i] = np.array(e.ids, np.uint32)
+        if rest:
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+            for i, e in zip(rest, found, strict=True):
+                parts[i] = np.array(e.ids, np.uint32)
         if end is not None:
             stop = np.array([end], np.uint32)
             parts = [x for p in parts for x in (p, stop)]

@@ -37,6 +37,17 @@ def test_pieces_give_the_ids_of_whole_texts(spark, tokenizer):
         assert ids.tolist() == [x for w in want for x in w]
 
 
+def test_rare_pieces_are_forgotten_and_learned_again(spark, tokenizer, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] * 2
+    monkeypatch.setattr(pieces, "REMEMBERED", 500)
+    model = pieces.PieceEncoder(PATH)
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 7):
+        ids, n = model.encode(texts[k : k + 7])
+        assert ids.tolist() == [x for w in want[k : k + 7] for x in w] and n.tolist() == list(map(len, want[k : k + 7]))
+    assert len(model.index) < 20000
+
+
 def test_files_give_back_every_document(spark, tokenizer):
     rows = [(i, t and t[:2000]) for i, t in data.awkward()] + [(-5, "below zero"), (2**62, "far")]
     docs = data.frame(spark, rows).repartition(3)

@@ -10,17 +10,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of the component of every node that has an edge.
 
     Each round points the larger neighbours of a node, then the smaller ones, to the smallest of them; the number of
-    rounds is logarithmic. Rounds are checkpointed. Only minima by node are shuffled beside the edges, so a node with
-    very many edges is combined before its shuffle and its edges can be split by adaptive execution.
+    rounds is logarithmic. Rounds are checkpointed. Minima by node are combined before their shuffle, and checkpointed
+    too: the join with them is then free of their partitioning, so adaptive execution can split the edges of a node
+    that has very many.
     """
     current = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct().checkpoint()
     seen = _mark(current)
     while True:
         both = current.union(current.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u != v")
         current = small.distinct().checkpoint()

@@ -19,6 +19,7 @@ Repeated rows count as pages each. Columns other than id, url and html play no p
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -161,6 +162,11 @@ class Page:
                 self.blocks.append((text, self._within))
 
 
+def digest(text: str) -> str:
+    """The name of a block of text; texts themselves are not shuffled."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def features(source: str | None) -> Iterator[tuple[str, str, int, int]]:
     """(kind, token, occurrences, characters of running text in it) of a page."""
     if not source:
@@ -171,7 +177,7 @@ def features(source: str | None) -> Iterator[tuple[str, str, int, int]]:
     for text, within in page.blocks:
         for k in within:
             chars[k] += len(text)
-        seen = texts.setdefault(text, [0, 0])
+        seen = texts.setdefault(digest(text), [0, 0])
         seen[0] += 1
         seen[1] += len(text)
     paths: dict[str, list[int]] = {}
@@ -196,7 +202,9 @@ def main_text(source: str | None, slot: str | None, frame: frozenset[str] | set[
         found = [k for k, p in enumerate(page.elements) if p == wanted or p.rpartition("/")[2].split(".")[0] == wanted]
         if found:
             chosen = set(found)
-    blocks = [t for t, within in page.blocks if (chosen is None or not chosen.isdisjoint(within)) and t not in frame]
+    blocks = [t for t, within in page.blocks if chosen is None or not chosen.isdisjoint(within)]
+    if frame:
+        blocks = [t for t in blocks if digest(t) not in frame]
     return "\n".join(blocks)
 
 
@@ -204,14 +212,18 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def templates(pages: DataFrame, share: float = 0.75, least_pages: int = 5, most_frame: float = 0.3) -> DataFrame:
-    """host, slot, frame (texts of the template), pages. From columns host, page (a hash of the row) and html."""
+    """host, slot, frame (digests of the template's texts), pages. From columns host, page (a hash of the row) and html."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["host", "page", "kind", "token", "n", "chars"]
         for batch in batches:
+            rows: list[tuple] = []
             for host, page, source in zip(batch["host"], batch["page"], batch["html"], strict=True):
-                rows = [(host, page, *f) for f in features(source)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["host", "page", "kind", "token", "n", "chars"])
+                rows += [(host, page, *f) for f in features(source)]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     seen = pages.mapInPandas(tokens, "host string, page bigint, kind string, token string, n bigint, chars bigint")
     # the vector of a token: a sum of mixed values that wraps around, halved so that sums of pages stay in range
@@ -225,6 +237,7 @@ def templates(pages: DataFrame, share: float = 0.75, least_pages: int = 5, most_
         .agg(F.count(F.lit(1)).alias("pages"), F.sum(F.shiftright(F.xxhash64("page", F.lit(1).cast("bigint")), 24)).alias("frame_vector"))
     )
     frame = vectors.join(hosts, "host").where("vector = frame_vector AND on = pages AND n = pages")
+    frame = frame.checkpoint()  # read three times below, scanned for once
     total = F.max(F.when(F.col("kind") == "element", F.col("chars"))).alias("total")
     whole = frame.groupBy("host").agg(total)
     frame = frame.join(whole, "host")

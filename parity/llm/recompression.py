@@ -177,9 +177,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
     """id, key, found: the repeated windows of each document that has some."""
     buckets = repeats.buckets_for(rows)
-    known = repeats.marked(repeats.census(rows, anchoring(width), buckets)).checkpoint()
+    known = repeats.census(rows, anchoring(width), buckets).checkpoint()
     more = resolved(rows, known, width, buckets)
-    return known.where("repeats").select("id", "key", "found").union(more)
+    return known.where("repeats").select("id", "key", "found").union(more.select("id", "key", "found"))
 
 
 def digest(kept: str | bytes) -> str:

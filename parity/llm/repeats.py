@@ -36,6 +36,9 @@ FOUND = np.dtype([("at", "<u4"), ("n", "<u4"), ("state", "u1"), ("offset", "<i4"
 #: Windows met by their fingerprints. ``asks``: 0 a partner, 1 wants to know, 2 known to be repeated, 3 stands for more.
 WINDOW_FIELDS = (("hash", np.uint64), ("check", np.uint64), ("id", np.int64), ("key", np.int64), ("at", np.uint32),
                  ("asks", np.uint8))
+#: Fields of packed findings: those of FOUND and the document.
+TOLD_FIELDS = (("id", np.int64), ("key", np.int64), ("at", np.uint32), ("n", np.uint32), ("state", np.uint8),
+               ("offset", np.int32), ("name", np.uint64))
 NO_ID = np.iinfo(np.int64).min
 
 Records = dict[str, np.ndarray]
@@ -87,22 +90,40 @@ def schema_of(fields) -> str:
     return "bucket int, " + ", ".join(f"{name} binary" for name, _ in fields)
 
 
-def gathered(out: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Rows (id, key, found) with the FOUND entries of each document."""
-    order = np.lexsort((out["key"], out["id"]))
-    i, k = out["id"][order], out["key"][order]
-    found = np.zeros(len(order), FOUND)
-    for name in FOUND.names:
-        found[name] = out[name][order]
-    cuts, ends = groups((i[1:] != i[:-1]) | (k[1:] != k[:-1]), len(i))
-    return pd.DataFrame({
-        "id": i[cuts], "key": k[cuts], "found": [found[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-    })
+def told(out: Records, buckets: int) -> pd.DataFrame:
+    """What is known of records, packed by the bucket of their document."""
+    return packed(out, (out["key"].astype(np.int64).view(np.uint64) % np.uint64(buckets)).astype(np.int32), TOLD_FIELDS)
+
+
+def assembled(told_rows: DataFrame, buckets: int) -> DataFrame:
+    """id, key, found, repeats, needs: one row for each document that something is known of."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rec = unpacked(batches, TOLD_FIELDS)
+        if not len(rec["id"]):
+            return
+        order = np.lexsort((rec["key"], rec["id"]))
+        i, k = rec["id"][order], rec["key"][order]
+        found = np.zeros(len(order), FOUND)
+        for name in FOUND.names:
+            found[name] = rec[name][order]
+        starts, ends = groups((i[1:] != i[:-1]) | (k[1:] != k[:-1]), len(i))
+        states = np.bitwise_or.reduceat(found["state"], starts)
+        for at in range(0, len(starts), 10_000):
+            a, b = starts[at : at + 10_000], ends[at : at + 10_000]
+            s = states[at : at + 10_000]
+            yield pd.DataFrame({
+                "id": i[a], "key": k[a], "found": [found[x:y].tobytes() for x, y in zip(a, b, strict=True)],
+                "repeats": (s & REPEATED) > 0, "needs": (s & (OPEN | PARTNER)) > 0,
+            })
+
+    dealt = told_rows.repartition(buckets, "bucket")
+    return dealt.mapInPandas(gather, "id bigint, key bigint, found binary, repeats boolean, needs boolean")
 
 
 def census(rows: DataFrame, anchoring: Anchoring, buckets: int, crowd: int = 1 << 30) -> DataFrame:
-    """id, key, found: what is known of the records of each document (those that occur once are left out). Records to
-    resolve whose name has more than ``crowd`` different spans are marked as CROWDED."""
+    """id, key, found: what is known of the records of each document (those that occur once are left out); repeats and
+    needs: whether a row holds repeated records, and records to resolve. Records to resolve whose name has more than ``crowd`` different spans are marked as CROWDED."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,10 +178,10 @@ def census(rows: DataFrame, anchoring: Anchoring, buckets: int, crowd: int = 1 <
             state = (state + CROWDED * ((is_open | partner) & (spans > crowd))).astype(np.uint8)
             keep = state > 0
             out.append({**{k: rec[k][keep] for k in ("id", "key", "at", "n", "offset", "name")}, "state": state[keep]})
-        yield gathered({k: np.concatenate([o[k] for o in out]) for k in out[0]})
+        yield told({k: np.concatenate([o[k] for o in out]) for k in out[0]}, buckets)
 
     dealt = rows.mapInPandas(scan, schema_of(FIELDS)).repartition(buckets, "bucket")
-    return dealt.mapInPandas(meet, "id bigint, key bigint, found binary")
+    return assembled(dealt.mapInPandas(meet, schema_of(TOLD_FIELDS)), buckets)
 
 
 def by_document(found: DataFrame) -> DataFrame:
@@ -202,18 +223,6 @@ def records(anchor: np.ndarray, start: np.ndarray, text: np.ndarray) -> tuple[np
     return first, np.diff(np.append(first, len(anchor)))
 
 
-def marked(found: DataFrame) -> DataFrame:
-    """Adds ``repeats`` and ``needs``: whether a row holds repeated records, and records to resolve."""
-
-    @F.pandas_udf("repeats boolean, needs boolean")
-    def look(parts: pd.Series) -> pd.DataFrame:
-        states = [np.bitwise_or.reduce(np.frombuffer(p, FOUND)["state"]) if p else 0 for p in parts]
-        s = np.array(states, np.int64)
-        return pd.DataFrame({"repeats": (s & REPEATED) > 0, "needs": (s & (OPEN | PARTNER)) > 0})
-
-    return found.withColumn("_is", look("found")).select("id", "key", "found", "_is.repeats", "_is.needs")
-
-
 def dealt_windows(rec: Records, buckets: int) -> Iterator[pd.DataFrame]:
     """Packed windows by the bucket of their fingerprint; those that repeat each other in ``rec`` go as one."""
     order = np.lexsort((rec["check"], rec["hash"]))
@@ -233,7 +242,7 @@ def dealt_windows(rec: Records, buckets: int) -> Iterator[pd.DataFrame]:
         yield packed(done, (done["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), WINDOW_FIELDS)
 
 
-def met_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def met_windows(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     rec = unpacked(batches, WINDOW_FIELDS)
     if not len(rec["hash"]):
         return
@@ -246,19 +255,19 @@ def met_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     again[1:] |= same
     again[:-1] |= same
     hit = np.concatenate([done, order[again & (rec["asks"][order] > 0)]])
-    yield singles(rec["id"][hit], rec["key"][hit], rec["at"][hit])
+    yield singles(rec["id"][hit], rec["key"][hit], rec["at"][hit], buckets)
 
 
 def meeting_windows(dealt: DataFrame, buckets: int) -> DataFrame:
-    """The windows that want to know and occur again, as id, key, found."""
-
-    return dealt.repartition(buckets, "bucket").mapInPandas(met_windows, "id bigint, key bigint, found binary")
+    """The windows that want to know and occur again, one row for each document."""
+    meet = dealt.repartition(buckets, "bucket").mapInPandas(lambda rows: met_windows(rows, buckets), schema_of(TOLD_FIELDS))
+    return assembled(meet, buckets)
 
 
-def singles(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+def singles(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int) -> pd.DataFrame:
     """Repeated windows, one by one."""
     n = len(ids)
-    return gathered({
+    return told({
         "id": ids, "key": keys, "at": at, "n": np.ones(n, np.uint32), "state": np.full(n, REPEATED, np.uint8),
         "offset": np.zeros(n, np.int32), "name": np.zeros(n, np.uint64),
-    })
+    }, buckets)

@@ -36,7 +36,7 @@ GRAM = 64
 PERIOD = 31
 LONG = 5 * PERIOD
 #: Bytes of text handled at a time by a scan, and suffixes of a block.
-CHUNK, BLOCK = 1 << 20, 1 << 20
+CHUNK, BLOCK = 1 << 18, 1 << 18
 CONTEXT_FIELDS = (("name", np.uint64), ("offset", np.int32), ("n", np.uint32), ("id", np.int64), ("key", np.int64),
                   ("at", np.uint32), ("asks", np.uint8))
 
@@ -204,7 +204,7 @@ def resolved(rows: DataFrame, found: DataFrame, width: int, buckets: int) -> Dat
                     at, n, state, offset, name = r
                     out.append((name, offset, n, i, k, at, int(state & OPEN > 0), data[at : at + n - 1 + width]))
                     size += n + width
-                if size > CHUNK * 16:
+                if size > CHUNK * 8:
                     yield _packed_contexts(out, buckets)
                     out, size = [], 0
             if out:
@@ -236,7 +236,7 @@ def resolved(rows: DataFrame, found: DataFrame, width: int, buckets: int) -> Dat
             step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             hit &= rec["asks"][owner] > 0
             if hit.any():
-                yield repeats.singles(rec["id"][owner[hit]], rec["key"][owner[hit]], rec["at"][owner[hit]] + step[hit])
+                yield repeats.singles(rec["id"][owner[hit]], rec["key"][owner[hit]], rec["at"][owner[hit]] + step[hit], buckets)
             a = b
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,9 +279,9 @@ def resolved(rows: DataFrame, found: DataFrame, width: int, buckets: int) -> Dat
             crowded.append(batch[batch["kind"] == 1])
         yield from sort(iter(held))
         if sum(map(len, crowded)):
-            yield from repeats.met_windows(iter(crowded))
+            yield from repeats.met_windows(iter(crowded), buckets)
 
-    return dealt.mapInPandas(meet, "id bigint, key bigint, found binary")
+    return repeats.assembled(dealt.mapInPandas(meet, repeats.schema_of(repeats.TOLD_FIELDS)), buckets)
 
 
 def _packed_contexts(rows: list[tuple], buckets: int) -> pd.DataFrame:
@@ -298,8 +298,10 @@ def _packed_contexts(rows: list[tuple], buckets: int) -> pd.DataFrame:
 def repeated_windows(rows: DataFrame, width: int, crowd: int = 4096) -> DataFrame:
     """id, key, found: the repeated windows of each document that has some."""
     buckets = repeats.buckets_for(rows)
-    known = repeats.marked(repeats.census(rows, anchoring(width), buckets, crowd)).checkpoint()
-    return known.where("repeats").select("id", "key", "found").union(resolved(rows, known, width, buckets))
+    known = repeats.census(rows, anchoring(width), buckets, crowd).checkpoint()
+    return known.where("repeats").select("id", "key", "found").union(
+        resolved(rows, known, width, buckets).select("id", "key", "found")
+    )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 200, crowd: int = 4096) -> DataFrame:

@@ -165,3 +165,27 @@ def test_apply_returns_missing_values(df):
 def test_drop_unknown_column_raises(df):
     with pytest.raises(KeyError):
         frame.drop(df, ["nope"])
+
+
+def test_nan_is_missing_in_every_operator(spark):
+    from parity.functions.masks import filter_rows, mask, ne, not_, or_
+    from parity.operators import groupby, joins, windows
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0), (2, nan), (3, None), (4, 7.0)], "k bigint, x double")
+    keys = lambda out: sorted(r.k for r in out.collect())
+    assert keys(filter_rows(df, mask(F.col("x") >= 5))) == [4]
+    assert keys(filter_rows(df, not_(mask(F.col("x") >= 5)))) == [1, 2, 3]
+    assert keys(filter_rows(df, ne(F.col("x"), 7.0))) == [1, 2, 3]
+    assert keys(filter_rows(df, ne(F.col("x"), F.col("x")))) == [2, 3]
+    assert keys(filter_rows(df, or_(mask(F.col("x") > 100), mask(F.col("k") == 2)))) == [2]
+    aggregates = {"s": ("x", "sum"), "m": ("x", "mean"), "c": ("x", "count"), "hi": ("x", "max"), "u": ("x", "nunique")}
+    assert tuple(groupby.groupby_agg(df, [], aggregates).first()) == (8.0, 4.0, 2, 7.0, 2)
+    assert groupby.groupby_agg(df, ["x"], {"n": ("k", "count")}).count() == 2
+    order = {"partition_by": ["g"], "order_by": ["k"]}
+    g = df.withColumn("g", F.lit(1))
+    assert [r.o for r in windows.expanding(g, "x", "sum", output="o", **order).orderBy("k").collect()] == [1.0, 1.0, 1.0, 8.0]
+    assert [r.o for r in windows.rank(g, "x", ["g"], "o").orderBy("k").collect()] == [1.0, None, None, 2.0]
+    assert [r.k for r in frame.sort_values(df, ["x"], ascending=False, tiebreak=["k"]).collect()] == [4, 1, 2, 3]
+    assert joins.join(df, df.select("x"), "inner", ["x"]).count() == 6
+    assert windows.drop_duplicates(df, ["x"], order_by=["k"]).count() == 3

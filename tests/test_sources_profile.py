@@ -127,3 +127,39 @@ def test_jdbc_arguments_are_checked(spark):
         files.read_sql(spark, "jdbc:x", table="t", query="q")
     with pytest.raises(ValueError):
         files.read_sql(spark, "jdbc:x", table="t", column="c")
+
+
+def test_texts_survive_a_csv(spark, tmp_path):
+    rows = [("  pad ", 1), ("a\nb", 2), ('say "x", y', 3), ("tab\there\r\n", 4), ("é;ü", 5)]
+    path = str(tmp_path / "texts")
+    files.to_csv(spark.createDataFrame(rows, "t string, n bigint"), path)
+    assert sorted((r.t, r.n) for r in files.read_csv(spark, path).collect()) == sorted(rows)
+
+
+def test_long_integers_and_infinities_keep_their_types(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("a,b,c\n9223372036854775807,inf,99999999999999999999\n1234567890123456789,-Infinity,1\n")
+    df = files.read_csv(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "double"]
+    assert {r.a for r in df.collect()} == {9223372036854775807, 1234567890123456789}
+    assert {r.b for r in df.collect()} == {float("inf"), float("-inf")}
+
+
+def test_json_keeps_columns_without_values(spark, tmp_path):
+    path = str(tmp_path / "nulls")
+    files.to_json(spark.createDataFrame([(1, None), (2, None)], "a bigint, b string"), path)
+    assert files.read_json(spark, path).columns == ["a", "b"]
+
+
+def test_parts_go_together_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,x\n")
+    (folder / "2.csv").write_text("b,a\ny,2\n")
+    (folder / "3.tsv").write_text("a\tc\n3\t4\n")
+    got = datasets.load_dataset(spark, str(folder)).collect()
+    assert sorted((r.a, r.b, r.c) for r in got) == [(1, "x", None), (2, "y", None), (3, None, 4.0)]
+    parquet = str(tmp_path / "parquet")
+    spark.range(1).selectExpr("id AS a").coalesce(1).write.parquet(parquet)
+    spark.range(1).selectExpr("id + 1 AS a", "'z' AS b").coalesce(1).write.mode("append").parquet(parquet)
+    assert sorted((r.a, r.b) for r in datasets.load_dataset(spark, parquet).collect()) == [(0, None), (1, "z")]

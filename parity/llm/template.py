@@ -10,8 +10,10 @@ of the host's running text. Blocks of text that belong to the frame of enough pa
 of the data. What remains of the main slot is the text of a page.
 
 Elements that are boilerplate by their meaning (menus, forms, adverts, comments and so on) are left out wherever they
-are, both when the slots are weighed and when the text is read. A host of one page has only such meanings to go by;
-the same way is taken by a page that lacks its host's slot.
+are, both when the slots are weighed and when the text is read, unless the page says otherwise: where no article or
+main element lies outside such elements, one that holds an article or main element is read, and so is a form or an
+element with a telling class that holds most of the running text of the page. Hidden elements are never read. A host of
+one page has only such meanings to go by; the same way is taken by a page that lacks its host's slot.
 
 Defined results: a null or empty page, and a page without text, give the empty text. A null url is a host of its own.
 Repeated rows count as pages each. Columns other than id, url and html play no part. The text of a page is never cut.
@@ -51,11 +53,16 @@ MEANT = frozenset(
     "nav aside footer form button select option menu search dialog head datalist fieldset object audio video canvas".split()
 )
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|hidden|login|menu|"
-    r"modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|"
-    r"social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|hidden|login|menu|modal|nav|navbar|"
+    r"navigation|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|"
+    r"subscribe|toolbar|widget",
     re.IGNORECASE,
 )
+#: Words that a hint may stand with in one class; beside any other (has-, no-, with-, -content) it says nothing.
+BESIDE = frozenset(
+    "area bar bottom box buttons column form global header icons inner items left links list main mobile posts primary "
+    "right secondary site slot text top unit".split()
+)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 #: A start tag of the first kind closes an open element of the second kinds.
 CLOSES = {
@@ -69,14 +76,28 @@ def attributes(rest: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest else {}
 
 
-def is_boilerplate(tag: str, given: dict[str, str]) -> bool:
-    if tag in MEANT or "hidden" in given or given.get("aria-hidden") == "true":
-        return True
-    if given.get("role", "").lower() in ROLES:
-        return True
+def is_hint(label: str) -> bool:
+    """Whether a whole class or id is of hint words."""
+    parts = [x for x in re.split("[-_]+", label.lower()) if x and not x.isdigit()]
+    hints = [HINT.fullmatch(x) is not None for x in parts]
+    return any(hints) and all(h or x in BESIDE for h, x in zip(hints, parts, strict=True))
+
+
+#: Why an element is left out: by a hint or as a form, by what its tag means, or because it is not shown.
+HINTED, MEANS, UNSEEN = 1, 2, 3
+
+
+def boilerplate(tag: str, given: dict[str, str]) -> int:
+    if "hidden" in given or given.get("aria-hidden") == "true":
+        return UNSEEN
+    role = given.get("role", "").lower()
+    if tag == "form" or role == "form":
+        return HINTED
+    if tag in MEANT or role in ROLES:
+        return MEANS
     if tag in ("html", "body", "main", "article"):
-        return False
-    return any(HINT.search(given[k]) for k in ("class", "id") if k in given)
+        return 0
+    return HINTED if any(is_hint(x) for k in ("class", "id") if k in given for x in given[k].split()) else 0
 
 
 def name_of(tag: str, given: dict[str, str]) -> str:
@@ -85,21 +106,33 @@ def name_of(tag: str, given: dict[str, str]) -> str:
 
 
 class Page:
-    """The elements and blocks of a page, read once from left to right."""
+    """The elements and blocks of a page, read once from left to right.
+
+    ``trusted`` are paths of hinted elements that hold most of the host's running text.
+    """
 
-    def __init__(self, source: str):
-        #: (path, number of open frames) of every structural element, in order; and blocks (text, element numbers).
+    def __init__(self, source: str, trusted: frozenset[str] | set[str] = frozenset()):
+        #: The path of every structural element, in order; and blocks (text, element numbers).
         self.elements: list[str] = []
         self.blocks: list[tuple[str, tuple[int, ...]]] = []
+        #: Blocks of hinted elements that are not read on this page; another page of the host may say otherwise.
+        self.doubted: list[tuple[str, tuple[int, ...]]] = []
+        #: Paths of hinted elements with their characters, and the characters of the page; empty beside an article.
+        self.hinted: dict[str, int] = {}
+        self.running = 0
         self._open: list[tuple[str, bool, int]] = []  # tag, boilerplate, element number or -1
-        self._words: list[str] = []
+        self._words: list[tuple[str, tuple[int, ...]]] = []  # with the open boilerplate elements
+        self._raw: list[tuple[list[tuple[str, tuple[int, ...]]], tuple[int, ...]]] = []
         self._within: tuple[int, ...] = ()
-        self._off = 0
+        self._off: tuple[int, ...] = ()
+        self._reasons: list[int] = []
+        self._paths: list[str] = []
+        self._holds: list[bool] = []  # an article or main element
+        self._plain = False  # an article or main element outside boilerplate
         for m in TOKEN.finditer(source):
             text = m["text"]
             if text is not None:
-                if not self._off:
-                    self._words.append(text)
+                self._words.append((text, self._off))
             elif m["tag"]:
                 tag = m["tag"].lower()
                 if m["close"]:
@@ -107,28 +140,64 @@ class Page:
                 else:
                     self._start(tag, m["rest"])
         self._flush()
+        self._decide(trusted)
+
+    def _decide(self, trusted: frozenset[str] | set[str]) -> None:
+        """Which boilerplate elements are read after all, and the blocks."""
+        chars = [0] * len(self._reasons)
+        firm = [r != HINTED for r in self._reasons]
+        read = [False] * len(self._reasons)
+        if not self._plain and self._reasons:
+            read = [h and r != UNSEEN for h, r in zip(self._holds, self._reasons, strict=True)]
+        if not self._plain:
+            for words, _ in self._raw:
+                for text, off in words:
+                    if not any(firm[k] and not read[k] for k in off):
+                        n = len(text.strip())
+                        self.running += n
+                        for k in off:
+                            chars[k] += n
+            for k, n in enumerate(chars):
+                if not firm[k]:
+                    self.hinted[self._paths[k]] = self.hinted.get(self._paths[k], 0) + n
+                    read[k] = read[k] or 2 * n > self.running or self._paths[k] in trusted
+        for words, within in self._raw:
+            sure = [t for t, off in words if all(read[k] for k in off)]
+            if text := _clean(sure):
+                self.blocks.append((text, within))
+            elif not self._plain and (text := _clean([t for t, off in words if all(read[k] or not firm[k] for k in off)])):
+                self.doubted.append((text, within))
 
     def _start(self, tag: str, rest: str) -> None:
         if tag in BLOCK:
             self._flush()
             if tag not in ("html", "body"):
                 self._pop_to({"p"}, BLOCK - {"p"})
-        elif tag == "br" and not self._off:
-            self._words.append(" ")
+        elif tag == "br":
+            self._words.append((" ", self._off))
         if tag in CLOSES:
             self._pop_to(CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             return
         given = attributes(rest)
-        off = is_boilerplate(tag, given)
+        reason = boilerplate(tag, given)
+        if tag in ("article", "main") and not reason:
+            self._plain = self._plain or not self._off
+            if all(self._reasons[k] != UNSEEN for k in self._off):
+                for k in self._off:
+                    self._holds[k] = True
         number = -1
+        above = self.elements[self._within[-1]] if self._within else ""
         if tag in STRUCTURE:
             number = len(self.elements)
-            above = self.elements[self._within[-1]] if self._within else ""
             self.elements.append(f"{above}/{name_of(tag, given)}")
             self._within = (*self._within, number)
-        self._open.append((tag, off, number))
-        self._off += off
+        self._open.append((tag, reason > 0, number))
+        if reason:
+            self._off = (*self._off, len(self._reasons))
+            self._reasons.append(reason)
+            self._paths.append(f"{above}/{name_of(tag, given)}")
+            self._holds.append(False)
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
@@ -139,7 +208,8 @@ class Page:
 
     def _pop(self) -> str:
         tag, off, number = self._open.pop()
-        self._off -= off
+        if off:
+            self._off = self._off[:-1]
         if number >= 0:
             self._within = self._within[:-1]
         return tag
@@ -156,10 +226,12 @@ class Page:
 
     def _flush(self) -> None:
         if self._words:
-            text = BLANKS.sub(" ", entities.unescape("".join(self._words))).strip()
+            self._raw.append((self._words, self._within))
             self._words = []
-            if text:
-                self.blocks.append((text, self._within))
+
+
+def _clean(texts: list[str]) -> str:
+    return BLANKS.sub(" ", entities.unescape("".join(texts))).strip() if texts else ""
 
 
 def digest(text: str) -> str:

@@ -148,6 +148,27 @@ def test_given_pages_keep_their_articles(spark):
         assert got[r.page_id] == "\n".join(x for x in lines if x)
 
 
+def texts_of(spark, pages):
+    rows = [(i, url, page(body)) for i, (url, body) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return [r.text for r in template.extract(df).orderBy("page_id").collect()]
+
+
+def test_hints_do_not_hide_the_article(spark):
+    rng = random.Random(12)
+    pages, want = [], []
+    wrappers = ("layout has-sidebar", "page no-sidebar", "content-with-sidebar", "post has-comments", "widget-content", "sidebar")
+    for k, label in enumerate(wrappers):
+        for tag in ("article", "div"):
+            text = data.prose(rng, 40)
+            pages.append((f"http://h{k}{tag}.example.org/", f"<div class='{label}'><{tag}>{text}</{tag}></div><div class='sidebar-links'>links</div>"))
+            want.append(text)
+    text = data.prose(rng, 40)
+    pages.append(("http://f.example.org/", f"<form><div>{text}<div class='site-footer'>imprint</div></div></form>"))
+    pages.append(("http://g.example.org/", f"<article>{text[:20]}</article><div class=comments>{text}<article>more</article></div>"))
+    assert texts_of(spark, pages) == [*want, text, text[:20].strip()]
+
+
 # ---- quality
 
 

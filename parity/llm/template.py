@@ -1,22 +1,25 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from a template filled with data. A page is read as tokens: its elements, named by their path of
+Pages of one host come from templates filled with data. A page is read as tokens: its elements, named by their path of
 structural tags, and its blocks of text, named by a hash. Tokens of a host that share their occurrence vector (how
 often they occur on each of its pages) form an equivalence class; vectors are compared by a sum of mixed (page, count)
 values, which combines before the shuffle, so a host with a third of all pages is no more work for one task than any
-other. The class of tokens that occur exactly once on every page is the template's frame; its elements nest by their
-paths, and what lies between them are slots. The main slot is the innermost element of the frame that holds nearly all
-of the host's running text. Blocks of text that belong to the frame of enough pages are part of the template and not
-of the data. What remains of the main slot is the text of a page.
+other. Classes of tokens that occur once on each of their pages and on enough of the host's pages, not all, are kept:
+one deviating page or a second page type makes another class and does not undo the first. The kept elements on a page
+nest by their paths and are the template of its page group; what lies directly in one of them is a slot. A text is the
+template's if it has the vector of a kept element, or is on nearly all pages of the host or of its own element. All
+other text is data, and every slot that holds data is read.
 
 Elements that are boilerplate by their meaning (menus, forms, adverts, comments and so on) are left out wherever they
-are, both when the slots are weighed and when the text is read, unless the page says otherwise: where no article or
-main element lies outside such elements, one that holds an article or main element is read, and so is a form or an
-element with a telling class that holds most of the running text of the page. Hidden elements are never read. A host of
-one page has only such meanings to go by; the same way is taken by a page that lacks its host's slot.
+are, unless the page says otherwise: where no article or main element lies outside such elements, one that holds an
+article or main element is read, and so is a form or an element with a telling class that holds most of the running
+text of the page or of the host. Hidden elements are never read. A host of one page has only such meanings to go by;
+the same way is taken by a page without any kept element.
 
 Defined results: a null or empty page, and a page without text, give the empty text. A null url is a host of its own.
-Repeated rows count as pages each. Columns other than id, url and html play no part. The text of a page is never cut.
+Repeated rows count as pages each, but texts that come on copies of one page only are data. On hosts of less than
+``least_pages`` pages single texts are never left out, only slots of a lesser part of the text, all of it on every page.
+Columns other than id, url and html play no part. The text of a page is never cut.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -239,55 +243,83 @@ def digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def features(source: str | None) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, token, occurrences, characters of running text in it) of a page."""
+def number_of(name: str) -> int:
+    found = hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(found, "big", signed=True)
+
+
+def features(source: str | None) -> Iterator[tuple[str, str, int, int, int, int]]:
+    """(kind, token, occurrences, characters, number of its element, number of the page's texts) of a page."""
     if not source:
         return
     page = Page(source)
-    chars = [0] * len(page.elements)
+    names = {path: number_of(path) for path in {"", *page.elements}}
     texts: dict[str, list[int]] = {}
-    for text, within in page.blocks:
-        for k in within:
-            chars[k] += len(text)
-        seen = texts.setdefault(digest(text), [0, 0])
-        seen[0] += 1
-        seen[1] += len(text)
-    paths: dict[str, list[int]] = {}
-    for path, n in zip(page.elements, chars, strict=True):
-        seen = paths.setdefault(path, [0, 0])
-        seen[0] += 1
-        seen[1] += n
-    for kind, found in (("element", paths), ("text", texts)):
-        for token, (n, c) in found.items():
-            yield kind, token, n, c
-
-
-def main_text(source: str | None, slot: str | None, frame: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks of the slot, one a line; without the slot on the page, of its article, its main part or all of it."""
+    said = []
+    for blocks in (page.blocks, page.doubted):
+        for text, within in blocks:
+            name = digest(text)
+            if blocks is page.blocks:
+                said.append(name)
+            seen = texts.setdefault(name, [0, names[page.elements[within[-1]] if within else ""]])
+            seen[0] += 1
+    sign = number_of("".join(said))
+    for path, n in Counter(page.elements).items():
+        yield "element", path, n, 0, names[path], sign
+    for token, (n, place) in texts.items():
+        yield "text", token, n, 0, place, sign
+    for path, n in page.hinted.items():
+        yield "hinted", path, 1, n, 0, sign
+    if page.running:
+        yield "running", "", 1, page.running, 0, sign
+
+
+Names = frozenset[str] | set[str]
+
+
+def main_text(
+    source: str | None,
+    frame: Names = frozenset(),
+    texts: Names = frozenset(),
+    trusted: Names = frozenset(),
+    few: bool = False,
+) -> str:
+    """The data of all slots of the page's template, a block a line: ``frame`` are the paths of the host's template
+    elements, ``texts`` the template's texts (of a host of ``few`` pages, texts on all of them). A page without such
+    elements gives its articles, its main part or all of it."""
     if not source:
         return ""
-    page = Page(source)
-    chosen = None
-    for wanted in (slot, "article", "main"):
-        if wanted is None or chosen is not None:
-            continue
-        found = [k for k, p in enumerate(page.elements) if p == wanted or p.rpartition("/")[2].split(".")[0] == wanted]
-        if found:
-            chosen = set(found)
-    blocks = [t for t, within in page.blocks if chosen is None or not chosen.isdisjoint(within)]
-    if frame:
-        blocks = [t for t in blocks if digest(t) not in frame]
-    return "\n".join(blocks)
+    page = Page(source, trusted)
+    seen = Counter(page.elements)
+    framed = {k for k, path in enumerate(page.elements) if path in frame and seen[path] == 1}
+    if not framed:
+        chosen = None
+        for wanted in ("article", "main"):
+            found = {k for k, p in enumerate(page.elements) if p.rpartition("/")[2].split(".")[0] == wanted}
+            if found:
+                chosen = found
+                break
+        blocks = [b for b in page.blocks if chosen is None or not chosen.isdisjoint(b[1])]
+        return "\n".join(t for t, _ in blocks if few or digest(t) not in texts)
+    data = [(t, within, digest(t) not in texts) for t, within in page.blocks]
+    if not few:
+        return "\n".join(t for t, _, own in data if own)
+    slots = [next((k for k in reversed(within) if k in framed), -1) for _, within, _ in data]
+    filled = {k for k, (_, _, own) in zip(slots, data, strict=True) if own}
+    kept = [t for k, (t, _, _) in zip(slots, data, strict=True) if k in filled]
+    whole = [t for t, _, _ in data]
+    return "\n".join(kept if 2 * sum(map(len, kept)) > sum(map(len, whole)) else whole)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def templates(pages: DataFrame, share: float = 0.75, least_pages: int = 5, most_frame: float = 0.3) -> DataFrame:
-    """host, slot, frame (digests of the template's texts), pages. From columns host, page (a hash of the row) and html."""
+def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.25, nearly: float = 0.9) -> DataFrame:
+    """host, pages, frame (paths of the templates' elements), texts (digests of the templates' texts) and trusted (paths
+    of hinted elements with most of the host's text). From columns host, page (a hash of the row) and html."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["host", "page", "kind", "token", "n", "chars"]
+        columns = ["host", "page", "kind", "token", "n", "chars", "place", "sign"]
         for batch in batches:
             rows: list[tuple] = []
             for host, page, source in zip(batch["host"], batch["page"], batch["html"], strict=True):
@@ -297,37 +329,51 @@ def templates(pages: DataFrame, share: float = 0.75, least_pages: int = 5, most_
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    seen = pages.mapInPandas(tokens, "host string, page bigint, kind string, token string, n bigint, chars bigint")
+    seen = pages.mapInPandas(
+        tokens, "host string, page bigint, kind string, token string, n bigint, chars bigint, place bigint, sign bigint"
+    )
     # the vector of a token: a sum of mixed values that wraps around, halved so that sums of pages stay in range
     entry = F.shiftright(F.xxhash64("page", "n"), 24)
     vectors = seen.groupBy("host", "kind", "token").agg(
-        F.sum(entry).alias("vector"), F.count(F.lit(1)).alias("on"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
-    )
-    hosts = (
-        pages.where("html IS NOT NULL AND html != ''")
-        .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("pages"), F.sum(F.shiftright(F.xxhash64("page", F.lit(1).cast("bigint")), 24)).alias("frame_vector"))
+        F.sum(entry).alias("vector"), F.count(F.lit(1)).alias("on"), F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+        F.min("place").alias("place"), (F.min("place") == F.max("place")).alias("one_place"),
+        (F.min("sign") != F.max("sign")).alias("on_others"),
+    )
+    hosts = pages.where("html IS NOT NULL AND html != ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    weighed = F.col("kind").isin("hinted", "running")
+    found = (
+        vectors.where(weighed | ((F.col("on") > 1) & (F.col("n") == F.col("on"))))
+        .join(hosts, "host")
+        .where(weighed | (F.col("on") >= least_share * F.col("pages")))
+        .checkpoint()  # read for elements, texts and hints
     )
-    frame = vectors.join(hosts, "host").where("vector = frame_vector AND on = pages AND n = pages")
-    frame = frame.checkpoint()  # read three times below, scanned for once
-    total = F.max(F.when(F.col("kind") == "element", F.col("chars"))).alias("total")
-    whole = frame.groupBy("host").agg(total)
-    frame = frame.join(whole, "host")
-    depth = F.size(F.split("token", "/"))
-    slots = (
-        frame.where((F.col("kind") == "element") & (F.col("chars") >= share * F.col("total")) & (F.col("pages") > 1))
+    elements = found.where("kind = 'element'")
+    classes = elements.select("host", "vector").distinct().withColumn("framed", F.lit(True))
+    places = elements.groupBy("host", "place").agg(F.max("on").alias("place_on"))
+    texts = (
+        found.where("kind = 'text' AND on_others")
+        .where((F.col("on") >= least_pages) | ((F.col("pages") < least_pages) & (F.col("on") == F.col("pages"))))
+        .join(classes, ["host", "vector"], "left")
+        .join(places, ["host", "place"], "left")
+        .where(
+            F.coalesce("framed", F.lit(False))
+            | (F.col("on") >= nearly * F.col("pages"))
+            | F.coalesce(F.col("one_place") & (F.col("on") >= nearly * F.col("place_on")), F.lit(False))
+        )
         .groupBy("host")
-        .agg(F.max(F.struct(depth.alias("depth"), F.col("token").alias("token"))).alias("s"))
-        .select("host", F.col("s.token").alias("slot"))
+        .agg(F.collect_list("token").alias("texts"))
     )
-    texts = (
-        frame.where((F.col("kind") == "text") & (F.col("pages") >= least_pages))
+    frame = elements.groupBy("host").agg(F.collect_list("token").alias("frame"))
+    running = found.where("kind = 'running'").select("host", F.col("chars").alias("running"))
+    trusted = (
+        found.where("kind = 'hinted'")
+        .join(running, "host")
+        .where(2 * F.col("chars") > F.col("running"))
         .groupBy("host")
-        .agg(F.collect_list("token").alias("frame"), F.sum("chars").alias("chars"), F.max("total").alias("total"))
-        .where(F.col("chars") <= most_frame * F.col("total"))
-        .select("host", "frame")
+        .agg(F.collect_list("token").alias("trusted"))
     )
-    return hosts.select("host", "pages").join(slots, "host", "left").join(texts, "host", "left")
+    known = hosts.withColumn("few", F.col("pages") < least_pages)
+    return known.join(frame, "host", "left").join(texts, "host", "left").join(trusted, "host", "left")
 
 
 def extract(
@@ -345,14 +391,18 @@ def extract(
     )
     found = templates(rows.withColumn("page", F.xxhash64("id", "url", "html")), **options).checkpoint()
     few = found.count() <= broadcast_hosts
-    known = found.select("host", "slot", "frame")
+    known = found.select("host", "frame", "texts", "trusted", "few")
     joined = rows.join(F.broadcast(known) if few else known, "host", "left")
 
     @F.pandas_udf("string")
-    def read(source: pd.Series, slot: pd.Series, frame: pd.Series) -> pd.Series:
+    def read(
+        source: pd.Series, frame: pd.Series, texts: pd.Series, trusted: pd.Series, few: pd.Series
+    ) -> pd.Series:
         out = []
-        for s, t, f in zip(source, slot, frame, strict=True):
-            out.append(main_text(s, t, frozenset(f) if f is not None else frozenset()))
+        for row, small in zip(zip(source, frame, texts, trusted, strict=True), few, strict=True):
+            names = [frozenset(x) if x is not None else frozenset() for x in row[1:]]
+            out.append(main_text(row[0], *names, few=bool(small)))
         return pd.Series(out, dtype=object)
 
-    return joined.select(F.col("id").alias(page_id), F.col("url").alias(url), read("html", "slot", "frame").alias("text"))
+    text = read("html", "frame", "texts", "trusted", F.coalesce("few", F.lit(True))).alias("text")
+    return joined.select(F.col("id").alias(page_id), F.col("url").alias(url), text)

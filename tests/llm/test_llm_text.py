@@ -154,6 +154,17 @@ def texts_of(spark, pages):
     return [r.text for r in template.extract(df).orderBy("page_id").collect()]
 
 
+def test_every_slot_with_data_is_read(spark):
+    """A lead beside the content, on some pages most of the text."""
+    rng = random.Random(11)
+    pages, want = [], []
+    for i in range(10):
+        lead, content = data.prose(rng, 80 if i == 3 else 8), data.prose(rng, 5 if i == 3 else 60)
+        pages.append((f"http://a.example.org/{i}", f"<article><div class=lead>{lead}</div><div class=content>{content}</div></article>"))
+        want.append(f"{lead}\n{content}")
+    assert texts_of(spark, pages) == want
+
+
 def test_hints_do_not_hide_the_article(spark):
     rng = random.Random(12)
     pages, want = [], []
@@ -166,7 +177,31 @@ def test_hints_do_not_hide_the_article(spark):
     text = data.prose(rng, 40)
     pages.append(("http://f.example.org/", f"<form><div>{text}<div class='site-footer'>imprint</div></div></form>"))
     pages.append(("http://g.example.org/", f"<article>{text[:20]}</article><div class=comments>{text}<article>more</article></div>"))
-    assert texts_of(spark, pages) == [*want, text, text[:20].strip()]
+    # one page of the host is too short for its wrapper to hold most of its text
+    for i in range(4):
+        text_i = data.prose(rng, 2 if i == 3 else 50)
+        pages.append((f"http://i.example.org/{i}", f"<div class=widget>{text_i}</div><p>{data.prose(rng, 6)}</p>"))
+    got = texts_of(spark, pages)
+    assert got[:-4] == [*want, text, text[:20].strip()]
+    assert all(len(t.split("\n")) == 2 for t in got[-4:])
+
+
+def test_deviating_pages_leave_the_template(spark):
+    """An error page, plain text and a second page type on one host; short articles between long notices."""
+    rng = random.Random(13)
+    notice = data.prose(rng, 40)
+    pages, want = [], []
+    for i in range(20):
+        a, b = data.prose(rng, 4), data.prose(rng, 4)
+        pages.append((f"http://a.example.org/{i}", f"<div class=top><p>{notice}</div><div class=text><p>{a}<p>{b}</div><div class=low>all rights</div>"))
+        want.append(f"{a}\n{b}")
+    for i in range(10):
+        a = data.prose(rng, 6)
+        pages.append((f"http://a.example.org/p{i}", f"<div class=head>the shop</div><div class=item>{a}</div><div class=order>order now</div>"))
+        want.append(a)
+    pages.append(("http://a.example.org/e", "<h1>not found</h1>"))
+    copies = [("http://a.example.org/c", f"<div class=text>{notice[:30]} same</div>")] * 3
+    assert texts_of(spark, pages + copies) == [*want, "not found", *[f"{notice[:30]} same"] * 3]
 
 
 # ---- quality

@@ -9,6 +9,10 @@ characters: hashed n-grams index the matrix and their rows are summed by documen
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text when nothing was
 learned (an empty table, no labels). Ties go to the language first in order. Training skips rows whose id, text or
 language is null. Only the text enters a prediction. Repeated rows and extra columns change nothing.
+
+The score compares the learned languages with each other and says nothing of other languages and noise. ``accepted``
+therefore also holds the mean log probability of a text's n-grams, in lower case and without marks and digits, against
+the range of labelled texts of the same language (a sample bounded in the same way, of all folds).
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Characters handled at a time; bounds the memory of a slice whatever the length of a text.
 SLICE = 1 << 18
+#: A text is out of range further below the median than so many times the distance of the lowest hundredth, at least ROOM.
+RANGE, ROOM = 3.0, 1.0
+#: Means of few n-grams vary: so much more room, over the square root of their number.
+FEW = 8.0
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -127,6 +136,22 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """At most about ``per_language`` rows of each language by a hash of the id; columns lang and text."""
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.lit(1 << 31)
+    return (
+        labelled.join(F.broadcast(sizes), "lang")
+        .where(F.pmod(F.xxhash64("id"), whole) < whole * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")))
+        .select("lang", "text")
+    )
+
+
+def labelled_rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    return rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+
+
 def train(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -139,15 +164,7 @@ def train(
 ) -> Model:
     """Learn from at most about ``per_language`` documents of each language, chosen by a hash of the id."""
     held_out = fold(F.col(doc_id)) == 1 if held_out is None else held_out
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & ~held_out)
-    labelled = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.lit(1 << 31)
-    chosen = (
-        labelled.join(F.broadcast(sizes), "lang")
-        .where(F.pmod(F.xxhash64("id"), whole) < whole * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")))
-        .select("lang", "text")
-    )
+    chosen = sample(labelled_rows(docs.where(~held_out), doc_id, text, lang), per_language)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -209,13 +226,52 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return rows.select(doc_id, "held_out", "said.lang_pred", "said.score")
 
 
+def means(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its best language (a number), the mean log probability of its n-grams there, and their number."""
+    bare = [_NO_LETTERS.sub(" ", t.lower()) for t in texts]
+    like = log_likelihoods(bare, model) - model.prior
+    n = np.array([max(3 * len(t) - 3, 1) for t in bare])
+    return like.argmax(axis=1), like.max(axis=1) / n, n
+
+
+def floors(docs: DataFrame, model: Model, doc_id: str, text: str, lang: str, per_language: int = 5000) -> np.ndarray:
+    """The least mean log probability of each language of the model; of the lowest one where no text had it as its best."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t for t in batch["text"] if has_letter(t)]
+            if texts:
+                best, mean, _ = means(texts, shared.value)
+                yield pd.DataFrame({"best": best, "mean": mean})
+
+    seen = sample(labelled_rows(docs, doc_id, text, lang), per_language).mapInPandas(measured, "best bigint, mean double")
+    ranges = seen.groupBy("best").agg(F.percentile_approx("mean", [0.5, 0.01], 10000).alias("q"))
+    out = np.full(len(model.languages), np.nan)
+    for row in ranges.toLocalIterator():  # a row a language
+        middle, low = row["q"]
+        out[row["best"]] = middle - max(RANGE * (middle - low), ROOM)
+    return np.where(np.isnan(out), np.nanmin(out), out) if not np.isnan(out).all() else np.full(len(out), -np.inf)
+
+
 def accepted(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", least: float = 0.5, **options) -> DataFrame:
-    """The rows whose language is known with a score of ``least`` or more, with all their columns."""
-    run = predictor(docs, train(docs, doc_id, text, lang, **options))
-    names = docs.columns
-    said = "_said"
-    while said in names:
-        said = f"_{said}"
-    rows = docs.withColumn(said, run(F.col(text)))
-    kept = rows.where((F.col(f"{said}.lang_pred") != UNKNOWN) & (F.col(f"{said}.score") >= least))
-    return kept.select(*(F.col(f"`{c}`") for c in names))
+    """The rows whose language is known with a score of ``least`` or more and whose text is in the range of that
+    language, with all their columns."""
+    model = train(docs, doc_id, text, lang, **options)
+    bounded = {k: v for k, v in options.items() if k == "per_language"}
+    lows = floors(docs, model, doc_id, text, lang, **bounded) if model.languages else np.zeros(0)
+    shared = docs.sparkSession.sparkContext.broadcast((model, lows))
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, lows = shared.value
+        for texts in batches:
+            said = predict(texts, model)
+            kept = ((said["lang_pred"] != UNKNOWN) & (said["score"] >= least)).to_numpy()
+            at = np.flatnonzero(kept)
+            if len(at):
+                best, mean, n = means([texts.iloc[i] for i in at], model)
+                kept[at] = mean >= lows[best] - FEW / np.sqrt(n)
+            yield pd.Series(kept)
+
+    return docs.where(known(F.col(text)))

@@ -39,6 +39,21 @@ def test_language_on_held_out_documents(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {900001, 900002, 900003}
 
 
+def test_other_languages_and_noise_are_not_accepted(spark):
+    rng = random.Random(7)
+    planted = {
+        900010: "Москва является столицей России и крупнейшим городом страны по численности населения",
+        900011: "北京是中华人民共和国的首都也是全国政治文化中心",
+        900012: " ".join("".join(rng.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(rng.randrange(3, 9))) for _ in range(60)),
+        900013: "Warszawa jest stolicą Polski i największym miastem w kraju położonym nad rzeką Wisłą " * 4,
+        900014: "asdf jkl; qwer zxcv asdfgh lkjhg " * 5,
+    }
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    both = docs.union(spark.createDataFrame([(k, t, None) for k, t in planted.items()], docs.schema))
+    kept = sorted(r.doc_id for r in language.accepted(both).collect())
+    assert kept == sorted(r.doc_id for r in docs.collect())
+
+
 def test_language_learns_from_the_other_folds_only(spark):
     docs = labelled(spark)
     swapped = docs.withColumn("lang", F.when(language.fold(F.col("doc_id")) == 1, F.lit("xx")).otherwise(F.col("lang")))

@@ -110,6 +110,57 @@ def profile_directory_columns(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(_name(), "column", "distinct_count")
 
 
+#: The tables of a given directory and their columns.
+_GIVEN = {
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "events": "event_id ts user_id event_type value props",
+    "labels": "doc_id quality toxic",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "nation": "n_nationkey n_name n_regionkey",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "pages": "page_id url html",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "region": "r_regionkey r_name",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+}
+
+
+@query(
+    "profile_given_directory",
+    " UNION ALL ".join(
+        f"SELECT '{t}.parquet' AS name, 'parquet' AS format, count(*)::BIGINT AS row_count, {len(c.split())} AS column_count FROM {t}"
+        for t, c in _GIVEN.items()
+    ),
+)
+def profile_given_directory(spark: SparkSession, sf: str) -> DataFrame:
+    """Every table of the directory itself."""
+    return profile.profile_directory(spark, sf).select(_name(), "format", "row_count", "column_count")
+
+
+@query(
+    "profile_given_directory_columns",
+    " UNION ALL ".join(
+        f"""SELECT '{t}.parquet' AS name, '{c}' AS "column", {k} AS ordinal, count(*) FILTER ({c} IS NULL)::BIGINT AS null_count,
+                   count(DISTINCT {c})::BIGINT AS distinct_count FROM {t}"""
+        for t, columns in _GIVEN.items()
+        for k, c in enumerate(columns.split())
+    ),
+)
+def profile_given_directory_columns(spark: SparkSession, sf: str) -> DataFrame:
+    found = profile.profile_directory_columns(spark, sf)
+    return found.select(_name(), "column", "ordinal", "null_count", "distinct_count")
+
+
+@query("given_broadcast_candidates")
+def given_broadcast_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of files are not SQL; the tests hold the flags against the files."""
+    return profile.size_report(profile.profile_directory(spark, sf))
+
+
 @query(
     "profile_to_schema",
     """

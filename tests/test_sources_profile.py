@@ -163,3 +163,19 @@ def test_parts_go_together_by_name(spark, tmp_path):
     spark.range(1).selectExpr("id AS a").coalesce(1).write.parquet(parquet)
     spark.range(1).selectExpr("id + 1 AS a", "'z' AS b").coalesce(1).write.mode("append").parquet(parquet)
     assert sorted((r.a, r.b) for r in datasets.load_dataset(spark, parquet).collect()) == [(0, None), (1, "z")]
+
+
+def test_given_directory_is_profiled_whole(spark):
+    """Every table as large as given, and a table that is too large to broadcast."""
+    import os
+
+    from parity.operators.skew import BROADCAST_LIMIT_BYTES
+    from parity.plans import profile_queries
+
+    sf = "/root/testdata/sf0.1"
+    files_of = {n: os.path.getsize(f"{sf}/{n}") for n in os.listdir(sf) if n.endswith(".parquet")}
+    got = {r.path.rsplit("/", 1)[1]: r for r in profile_queries.given_broadcast_candidates(spark, sf).collect()}
+    assert {n: r.size_bytes for n, r in got.items()} == files_of
+    assert {n: r.broadcast_candidate for n, r in got.items()} == {n: 0 < b < BROADCAST_LIMIT_BYTES for n, b in files_of.items()}
+    assert got["lineitem.parquet"].row_count == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert {r.broadcast_candidate for r in got.values()} == {True, False}

@@ -34,3 +34,11 @@ def publish(uri: str, attempt: str, write) -> None:
     with system.open_output_stream(part) as stream:
         write(stream)
     system.move(part, path)
+
+
+def read_parquet(uri: str):
+    """A table of bounded size that Spark wrote, whole, inside a task."""
+    import pyarrow.dataset as ds
+
+    system, path = opened(uri)
+    return ds.dataset(path, filesystem=system, format="parquet").to_table()

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ from parity.llm import cuts
 from parity.llm.files import read_parquet, scratch_uri
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+#: A unit of one word.
+_WORD = re.compile(r"[ \n]\S+")
 #: Bytes of text aligned at a time, and bytes of found units a worker keeps.
-CHUNK, KEPT_BYTES = 1 << 21, 96 << 20
+CHUNK, KEPT_BYTES = 1 << 21, 144 << 20
 #: Bits of a pair code that hold B's id.
 B_BITS = 24
 #: Pairs that a task adds up before it hands them on.
@@ -70,6 +73,9 @@ class Aligner:
         ]
         self.fallback = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in xs]) for xs in (self.a_bytes, self.b_bytes))
+        ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+        #: Every id followed by each mark of the groups.
+        self.numbers = pa.array([f"{i}{mark}" for i in ids for mark in ",|;"], pa.large_string())
         self._forget()
 
     def _forget(self) -> None:
@@ -103,6 +109,13 @@ class Aligner:
         self.bytes += 300 + 2 * len(unit) + len(groups) + len(pairs)
 
     def _learn(self, new: list[str]) -> None:
+        """Align new units: those of one word all together, the others one by one."""
+        plain = [u for u in new if _WORD.fullmatch(u)]
+        if not self._learn_together(plain):
+            self._learn_each(plain)
+        self._learn_each([u for u in new if not _WORD.fullmatch(u)])
+
+    def _learn_each(self, new: list[str]) -> None:
         a_ids, a_ends, a_valid = self._tokens_a(new)
         b_ids, b_ends, b_valid = self._tokens_b(new)
         for k, unit in enumerate(new):
@@ -112,6 +125,60 @@ class Aligner:
             found, pairs = grouped(a_ids[k], a_ends[k], b_ids[k], b_ends[k])
             self._keep(unit, found, pairs.tobytes(), (len(a_ids[k]), len(b_ids[k]), found.count(b";") + 1, len(pairs), 1))
 
+    def _learn_together(self, new: list[str]) -> bool:
+        """One text of all units, cut again at their borders. False if its bytes are not those of the tokens."""
+        if not new:
+            return True
+        text = "".join(new)
+        data = text.encode()
+        places = None if len(data) == len(text) else char_places(data)
+        e = self.a.encode_batch([text], add_special_tokens=False)[0]
+        a = np.array(e.ids, np.int64)
+        spans = np.array(e.offsets, np.int64)
+        shared = np.append(spans[1:, 0] < spans[:-1, 1], False)
+        a_ends = refined_all(spans[:, 1] if places is None else places[spans[:, 1]], shared, self.a_lengths[a])
+        more = int(text[0] == " ")
+        proto = self.b.encode([text[more:]], return_type="proto", num_threads=1)[0]
+        pieces = proto.pieces if more else proto.pieces[1:]
+        b = np.array([p.id for p in pieces], np.int64)
+        b_ends = np.array([p.end for p in pieces], np.int64) + more
+        b_ends = refined_all(b_ends, self.fallback[b], self.b_lengths[b])
+        if b"".join([self.a_bytes[i] for i in e.ids]) != data or b"".join([self.b_bytes[i] for i in b.tolist()]) != data:
+            return False
+        cuts_at = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        lengths = [len(u) for u in new] if places is None else [len(u.encode()) for u in new]
+        borders = np.cumsum(lengths)
+        # tokens, groups and links up to each border
+        n_a, n_b, n_groups = (np.searchsorted(x, borders, "right") for x in (a_ends, b_ends, cuts_at))
+        a_starts, b_starts = a_ends - self.a_lengths[a], b_ends - self.b_lengths[b]
+        first, last = np.searchsorted(b_ends, a_starts, "right"), np.searchsorted(b_starts, a_ends, "left")
+        each = last - first
+        upto = np.cumsum(each)
+        partner = np.arange(int(upto[-1])) - np.repeat(upto - each - first, each)
+        codes = np.repeat(a, each) << B_BITS | b[partner]
+        n_links = upto[n_a - 1]
+        # the ids in the order of the text of the groups, each with the mark that follows it
+        a_group, b_group = np.searchsorted(cuts_at, a_ends), np.searchsorted(cuts_at, b_ends)
+        a_upto = np.searchsorted(a_group, np.arange(len(cuts_at)), "right")
+        b_upto = np.searchsorted(b_group, np.arange(len(cuts_at)), "right")
+        order = np.zeros(len(a) + len(b), np.int64)
+        b_before = np.concatenate([[0], b_upto[:-1]])
+        a_mark, b_mark = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_mark[a_upto - 1], b_mark[b_upto - 1] = 1, 2
+        order[np.arange(len(a)) + b_before[a_group]] = 3 * a + a_mark
+        order[np.arange(len(b)) + a_upto[b_group]] = 3 * b + b_mark
+        spelled = self.numbers.take(pa.array(order))
+        ends = np.frombuffer(spelled.buffers()[1], np.int64, len(order) + 1)[n_a + n_b]
+        written = spelled.buffers()[2].to_pybytes()[: int(ends[-1])]
+        figures = np.diff(np.stack([n_a, n_b, n_groups, n_links], axis=1), axis=0, prepend=0)
+        rows = np.concatenate([figures, np.ones((len(new), 1), np.int64)], axis=1)
+        text_at, code_at = 0, 0
+        raw = codes.tobytes()
+        for unit, end, link, row in zip(new, ends.tolist(), n_links.tolist(), rows, strict=True):
+            self._keep(unit, written[text_at : end - 1], raw[8 * code_at : 8 * link], row)
+            text_at, code_at = end, link
+        return True
+
     def _tokens_a(self, new: list[str]):
         """(ids, byte ends, whether the bytes are those of the unit) of each unit."""
         ids, ends, valid = [], [], []
@@ -119,7 +186,7 @@ class Aligner:
             own = e.ids
             coarse = [y for _, y in e.offsets]
             if not unit.isascii():
-                sizes = byte_places(unit)
+                sizes = char_places(unit.encode()).tolist()
                 starts = [x for x, _ in e.offsets]
                 shared = [k + 1 < len(own) and starts[k + 1] < coarse[k] for k in range(len(own))]
                 coarse = refined([sizes[y] for y in coarse], shared, [len(self.a_bytes[i]) for i in own])
@@ -163,13 +230,20 @@ def byte_letters() -> dict[str, bytes]:
     return {chr(b): bytes([b]) for b in plain} | {chr(0x100 + k): bytes([b]) for k, b in enumerate(others)}
 
 
-def byte_places(unit: str) -> list[int]:
-    """Byte offset of each character offset."""
-    out, n = [0], 0
-    for c in unit:
-        n += len(c.encode())
-        out.append(n)
-    return out
+def char_places(data: bytes) -> np.ndarray:
+    """Byte offset of each character offset of UTF-8 text."""
+    starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return np.append(starts, len(data))
+
+
+def refined_all(coarse: np.ndarray, shared: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``refined`` for arrays: the last cut before a shared character, and the decoded bytes since."""
+    if not shared.any():
+        return coarse
+    total = np.cumsum(lengths)
+    at = np.maximum.accumulate(np.where(shared, -1, np.arange(len(coarse))))
+    known = at >= 0
+    return np.where(known, coarse[at] + total - total[at], total)
 
 
 def refined(coarse: list[int], shared: list[bool], lengths: list[int]) -> list[int]:

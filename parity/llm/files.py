@@ -42,3 +42,13 @@ def read_parquet(uri: str):
 
     system, path = opened(uri)
     return ds.dataset(path, filesystem=system, format="parquet").to_table()
+
+
+def parquet_batches(uri: str, rows: int):
+    """A table that Spark wrote, at most so many rows at a time, inside a task."""
+    import pyarrow.dataset as ds
+
+    system, path = opened(uri)
+    for batch in ds.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=rows):
+        if batch.num_rows:
+            yield batch

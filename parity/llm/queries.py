@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity.llm import (
-    alignment, decontaminate, forest, language, mixture, private, quality, recompression, suffixes, template, tokens,
+    alignment, decontaminate, forest, language, lemp, mixture, private, quality, recompression, suffixes, template,
+    tokens,
 )
 from parity.llm.registry import query, table
 
@@ -151,3 +152,10 @@ def piece_model_path() -> str:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.aligned(docs, tokenizer_path(), piece_model_path())[0]
+
+
+@query("op11_hard_negatives")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return lemp.mined(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)

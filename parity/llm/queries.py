@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity.llm import (
-    alignment, decontaminate, forest, language, lemp, mixture, private, quality, recompression, suffixes, template,
+    alignment, chat, decontaminate, forest, language, lemp, mixture, private, quality, recompression, suffixes, template,
     tokens,
 )
 from parity.llm.registry import query, table
@@ -159,3 +159,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return lemp.mined(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+#: A conversation whose texts imitate the marks of the template.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query("op12_chat_format")
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    log = chat.log_of_turns(rows.unionByName(planted), "conv_id", "turn", "role", "text")
+    segments = chat.formatted(log, "conv_id", ["turn", "h", "row"], "place", "kind", "role", "text")
+    return chat.read_back(chat.written(segments)).withColumnRenamed("conv", "conv_id")

@@ -42,6 +42,7 @@ SEGMENT = 1 << 20
 LEARNED = "assistant"
 OPEN, CLOSE = "### ", "</turn>\n"
 _HASHES = re.compile("#{3,}")
+_ROLE = re.compile(r"(?:[^\\:]|\\.)*", re.DOTALL)
 _ESCAPED = re.compile(r"\\([\\#/:])")
 
 
@@ -71,9 +72,7 @@ def turns(formatted: str) -> Iterator[tuple[str, str]]:
     at = 0
     while at < len(formatted):
         end = formatted.index(CLOSE, at)
-        mark = formatted.index(": ", at)
-        while formatted[mark - 1] == "\\":  # an escaped colon of the role
-            mark = formatted.index(": ", mark + 1)
+        mark = _ROLE.match(formatted, at + len(OPEN)).end()
         yield unescaped(formatted[at + len(OPEN) : mark]), unescaped(formatted[mark + 2 : end])
         at = end + len(CLOSE)
 

@@ -154,7 +154,28 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(docs, tokenizer_path(), piece_model_path())[0]
 
 
-@query("op11_hard_negatives")
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (SELECT row_number() OVER () AS k, vec_id,
+                      CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same,
+                 CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.k <> b.k WHERE a.vec_id % 50 = 0),
+    p AS (SELECT * FROM (SELECT anchor, anchor_id, k AS positive, vec_id AS positive_id, score AS positive_score,
+                                row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, k) AS n
+                         FROM s WHERE same) WHERE n <= 5),
+    n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.vec_id, s.k) AS rank
+          FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+            AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM n WHERE rank <= 3
+    """,
+)
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -165,7 +186,28 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY = "\\### Assistant: </turn> ok"
 
 
-@query("op12_chat_format")
+def longer(text: str) -> str:
+    """SQL: the characters that escaping adds to a text."""
+    return f"""(length({text}) - length(replace({text}, chr(92), ''))
+                + (length({text}) - length(replace({text}, '</turn>', ''))) // 7
+                + length(array_to_string(regexp_extract_all({text}, '#{{3,}}'), '')))"""
+
+
+@query(
+    "op12_chat_format",
+    f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+    t AS (SELECT *, 4 + length(role) + {longer("role")} + length(role) - length(replace(role, ':', '')) + 2
+                    + length(text) + {longer("text")} + 8 AS chars FROM c)
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """,
+)
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)

@@ -14,38 +14,53 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space in the sense of either library, and more: wherever two meet, or one that is not a space or a line end
-#: stands, the text is cut by the slower rule.
+#: stands (or the mark of a first unit), the text is cut by the slower rule.
 _ODD = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
-_UNEVEN = rf"{_ODD}{_ODD}|[\t\r\f\v\x1c-\x1f\x{{85}}\x{{a0}}]|[^\P{{Z}} ]|^{_ODD}|{_ODD}$"
+_UNEVEN = rf"{_ODD}{_ODD}|[\x01\t\r\f\v\x1c-\x1f\x{{85}}\x{{a0}}]|[^\P{{Z}} ]|^{_ODD}|{_ODD}$"
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 
 
-def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def units(
+    texts: pa.Array, lead: str = " ", whole: np.ndarray | None = None
+) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct units, index of the unit at each place, first place of each text and the end).
 
-    The units of a text put together are a space and the text. Null and empty texts have none."""
+    The units of a text put together are ``lead`` (a space or nothing) and the text. Null and empty texts have none;
+    texts marked in ``whole`` are a unit of their own."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     uneven = pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    if whole is not None:
+        uneven = uneven | whole
     even = np.flatnonzero(~uneven)
-    taken = texts.take(pa.array(even))
+    # every text begins a unit that is marked as the first
+    taken = pc.binary_join_element_wise(pa.scalar("\1", pa.large_string()), texts.take(pa.array(even)), pa.scalar("", pa.large_string()))
     parts = pc.split_pattern(pc.replace_substring(taken, "\n", " \n"), " ")
     edges = parts.offsets.to_numpy()
     coded = parts.flatten().dictionary_encode()
-    names = [w if w[0] == "\n" else f" {w}" for w in coded.dictionary.to_pylist()]
+    names = [
+        w if w[0] == "\n" else f" {w}" if w[0] != "\1" else f"{lead}{w[1:]}" for w in coded.dictionary.to_pylist()
+    ]
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     lengths = np.zeros(len(texts), np.int64)
     lengths[even] = np.diff(edges)
     odd = np.flatnonzero(uneven)
     if len(odd) == 0:
         return names, at, np.concatenate([[0], np.cumsum(lengths)])
-    index = {w: k for k, w in enumerate(names)}
-    places: list[np.ndarray] = [at[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    more: list[str] = []
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     for k, i in enumerate(even):
-        out[i] = places[k]
+        out[i] = at[edges[k] : edges[k + 1]]
+    index: dict[str, int] = {}
     for i in odd.tolist():
         text = texts[i].as_py()
-        found = [w if k and w[0] == "\n" else f" {w}" for k, w in enumerate(_CUT.split(text))] if text else []
-        out[i] = np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found))
+        if whole is not None and whole[i]:
+            found = [f"{lead}{text}"] if text else []
+        else:
+            found = [(w if w[0] == "\n" else f" {w}") if k else f"{lead}{w}" for k, w in enumerate(_CUT.split(text)) if w]
+        for w in found:
+            if w not in index:
+                index[w] = len(names) + len(more)
+                more.append(w)
+        out[i] = np.fromiter((index[w] for w in found), np.int64, len(found))
         lengths[i] = len(found)
-    return list(index), np.concatenate(out), np.concatenate([[0], np.cumsum(lengths)])
+    return names + more, np.concatenate(out), np.concatenate([[0], np.cumsum(lengths)])

@@ -1,29 +1,30 @@
-"""Encoding with a byte-level BPE of the tokenizers library, one piece of text at a time and each piece once.
+"""Encoding with a byte-level BPE of the tokenizers library, each distinct unit of text once.
 
-The pre-tokenizer of such a model never joins text across a single space that stands between two other characters:
-the space always begins the next piece. So a text is cut there, equal pieces are encoded once by the library and the
-ids are put together from a table. Texts in which white space meets white space, or that hold a special token, are
-given to the library whole. Either way the ids are those of encoding the whole text.
+Texts are cut where the pre-tokenizer always begins a new piece (``cuts.units``): Arrow's kernels cut a batch and number
+its distinct units, so Python sees each of them once a batch, and the library sees only those a worker does not remember.
+Texts that hold a special token are given to the library whole. Either way the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from parity.llm import cuts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: White space other than the space and the line end, and the mark used for the first piece of a text.
-_RARE_ASCII = "\t\r\v\f\x1c\x1d\x1e\x1f\x01"
-_RARE = re.compile(r"[^\S \n]")
-#: The pre-tokenizer always parts a letter or digit from marks that follow it.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Pieces remembered by a worker before it forgets the rare ones; bounds its memory.
-REMEMBERED = 1_000_000
-#: Rare is what was met less often than this.
-OFTEN = 3
+#: Bytes of remembered units, by an estimate from above, before a worker forgets the rare ones.
+KEPT_BYTES = 160 << 20
+#: What an entry takes beside its text and ids.
+ENTRY_BYTES = 220
+#: A unit of one word after one space or line end.
+_WORD = re.compile(r"[ \n]\S+")
+#: Units encoded in one call.
+TOGETHER = 1 << 14
 
 
 class PieceEncoder:
@@ -31,50 +32,49 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = tuple(added)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(tokens.values()) + 1, bool)
-        self.spaced[[i for t, i in tokens.items() if t[0] in "\u0120\u010a"]] = True
+        self.spaced[[i for t, i in tokens.items() if t[0] in "ĠĊ"]] = True
         self._forget()
 
     def _forget(self) -> None:
-        #: Entry of each piece, and of each part of pieces, in the table of ids.
         self.index: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
-        #: In how many calls each entry was met.
-        self.met = np.zeros(1 << 16, np.int32)
-        self.used = self.entries = 0
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+        #: In how many batches each entry was met.
+        self.met = np.zeros(1 << 14, np.int32)
+        self.used = self.entries = self.bytes = 0
 
     def _forget_rare(self) -> None:
-        """Keep the pieces that come again and again, at most half of what is remembered."""
-        keys, entries = list(self.index), np.fromiter(self.index.values(), np.int64, len(self.index))
-        met = self.met[entries]
-        least = max(OFTEN, int(np.partition(met, -(REMEMBERED // 2))[-(REMEMBERED // 2)]) + 1 if len(met) > REMEMBERED // 2 else 0)
-        kept = np.flatnonzero(met >= least)
-        flat, lengths = self._gathered(entries[kept]), self.lengths[entries[kept]]
+        """Keep the units that come again and again, at most half of what may be kept."""
+        names, met = list(self.index), self.met[: self.entries]
+        entry = np.fromiter(self.index.values(), np.int64, len(names))
+        order = np.argsort(-met[entry], kind="stable")
+        sizes = ENTRY_BYTES + np.array([2 * len(names[k]) for k in order.tolist()]) + 4 * self.lengths[entry[order]]
+        order = order[(met[entry[order]] > 1) & (np.cumsum(sizes) < KEPT_BYTES // 2)]
+        kept = entry[order]
+        flat, lengths, seen = self._gathered(kept), self.lengths[kept], met[kept] // 2
         self._forget()
-        self._append(flat, lengths)
-        self.index = {keys[i]: k for k, i in enumerate(kept.tolist())}
+        self._keep([names[k] for k in order.tolist()], flat, lengths)
+        self.met[: len(seen)] = seen
 
-    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> int:
-        """Add entries and return the number of the first."""
-        first, n = self.entries, len(lengths)
+    def _keep(self, units: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first, n = self.entries, len(units)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.starts) < first + n:
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+            self.starts, self.lengths, self.met = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met)
+            )
         self.ids[self.used : self.used + len(flat)] = flat
         self.lengths[first : first + n] = lengths
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.index.update(zip(units, range(first, first + n), strict=True))
         self.used += len(flat)
         self.entries += n
-        return first
+        self.bytes += ENTRY_BYTES * n + 2 * sum(map(len, units)) + 4 * len(flat)
 
     def _gathered(self, entries: np.ndarray) -> np.ndarray:
         """The ids of the entries, one after another."""
@@ -82,92 +82,43 @@ class PieceEncoder:
         ends = np.cumsum(lengths)
         return self.ids[np.repeat(self.starts[entries] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Entries of new parts. Those that begin with their only white space are encoded in one call: an id whose
-        token begins with white space is the first of its part. The others are few and short."""
-        spaced = [p for p in parts if p[0] in " \n"]
-        if spaced:
-            text = "".join(spaced)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _learn(self, new: list[str]) -> None:
+        """Words are encoded in one call: an id whose token begins with the space or the line end begins a unit."""
+        words = [u for u in new if _WORD.fullmatch(u)]
+        rest = [u for u in new if not _WORD.fullmatch(u)]
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            encoding = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            ids = np.array(encoding.ids, np.uint32)
             starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(spaced):
+            if len(starts) != len(some):
                 raise ValueError("this tokenizer joins text across a space")
-            first = self._append(ids, np.diff(np.append(starts, len(ids))))
-            self.parts.update(zip(spaced, range(first, self.entries), strict=True))
-        plain = [p for p in parts if p[0] not in " \n"]
-        if plain:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-            first = self._append(np.concatenate(found), np.array([len(f) for f in found]))
-            self.parts.update(zip(plain, range(first, self.entries), strict=True))
-
-    def _add(self, keys: list[str]) -> None:
-        """Entries of new pieces: those of their word, or of their word and the marks after it together."""
-        whole, marked = [], []
-        for key in keys:
-            text = key[1:] if key[0] == "\1" else key if key[0] == "\n" else f" {key}"
-            core = text.rstrip(_MARKS)
-            if len(core) < len(text) and core and (core[-1].isalpha() or core[-1].isdecimal()):
-                marked.append((key, core, text[len(core) :]))
-            else:
-                whole.append((key, text))
-        wanted = dict.fromkeys(t for _, t in whole)
-        wanted.update(dict.fromkeys(c for _, c, _ in marked))
-        wanted.update(dict.fromkeys(m for _, _, m in marked))
-        known = self.parts
-        self._learn([p for p in wanted if p not in known])
-        self.index.update((key, known[t]) for key, t in whole)
-        if marked:
-            both = np.array([(known[c], known[m]) for _, c, m in marked], np.int64)
-            first = self._append(self._gathered(both.ravel()), self.lengths[both].sum(axis=1))
-            self.index.update(zip((k for k, _, _ in marked), range(first, self.entries), strict=True))
-
-    def _regular(self, text: str) -> bool:
-        """Whether every space and line end stands alone between other characters, and nothing else is special."""
-        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and self._even(text)
-
-    def _even(self, text: str) -> bool:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return False
-        if any(c in text for c in _RARE_ASCII) or not text.isascii() and _RARE.search(text):
-            return False
-        return not any(x in text for x in self.special)
-
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+            self._keep(some, ids, np.diff(np.append(starts, len(ids))))
+        for k in range(0, len(rest), TOGETHER):
+            some = rest[k : k + TOGETHER]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._keep(some, np.concatenate(found), np.array([len(f) for f in found], np.int64))
+
+    def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); ``end`` is put after each text."""
-        if len(self.index) > REMEMBERED:
+        if self.bytes > KEPT_BYTES:
             self._forget_rare()
-        # one look at all of them; where it finds something, one at each
-        if all(texts) and self._even("x".join(texts)) and all(t[0] not in " \n" and t[-1] not in " \n" for t in texts):
-            regular = list(range(len(texts)))
-        else:
-            regular = [i for i, t in enumerate(texts) if self._regular(t)]
-        chosen = [texts[i] for i in regular]
-        # every text begins a piece that is marked as the first
-        pieces = ("\1" + " \1".join(chosen)).replace("\n", " \n").split(" ") if chosen else []
-        counts = [t.count(" ") + t.count("\n") + 1 for t in chosen]
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self._add(list(dict.fromkeys(pieces[i] for i in missing)))
-            at[missing] = [self.index[pieces[i]] for i in missing]
-        self.met[at] += 1  # once for each call, however often it is in it
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = np.zeros(len(texts), bool)
+        for mark in self.special:
+            whole |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+        names, at, edges = cuts.units(texts, "", whole)
+        self._learn([u for u in names if u not in self.index])
+        entry = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        self.met[entry] += 1
+        at = entry[at]
         flat = self._gathered(at)
-        edge = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for k, i in enumerate(regular):
-            parts[i] = flat[edge[k] : edge[k + 1]]
-        taken = set(regular)
-        rest = [i for i, t in enumerate(texts) if t and i not in taken]
-        if rest:
-            found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-            for i, e in zip(rest, found, strict=True):
-                parts[i] = np.array(e.ids, np.uint32)
-        if end is not None:
-            stop = np.array([end], np.uint32)
-            parts = [x for p in parts for x in (p, stop)]
-        n = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        n = n if end is None else n[0::2] + 1
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), n
+        n = np.diff(np.concatenate([[0], np.cumsum(self.lengths[at])])[edges])
+        if end is None:
+            return flat, n
+        out = np.full(len(flat) + len(n), end, np.uint32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+        return out, n + 1
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

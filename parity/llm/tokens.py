@@ -4,20 +4,22 @@ Documents are range-partitioned by id, so shards follow each other in ascending
 batch by batch into a raw payload file (little-endian ids, two bytes each where the vocabulary allows it, else four)
 and then writes the index of the shard:
 
-    magic, version, id width, rows, keys, buckets            header
+    magic, version, id width, rows, distinct keys, buckets, rows without a key (they come first)
     keys (int64), offsets and lengths in ids (int64)          one entry for each document, in payload order
     displacements (int32)                                     minimal perfect hash of the distinct keys
     fingerprints (uint32), first row and row count (int32)    one entry for each slot
 
 A key is hashed to a bucket, the bucket's displacement gives its slot and the stored fingerprint rejects keys that
 are not there, so reading a document takes one probe and one seek. Repeated ids stand side by side and share a slot.
+Reading all documents probes the same index for every key, so what comes back is what a keyed reader would get.
 
 Files are written under a name of the attempt and then moved in place, so a repeated task leaves the same bytes. What
 the tasks report (one row a shard) is checkpointed: shards are written once however often the report is read.
 
 Defined results: null and empty texts are the end id alone; rows with a null id come first and cannot be looked up;
 repeated ids keep all their rows, ordered by the hash of the text. An empty table gives no shard. Extra columns are
-left out.
+left out. Ids are integers of any size up to 64 bits; ids of other types are refused. A text must fit in a worker's
+memory; texts are encoded about CHUNK bytes at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +39,10 @@ from pyspark.sql.window import Window
 from parity.llm.files import opened, publish, scratch_uri
 from parity.llm.pieces import encoder
 
-MAGIC, VERSION = b"TIDX", 1
-HEADER = struct.Struct("<4sIIqqq")
-#: Characters encoded at a time, and bytes of a payload read at a time.
+MAGIC, VERSION = b"TIDX", 2
+HEADER = struct.Struct("<4sIIqqqq")
+#: Bytes of text encoded at a time, and bytes of a payload read at a time.
 CHUNK, READ = 1 << 22, 1 << 24
-NO_KEY = np.iinfo(np.int64).min
 KEYS_PER_BUCKET = 4
 
 SHARDS = "shard int, uri string, rows bigint, n_ids bigint, first_id bigint, last_id bigint"
@@ -90,17 +92,21 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slot(keys: np.ndarray, move: int, n: int) -> np.ndarray:
-    return (mixed(keys ^ np.int64(move * 0x5DEECE66D), 3) % np.uint64(n)).astype(np.int64)
+    return _slots(keys, np.full(len(keys), move, np.int64), n)
 
 
-def index_bytes(keys: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
+def _slots(keys: np.ndarray, moves: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(keys ^ (moves * np.int64(0x5DEECE66D)), 3) % np.uint64(n)).astype(np.int64)
+
+
+def index_bytes(keys: np.ndarray, lengths: np.ndarray, width: int, unnamed: int) -> bytes:
+    """The index of documents in payload order; the first ``unnamed`` have no key."""
     offsets = np.cumsum(lengths) - lengths
-    named = np.flatnonzero(keys != NO_KEY)
-    distinct, first, count = np.unique(keys[named], return_index=True, return_counts=True)
+    distinct, first, count = np.unique(keys[unnamed:], return_index=True, return_counts=True)
     moves, slots = perfect_hash(distinct)
     prints, row, rows = (np.zeros(len(distinct), t) for t in (np.uint32, np.int32, np.int32))
-    prints[slots], row[slots], rows[slots] = fingerprints(distinct), named[first] if len(named) else first, count
-    head = HEADER.pack(MAGIC, VERSION, width, len(keys), len(distinct), len(moves))
+    prints[slots], row[slots], rows[slots] = fingerprints(distinct), first + unnamed, count
+    head = HEADER.pack(MAGIC, VERSION, width, len(keys), len(distinct), len(moves), unnamed)
     return head + b"".join(
         x.tobytes()
         for x in (keys.astype("<i8"), offsets.astype("<i8"), lengths.astype("<i8"), moves.astype("<i4"),
@@ -115,7 +121,7 @@ class Shard:
         system, path = opened(uri)
         with system.open_input_file(f"{path}.idx") as f:
             data = f.read()
-        magic, version, self.width, rows, keys, buckets = HEADER.unpack_from(data)
+        magic, version, self.width, rows, keys, buckets, self.unnamed = HEADER.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"{uri} is no index of token ids")
         at = HEADER.size
@@ -131,52 +137,60 @@ class Shard:
         self.payload.seek(start * self.width)
         return np.frombuffer(self.payload.read(n * self.width), self.kind).astype("<u4")
 
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, number of rows) of each key; no rows where the key is not there."""
+        n = len(self.prints)
+        if n == 0 or len(keys) == 0:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        move = self.moves[(mixed(keys, 0) % np.uint64(len(self.moves))).astype(np.int64)].astype(np.int64)
+        at = np.where(move < 0, -1 - move, _slots(keys, move, n))
+        row = self.row[at].astype(np.int64)
+        there = (self.prints[at] == fingerprints(keys)) & (self.keys[row] == keys)
+        return row, np.where(there, self.rows[at], 0)
+
     def find(self, key: int) -> tuple[int, int] | None:
         """(offset, length) in ids of all rows with this key."""
-        n = len(self.prints)
-        if n == 0:
-            return None
-        own = np.array([key], np.int64)
-        move = int(self.moves[int(mixed(own, 0)[0] % np.uint64(len(self.moves)))])
-        at = -1 - move if move < 0 else int(_slot(own, move, n)[0])
-        if self.prints[at] != fingerprints(own)[0]:
-            return None
-        row, rows = int(self.row[at]), int(self.rows[at])
-        if self.keys[row] != key:
-            return None
-        return int(self.offsets[row]), int(self.lengths[row : row + rows].sum())
+        (row,), (rows,) = self.probe(np.array([key], np.int64))
+        return (int(self.offsets[row]), int(self.lengths[row : row + rows].sum())) if rows else None
 
     def get(self, key: int) -> np.ndarray | None:
         found = self.find(key)
         return None if found is None else self.ids(*found)
 
+    def rows_by_key(self) -> np.ndarray:
+        """The row of every document as the index gives it for the document's key, in payload order."""
+        keys = np.unique(self.keys[self.unnamed :])
+        row, rows = self.probe(keys)
+        named = np.repeat(row - (np.cumsum(rows) - rows), rows) + np.arange(int(rows.sum()))
+        if len(named) + self.unnamed != len(self.keys):
+            raise ValueError("the index does not find all of its keys")
+        return np.concatenate([np.arange(self.unnamed), named])
+
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(row, offset, ids) of every row, reading the payload in bounded pieces (a row at least)."""
-        ends = self.offsets + self.lengths
-        row = 0
-        while row < len(self.keys):
-            last = max(row + 1, int(np.searchsorted(ends, self.offsets[row] + READ // self.width, "right")))
-            base = int(self.offsets[row])
+        """(row, offset, ids) of every document, found by its key; the payload is read in bounded pieces."""
+        found = self.rows_by_key()
+        starts, lengths = self.offsets[found], self.lengths[found]
+        ends = starts + lengths
+        k = 0
+        while k < len(found):
+            last = max(k + 1, int(np.searchsorted(ends, starts[k] + READ // self.width, "right")))
+            base = int(starts[k])
             ids = self.ids(base, int(ends[last - 1]) - base)
-            for k in range(row, last):
-                a = int(self.offsets[k]) - base
-                yield k, int(self.offsets[k]), ids[a : a + int(self.lengths[k])]
-            row = last
+            for i in range(k, last):
+                a = int(starts[i]) - base
+                yield int(found[i]), int(starts[i]), ids[a : a + int(lengths[i])]
+            k = last
 
     def close(self) -> None:
         self.payload.close()
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    out, size = [], 0
-    for text in texts:
-        out.append(text)
-        size += len(text)
-        if size >= CHUNK:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about CHUNK bytes of text each, one row at least."""
+    run = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK
+    first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]]) if len(run) else np.zeros(1, int)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
 
 
 def write_shards(
@@ -193,6 +207,9 @@ def write_shards(
     file that every executor can read, ``width`` the bytes of an id."""
     if width not in (2, 4):
         raise ValueError("an id takes 2 or 4 bytes")
+    kind_of_id = docs.schema[doc_id].dataType.simpleString()
+    if kind_of_id not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids of type {kind_of_id}: an index holds integer ids")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // shard_bytes))
@@ -202,35 +219,39 @@ def write_shards(
     dealt = dealt.sortWithinPartitions("id", "h", "k").select("id", "text")
     kind = "<u2" if width == 2 else "<u4"
 
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         uri = f"{folder}/shard-{task.partitionId():08d}"
         attempt = f"part-{task.taskAttemptId()}"
-        keys: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
+        keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
+        unnamed = 0
 
         def payload(stream) -> None:
+            nonlocal unnamed
             model = encoder(tokenizer)
             for batch in batches:
-                keys.append(batch["id"].fillna(NO_KEY).to_numpy(np.int64))
-                for texts in _chunks(list(batch["text"])):
-                    ids, n = model.encode(texts, end)
+                # an id stays an integer: a null one is counted, not marked by a value
+                unnamed += batch.column("id").null_count
+                keys.append(pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False))
+                for some in _chunks(batch):
+                    ids, n = model.encode(some.column("text"), end)
                     if len(ids) and int(ids.max()) >> (8 * width):
                         raise ValueError(f"an id does not fit in {width} bytes")
                     stream.write(ids.astype(kind).tobytes())
                     lengths.append(n)
 
         publish(f"{uri}.ids", attempt, payload)
-        k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        n = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        publish(f"{uri}.idx", attempt, lambda stream: stream.write(index_bytes(k, n, width)))
-        named = k[k != NO_KEY]
-        yield pd.DataFrame({
-            "shard": [task.partitionId()], "uri": [uri], "rows": [len(k)], "n_ids": [int(n.sum())],
-            "first_id": [int(named[0]) if len(named) else None], "last_id": [int(named[-1]) if len(named) else None],
-        })
+        k, n = np.concatenate(keys), np.concatenate(lengths)
+        publish(f"{uri}.idx", attempt, lambda stream: stream.write(index_bytes(k, n, width, unnamed)))
+        named = k[unnamed:].tolist()
+        first, last = (named[0], named[-1]) if named else (None, None)
+        values = (task.partitionId(), uri, len(k), int(n.sum()), first, last)
+        kinds = (pa.int32(), pa.string(), *[pa.int64()] * 4)
+        names = ["shard", "uri", "rows", "n_ids", "first_id", "last_id"]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
-    return dealt.mapInPandas(written, SHARDS).checkpoint()
+    return dealt.mapInArrow(written, SHARDS).checkpoint()
 
 
 def placed(shards: DataFrame) -> DataFrame:
@@ -242,24 +263,23 @@ def placed(shards: DataFrame) -> DataFrame:
 def read_documents(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Every document from the files: id, start (ids before it in all), n_tokens, ids_crc32."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, before in zip(batch["uri"], batch["before"], strict=True):
+            for uri, before in zip(*(batch.column(c).to_pylist() for c in ("uri", "before")), strict=True):
                 shard = Shard(uri)
-                out = [
-                    (shard.keys[k], before + at, len(ids), zlib.crc32(ids.tobytes()))
-                    for k, at, ids in shard.documents()
-                ]
+                found = [(k, before + at, len(ids), zlib.crc32(ids.tobytes())) for k, at, ids in shard.documents()]
                 shard.close()
-                frame = pd.DataFrame(out, columns=[doc_id, "start", "n_tokens", "ids_crc32"])
-                keys = pd.array(frame[doc_id].to_numpy(np.int64), dtype="Int64")
-                keys[frame[doc_id].to_numpy(np.int64) == NO_KEY] = pd.NA
-                frame[doc_id] = keys
-                yield frame
+                if not found:
+                    continue
+                row, start, n, crc = (np.array(c, np.int64) for c in zip(*found, strict=True))
+                keys = pa.array(shard.keys[row], mask=row < shard.unnamed)
+                yield pa.RecordBatch.from_arrays(
+                    [keys, *map(pa.array, (start, n, crc))], names=[doc_id, "start", "n_tokens", "ids_crc32"]
+                )
 
     full = placed(shards.where("rows > 0")).select("uri", "before")
     n = shards.sparkSession.sparkContext.defaultParallelism
-    return full.repartition(n).mapInPandas(
+    return full.repartition(n).mapInArrow(
         read, f"`{doc_id}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
@@ -270,22 +290,25 @@ def lookup(shards: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
         shards.where("rows > 0").alias("s"), F.col(f"w.{key}").between(F.col("s.first_id"), F.col("s.last_id"))
     )
 
-    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shard = None, None
         for batch in batches:
-            out = []
-            for uri, k in zip(batch["uri"], batch[key], strict=True):
+            keys, lists = [], []
+            for uri, k in zip(*(batch.column(c).to_pylist() for c in ("uri", key)), strict=True):
                 if uri != last:
                     if shard is not None:
                         shard.close()
                     last, shard = uri, Shard(uri)
-                ids = shard.get(int(k))
+                ids = shard.get(k)
                 if ids is not None:
-                    out.append((k, ids.astype(np.int64).tolist()))
-            yield pd.DataFrame(out, columns=[key, "ids"])
+                    keys.append(k)
+                    lists.append(ids.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=[key, "ids"]
+            )
 
     asked = near.select("uri", f"w.{key}").repartition("uri").sortWithinPartitions("uri")
-    return asked.mapInPandas(fetched, f"`{key}` bigint, ids array<bigint>")
+    return asked.mapInArrow(fetched, f"`{key}` bigint, ids array<bigint>")
 
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parity.llm import mixture, pieces, tokens
-from parity.llm.files import scratch_uri
+from parity.llm.files import publish, scratch_uri
 from parity.llm.registry import prepared
 
 SF = "/root/testdata/sf0.001"
@@ -39,7 +39,7 @@ def test_pieces_give_the_ids_of_whole_texts(spark, tokenizer):
 
 def test_rare_pieces_are_forgotten_and_learned_again(spark, tokenizer, monkeypatch):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] * 2
-    monkeypatch.setattr(pieces, "REMEMBERED", 500)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 500 * 250)
     model = pieces.PieceEncoder(PATH)
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     for k in range(0, len(texts), 7):
@@ -82,6 +82,31 @@ def test_four_byte_ids_and_empty_tables(spark):
         tokens.encoded(docs, PATH, width=3)
 
 
+def test_large_ids_beside_null_ones_stay_what_they_are(spark):
+    ids = [2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63), -(2**63) + 1, 0, None, None]
+    docs = data.frame(spark, [(i, f"text of {k}") for k, i in enumerate(ids)]).coalesce(1)
+    found = [r.doc_id for r in tokens.encoded(docs, PATH).orderBy("start").collect()]
+    assert found == [None, None, *sorted(i for i in ids if i is not None)]
+    with pytest.raises(ValueError):
+        tokens.encoded(docs.withColumn("doc_id", F.col("doc_id").cast("string")), PATH)
+
+
+def test_a_broken_index_is_not_read(spark):
+    keys, lengths = np.arange(50, dtype=np.int64), np.ones(50, np.int64)
+    good = tokens.index_bytes(keys, lengths, 2, 0)
+    at = tokens.HEADER.size + 3 * 8 * 50
+    for data_bytes, broken in ((good, False), (good[:at] + b"\1\0\0\0" * 13 + good[at + 52 :], True)):
+        uri = scratch_uri(spark, "index")
+        for name, content in (("idx", data_bytes), ("ids", b"\0" * 100)):
+            publish(f"{uri}.{name}", "part", lambda stream, content=content: stream.write(content))
+        shard = tokens.Shard(uri)
+        if broken:
+            with pytest.raises(ValueError):
+                list(shard.documents())
+        else:
+            assert len(list(shard.documents())) == 50
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 3000])
 def test_perfect_hash_is_minimal(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))

@@ -214,7 +214,8 @@ class Aligner:
     def entries(self, names: list[str]) -> np.ndarray:
         if self.bytes > KEPT_BYTES:
             self._forget_rare()
-        new = [u for u in names if u not in self.index]
+        # the first piece of a text and a later one can be the same unit
+        new = list(dict.fromkeys(u for u in names if u not in self.index))
         for i in range(0, len(new), 1 << 14):
             self._learn(new[i : i + (1 << 14)])
         at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))

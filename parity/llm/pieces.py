@@ -1,14 +1,15 @@
-"""Encoding with a byte-level BPE of the tokenizers library, each distinct unit of text once.
+"""Encoding with a byte-level BPE of the tokenizers library, each distinct piece of text once.
 
-Texts are cut where the pre-tokenizer always begins a new piece (``cuts.units``): Arrow's kernels cut a batch and number
-its distinct units, so Python sees each of them once a batch, and the library sees only those a worker does not remember.
+Texts are cut where the pre-tokenizer always begins a new piece (``cuts.pieces``): Arrow's kernels cut a batch and
+number its distinct pieces, so Python sees each of them once a batch, and the library only those that a worker does not
+remember.
 Texts that hold a special token are given to the library whole. Either way the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,11 @@ import pyarrow.compute as pc
 from parity.llm import cuts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Bytes of remembered units, by an estimate from above, before a worker forgets the rare ones.
-KEPT_BYTES = 160 << 20
+#: Bytes of remembered pieces, by an estimate from above, before a worker forgets the rare ones.
+KEPT_BYTES = 256 << 20
 #: What an entry takes beside its text and ids.
 ENTRY_BYTES = 220
-#: A unit of one word after one space or line end.
-_WORD = re.compile(r"[ \n]\S+")
-#: Units encoded in one call.
+#: Pieces encoded in one call.
 TOGETHER = 1 << 14
 
 
@@ -48,7 +47,7 @@ class PieceEncoder:
         self.used = self.entries = self.bytes = 0
 
     def _forget_rare(self) -> None:
-        """Keep the units that come again and again, at most half of what may be kept."""
+        """Keep the pieces that come again and again, at most half of what may be kept."""
         names, met = list(self.index), self.met[: self.entries]
         entry = np.fromiter(self.index.values(), np.int64, len(names))
         order = np.argsort(-met[entry], kind="stable")
@@ -82,13 +81,13 @@ class PieceEncoder:
         ends = np.cumsum(lengths)
         return self.ids[np.repeat(self.starts[entries] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
 
-    def _learn(self, new: list[str]) -> None:
-        """Words are encoded in one call: an id whose token begins with the space or the line end begins a unit."""
-        words = [u for u in new if _WORD.fullmatch(u)]
-        rest = [u for u in new if not _WORD.fullmatch(u)]
+    def _learn(self, words: list[str], rest: list[str]) -> None:
+        """Words are encoded in one call: an id whose token begins with the space or the line end begins a piece."""
         for k in range(0, len(words), TOGETHER):
             some = words[k : k + TOGETHER]
-            encoding = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            # a word alone follows a space, one with a line end follows nothing
+            text = f" {' '.join(some)}".replace(" \n", "\n")
+            encoding = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
             ids = np.array(encoding.ids, np.uint32)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) != len(some):
@@ -96,7 +95,8 @@ class PieceEncoder:
             self._keep(some, ids, np.diff(np.append(starts, len(ids))))
         for k in range(0, len(rest), TOGETHER):
             some = rest[k : k + TOGETHER]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            texts = [cuts.text_of(p) for p in some]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             self._keep(some, np.concatenate(found), np.array([len(f) for f in found], np.int64))
 
     def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +107,29 @@ class PieceEncoder:
         whole = np.zeros(len(texts), bool)
         for mark in self.special:
             whole |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
-        names, at, edges = cuts.units(texts, "", whole)
-        self._learn([u for u in names if u not in self.index])
-        entry = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        names, n_even, at, edges = cuts.pieces(texts, whole)
+        entry = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            words, rest = [], []
+            for k in new.tolist():
+                (words if k < n_even and names[k][0] != cuts.FIRST else rest).append(names[k])
+            first = self.entries
+            self._learn(words, rest)
+            is_word = np.array([k < n_even and names[k][0] != cuts.FIRST for k in new.tolist()])
+            entry[new[is_word]] = first + np.arange(len(words))
+            entry[new[~is_word]] = first + len(words) + np.arange(len(rest))
         self.met[entry] += 1
-        at = entry[at]
-        flat = self._gathered(at)
-        n = np.diff(np.concatenate([[0], np.cumsum(self.lengths[at])])[edges])
-        if end is None:
-            return flat, n
-        out = np.full(len(flat) + len(n), end, np.uint32)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
-        return out, n + 1
+        # the ids of each distinct piece, and of the end, as a list; Arrow copies the list of every place
+        lists, sizes = self._gathered(entry), self.lengths[entry]
+        if end is not None:
+            lists, sizes = np.append(lists, np.uint32(end)), np.append(sizes, 1)
+            at = pa.array(np.insert(at.to_numpy(zero_copy_only=False), edges[1:], len(names)))
+            edges = edges + np.arange(len(edges))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        taken = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(lists.astype(np.uint32))).take(at)
+        upto = taken.offsets.to_numpy()
+        return taken.values.to_numpy()[upto[0] : upto[-1]], np.diff(upto[edges])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -42,7 +42,7 @@ from parity.llm.pieces import encoder
 MAGIC, VERSION = b"TIDX", 2
 HEADER = struct.Struct("<4sIIqqqq")
 #: Bytes of text encoded at a time, and bytes of a payload read at a time.
-CHUNK, READ = 1 << 22, 1 << 24
+CHUNK, READ = 1 << 23, 1 << 24
 KEYS_PER_BUCKET = 4
 
 SHARDS = "shard int, uri string, rows bigint, n_ids bigint, first_id bigint, last_id bigint"

@@ -76,12 +76,7 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for b in np.argsort(-sizes, kind="stable"):
         members = order[first[b] : first[b] + sizes[b]]
         if sizes[b] > 1:
-            own, move = keys[members], 1
-            while True:
-                at = _slot(own, move, n)
-                if not taken[at].any() and len(set(at.tolist())) == len(at):
-                    break
-                move += 1
+            move, at = _first_fit(keys[members], taken)
             moves[b], slots[members] = move, at
             taken[at] = True
         elif sizes[b] == 1:
@@ -91,8 +86,16 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return moves, slots
 
 
-def _slot(keys: np.ndarray, move: int, n: int) -> np.ndarray:
-    return _slots(keys, np.full(len(keys), move, np.int64), n)
+def _first_fit(keys: np.ndarray, taken: np.ndarray) -> tuple[int, np.ndarray]:
+    """The least displacement that puts the keys on free slots of their own; candidates are tried in growing blocks."""
+    first, block = 1, 16
+    while True:
+        at = np.sort(_slots(keys[None, :], np.arange(first, first + block)[:, None], len(taken)), axis=1)
+        fits = np.flatnonzero(~taken[at].any(axis=1) & (at[:, 1:] != at[:, :-1]).all(axis=1))
+        if len(fits):
+            move = first + int(fits[0])
+            return move, _slots(keys, np.full(len(keys), move, np.int64), len(taken))
+        first, block = first + block, min(2 * block, 4096)
 
 
 def _slots(keys: np.ndarray, moves: np.ndarray, n: int) -> np.ndarray:

@@ -95,12 +95,17 @@ def nodes_of(docs: DataFrame, shingle: int, trees: int, depth: int) -> DataFrame
                         prefixes[i] = key[k].view(np.int64)
                         sketch[i] = low[k].tobytes()
                 yield pd.DataFrame({
-                    "id": rows["id"].to_numpy(), "key": rows["key"].to_numpy(), "node": node,
+                    "id": rows["id"].to_numpy(), "none": rows["none"].to_numpy(), "key": rows["key"].to_numpy(), "node": node,
                     "n": [len(s) for s in sets], "prefixes": prefixes, "sketch": sketch,
                 })
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, key bigint, node binary, n int, prefixes array<bigint>, sketch binary"
-    return docs.mapInPandas(scan, schema)
+    # an id beside a null one would become a double on its way through pandas: nulls travel as a flag
+    kind = docs.schema["id"].dataType.simpleString()
+    given = docs.select(
+        F.coalesce("id", F.lit("0").cast(kind)).alias("id"), F.col("id").isNull().alias("none"), "key", "text"
+    )
+    schema = f"id {kind}, none boolean, key bigint, node binary, n int, prefixes array<bigint>, sketch binary"
+    return given.mapInPandas(scan, schema).withColumn("id", F.when(~F.col("none"), F.col("id"))).drop("none")
 
 
 def in_block_pairs(rows: DataFrame, group: str, size: str, node: str = "node") -> DataFrame:

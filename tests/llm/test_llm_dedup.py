@@ -6,6 +6,7 @@ import random
 import llm_data as data
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parity.llm import components, forest, recompression, suffixes, words
 
@@ -152,3 +153,14 @@ def test_word_hashes_depend_on_the_words_alone():
     h = words.word_hashes(buffer, starts, ends)
     assert first.tolist() == [0, 2, 4, 4, 6]
     assert h[0] == h[3] and h[1] == h[2] == h[5] and len(set(h.tolist())) == 3
+
+
+def test_large_ids_beside_null_ones_lose_no_document(spark):
+    ids = [2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63), None, 7]
+    texts = [data.prose(random.Random(k), 40) for k in range(len(ids))]
+    rows = [*zip(ids, texts, strict=True), (2**53 + 5, texts[0])]
+    docs = data.frame(spark, rows).coalesce(1)
+    assert data.counted((r.id,) for r in forest.classes(docs).select("id").collect()) == data.counted((i,) for i, _ in rows)
+    assert data.counted((r.doc_id,) for r in forest.one_of_each(docs).collect()) == data.counted((i,) for i in ids)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert forest.one_of_each(named).count() == len(ids)

@@ -204,7 +204,7 @@ def distinct_differences(ref: DataFrame, cand: DataFrame, columns: Sequence[str]
     counts = a.join(b, "column", "full").fillna(0, ["a", "b"])
     return _rows(
         counts.filter("a != b"), "column_statistics", F.col("column"), F.lit(None), F.col("a"), F.col("b"),
-        F.lit("distinct value counts differ"),
+        F.concat_ws(" ", F.lit("distinct values:"), F.col("a"), F.lit("against"), F.col("b")),
     )
 
 
@@ -337,7 +337,7 @@ def keyed_differences(cells: DataFrame, n: int = MAX_SAMPLES) -> DataFrame:
     detail = (
         F.when(F.col("kind") == "left_only", F.format_string("one of %d reference records without a partner", "mismatches"))
         .when(F.col("kind") == "right_only", F.format_string("one of %d candidate records without a partner", "mismatches"))
-        .otherwise(F.format_string("key %s, one of %d cells of the column", "key", "mismatches"))
+        .otherwise(F.format_string("key %s, the column differs in %d rows", "key", "mismatches"))
     )
     return _cell_rows(capped, detail)
 
@@ -360,7 +360,7 @@ def sorted_differences(cells: DataFrame, strategy: str, n: int | None = MAX_SAMP
     few = cells if n is None else samples(cells, ["column"], ["pos"], n)
     last = F.col("n") if n is None else F.least(F.col("n"), F.lit(n))
     spread = few.withColumn("pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + last - 1)))
-    detail = F.format_string(f"{strategy}, place %d in the order of both", "pos")
+    detail = F.format_string(f"{strategy}, position %d of both sorted sides", "pos")
     return _rows(
         spread if n is None else samples(spread, ["column"], ["pos"], n),
         "numeric_tolerance", F.col("column"), F.lit(None), F.col("reference"), F.col("candidate"), detail,
@@ -382,7 +382,7 @@ def record_check(
     spark = ref.sparkSession
     usable = [k for k in keys if k in ref.columns and k in cand.columns]
     if keys and not usable:
-        return None, None, f"neither output has all of the keys {list(keys)}"
+        return None, None, f"keys {list(keys)}: reference has {sorted(set(keys) & set(ref.columns))}, candidate {sorted(set(keys) & set(cand.columns))}"
     if usable and not (has_duplicates(ref, usable) or has_duplicates(cand, usable)):
         cells = keyed_cells(ref, cand, usable, tolerance)
         told = f"records keyed on {usable} at tolerance {tolerance:g}"
@@ -390,7 +390,7 @@ def record_check(
     strategy = NOT_UNIQUE if usable else NO_KEYS
     a, b = ref.count(), cand.count()
     if a != b:
-        text = f"{a} reference records cannot be paired with {b} candidate records"
+        text = f"sides of {a} and {b} rows have no common positions"
         found = literal_rows(spark, DIFFERENCE, [("numeric_tolerance", None, None, str(a), str(b), text)])
         return found, found, f"{strategy}: {a} and {b} rows"
     if not _shared(ref, cand):
@@ -507,7 +507,7 @@ def compare(
             text = f"{len(ref.columns)} reference, {len(cand.columns)} candidate columns"
         elif name == "duplicate_counts":
             parts.append(duplicate_differences(ref, cand, keys))
-            text = "full rows and declared keys"
+            text = f"repeats of whole rows of {len(ref.columns)} columns, and of {len(list(keys))} keys"
         elif name == "numeric_tolerance":
             found, every, text = record_check(ref, cand, keys, tolerance, n)
             skipped = found is None

@@ -33,10 +33,11 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 def derive(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """``assign`` for several columns in one projection.
 
+    The expressions see missing values as null: the floor, ceiling or integer cast of a NaN would be 0.
     ANSI arithmetic raises on overflow; use :func:`try_multiply` and friends where the job being
     replaced went on with a missing value.
     """
-    return df.withColumns(dict(columns))
+    return normalize(df).withColumns(dict(columns))
 
 
 def try_add(a: Column, b: Column) -> Column:

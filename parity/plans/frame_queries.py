@@ -678,7 +678,7 @@ FROM n
 """,
 )
 def rank_average(spark: SparkSession, sf: str) -> DataFrame:
-    tens = _events(spark, sf).withColumn("t", F.floor(F.col("v") / 10))
+    tens = frame.derive(_events(spark, sf), {"t": F.floor(F.col("v") / 10)})
     return windows.rank(tens, "t", ["user_id"], "r").select("event_id", "r")
 
 
@@ -691,7 +691,7 @@ SELECT event_id, CASE WHEN t IS NOT NULL THEN
 """,
 )
 def rank_dense(spark: SparkSession, sf: str) -> DataFrame:
-    tens = _events(spark, sf).withColumn("t", F.floor(F.col("v") / 10))
+    tens = frame.derive(_events(spark, sf), {"t": F.floor(F.col("v") / 10)})
     return windows.rank(tens, "t", ["user_id"], "r", method="dense").select("event_id", "r")
 
 

@@ -53,7 +53,7 @@ def find_dataset(spark: SparkSession, path: str) -> DatasetFile:
             size += entry.getLen()
     formats = {f for _, f in parts}
     if not parts:
-        raise DatasetError(f"no readable data files under {path}")
+        raise DatasetError(f"{path} holds none of {', '.join(sorted(FORMATS))}")
     if len(formats) > 1:
         raise DatasetError(f"{path} mixes formats: {sorted(formats)}")
     return DatasetFile(path, formats.pop(), size, tuple(sorted(p for p, _ in parts)))

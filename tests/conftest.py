@@ -22,5 +22,6 @@ def spark(tmp_path_factory):
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(session.sparkContext.getConf().get("spark.checkpoint.dir"))
     yield session
     session.stop()

@@ -189,3 +189,12 @@ def test_nan_is_missing_in_every_operator(spark):
     assert [r.k for r in frame.sort_values(df, ["x"], ascending=False, tiebreak=["k"]).collect()] == [4, 1, 2, 3]
     assert joins.join(df, df.select("x"), "inner", ["x"]).count() == 6
     assert windows.drop_duplicates(df, ["x"], order_by=["k"]).count() == 3
+
+
+def test_whole_numbers_of_missing_values_are_missing(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 2.5)], "k bigint, v double")
+    whole = frame.derive(df, {
+        "down": F.floor("v"), "up": F.ceil("v"), "cast": F.col("v").cast("bigint"), "tens": F.floor(F.col("v") / 10),
+    })
+    got = {r.k: tuple(r)[2:] for r in whole.collect()}
+    assert got == {1: (None,) * 4, 2: (None,) * 4, 3: (2, 3, 2, 0)}

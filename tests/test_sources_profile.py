@@ -17,7 +17,7 @@ def write(path, text):
     return str(path)
 
 
-CSV = "id,age,name,when,ok\n1,30,a,2020-01-01,True\n2,,NA,2020-01-02,False\n3,40,None,2020-01-03,True\n"
+CSV = "id,age,name,when,ok\n7,12,pear,1999-12-31,True\n8,,NA,2001-02-03,False\n9,55,None,2010-10-10,True\n"
 
 
 def test_csv_has_pandas_types(spark, tmp_path):

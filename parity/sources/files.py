@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parity.functions.types import normalize
+from parity.sources.split_csv import read_split_csv
 
 # The texts pandas reads as a missing value.
 PANDAS_NA = (
@@ -53,7 +54,8 @@ def read_csv(
 
     Without a schema every column is inferred in a second pass as pandas does it: integers, or
     doubles when some are missing, or booleans, else text (dates stay text). Quoted cells may hold
-    line breaks; ``multiline=False`` rules them out and lets Spark split large files.
+    line breaks, and large files are split all the same (``split_csv``); ``multiline=False`` rules
+    such breaks out and saves the pass that looks for them.
     """
     paths = [path] if isinstance(path, str) else list(path)
     return read_csv_groups(spark, [(paths, sep)], schema, na_values, multiline)
@@ -67,13 +69,11 @@ def read_csv_groups(
     multiline: bool = True,
 ) -> DataFrame:
     """Files of one header and separator each, put together by column name before types are inferred."""
-    frames = [
-        spark.read.csv(
-            paths, header=True, sep=sep, multiLine=multiline, escape='"', nullValue="",
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        )
-        for paths, sep in groups
-    ]
+    kept = {"nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if multiline:
+        frames = [read_split_csv(spark, paths, sep, **kept) for paths, sep in groups]
+    else:
+        frames = [spark.read.csv(paths, header=True, sep=sep, escape='"', **kept) for paths, sep in groups]
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     cleaned = raw.select(
         *[

@@ -1,11 +1,12 @@
 import random
+import struct
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from parity.operators import bench
-from parity.operators.quantiles import EXACT_ROWS, MEDIAN, P75, order_statistics
+from parity.operators.quantiles import EXACT_ROWS, MEDIAN, P75, order_key, order_statistics
 
 
 def p75(values):
@@ -152,3 +153,38 @@ def test_first_accepted_against_a_loop(spark):
     done = bench.first_accepted(df, "s", "n", "approach", "ok")
     assert {(r.s, r.n): r.outcome for r in done.collect()} == expected
     assert {r.s: r.kept_speedup for r in bench.kept_speedup(done, "s", "speed").collect()} == kept
+
+
+ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"),
+       float("-inf"), 1.0, 0.9999999999999999, 1.0000000000000002, 2.0, 1.9999999999999998, 0.1, -0.1, 3.0, 1e-310, 2.0**52,
+       2.0**53 - 1, 1e100, -1e-100, 7.5e-320]
+
+
+def test_keys_are_the_bits_of_the_values_in_order(spark):
+    rng = random.Random(2)
+    values = ODD + [rng.gauss(0, 1) * 10.0 ** rng.randrange(-320, 308) for _ in range(2000)] + [2.0**e for e in range(-1074, 1024)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k"))
+    for row in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(row.v)))[0]
+        assert row.k == (-bits if row.v < 0 else bits)
+
+
+@pytest.mark.parametrize("exact_rows", [1, 7, 10_000])
+def test_any_rank_of_any_data_is_selected(spark, exact_rows):
+    rng = random.Random(6)
+    groups = {
+        "odd": [rng.choice(ODD[:6] + ODD[9:]) for _ in range(400)],
+        "near": [1 + k * 2.0**-52 for k in range(150)],  # differ in their last bits only
+        "equal": [3.5] * 300,
+        "wide": [rng.gauss(0, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(300)],
+        "one": [2.0],
+        None: [float(k) for k in range(50)],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    first = (0.0, lambda n: F.lit(0), lambda n: F.lit(0))
+    wanted = {"m": MEDIAN, "q": P75, "least": first}
+    rows = order_statistics(df, ["g"], "v", wanted, exact_rows).collect()
+    assert {r.g for r in rows} == set(groups)
+    for r in rows:
+        values = sorted(groups[r.g])
+        assert (r.n, r.m, r.q, r.least) == (len(values), statistics.median(values), p75(values), values[0])

@@ -2,48 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parity.operators.skew import broadcastable, largest_group
+from parity.session import pinned
+
 STRATEGY_REPEATED = "strategy_repeated"
 CODE_UNCHANGED = "code_unchanged"
 CODE_REPEATED = "code_repeated"
 
+#: Pairs of a subject that one task folds without trouble.
+FOLD_ROWS = 5_000_000
+#: Rounds of distributed admission before the rest is folded whatever its size.
+ROUNDS = 40
+
+_PAIR = ["attempt", "signature", "fingerprint"]
+
 
-def admit(attempts: DataFrame) -> DataFrame:
+def admit(attempts: DataFrame, fold_rows: int = FOLD_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Add ``admitted`` and ``reason`` to ``subject, attempt, signature, fingerprint, baseline``.
 
     Refused, in this order: a signature already admitted for the subject, a fingerprint equal to the
     baseline's, a fingerprint already admitted. A refused attempt spends neither, so whether an
-    attempt is admitted depends on all admissions before it: a fold per subject.
+    attempt is admitted depends on all admissions before it.
 
-    The fold sees few rows. Only the first of equal (signature, fingerprint) pairs can be admitted. And
-    of one signature only its first K pairs can, where K is the number of signatures: every refusal
-    among them takes another signature's fingerprint, of which there are at most K - 1. The rest
-    are refused as repeats of the signature, without being looked at. K is the size of the
-    vocabulary of strategies; it is measured by a job that returns one number.
+    Only the first of equal (signature, fingerprint) pairs can be admitted, so the pairs are made distinct
+    first. They are then folded in order: a task streams the sorted pairs of a subject and carries two
+    sets, of the signatures and the fingerprints admitted so far. A subject of very many pairs is first worked
+    down by rounds that need no order across tasks (see :func:`_settled_round`). Missing signatures equal
+    each other, as missing fingerprints do.
     """
     candidates = attempts.filter(~F.col("fingerprint").eqNullSafe(F.col("baseline")))
     pairs = candidates.groupBy("subject", "signature", "fingerprint").agg(F.min("attempt").alias("attempt"))
-    signatures = attempts.groupBy("subject").agg(F.count_distinct("signature").alias("k"))
-    k = signatures.agg(F.max("k").alias("k")).first()["k"] or 1
-    number = F.row_number().over(Window.partitionBy("subject", "signature").orderBy("attempt"))
-    few = pairs.withColumn("__rn", number).filter(F.col("__rn") <= k)
-
-    edge = F.struct("attempt", "signature", "fingerprint")
-    ordered = few.groupBy("subject").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    start = F.filter("edges", lambda _: F.lit(False))
-
-    def step(taken, e):
-        spent = F.exists(
-            taken,
-            lambda t: (t["signature"] == e["signature"]) | (t["fingerprint"] == e["fingerprint"]),
-        )
-        return F.when(spent, taken).otherwise(F.concat(taken, F.array(e)))
-
-    winners = ordered.select(
-        F.col("subject").alias("__s"), F.explode(F.aggregate("edges", start, step)).alias("w")
-    ).select("__s", F.col("w.signature").alias("__sig"), F.col("w.attempt").alias("__at"))
+    rest, won = pairs.select("subject", *_PAIR), []
+    for _ in range(rounds):
+        if largest_group(rest, ["subject"]) <= fold_rows:
+            break
+        now, rest = _settled_round(pinned(rest))
+        won.append(now)
+    winners = folded(rest)
+    for now in won:
+        winners = winners.unionByName(now)
+    winners = winners.select(
+        F.col("subject").alias("__s"), F.col("signature").alias("__sig"), F.col("attempt").alias("__at")
+    )
     judged = attempts.join(
         winners,
         attempts["subject"].eqNullSafe(winners["__s"]) & attempts["signature"].eqNullSafe(winners["__sig"]),
@@ -62,6 +68,52 @@ def admit(attempts: DataFrame) -> DataFrame:
     )
 
 
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The admitted pairs of batches sorted by subject and order: subject, attempt, signature, fingerprint."""
+    subject, started = None, False
+    signatures: set = set()
+    fingerprints: set = set()
+    for batch in batches:
+        admitted = []
+        columns = (batch.column(c).to_pylist() for c in ("subject", "signature", "fingerprint"))
+        for owner, signature, fingerprint in zip(*columns, strict=True):
+            if not started or owner != subject:
+                subject, started = owner, True
+                signatures, fingerprints = set(), set()
+            free = signature not in signatures and fingerprint not in fingerprints
+            if free:
+                signatures.add(signature)
+                fingerprints.add(fingerprint)
+            admitted.append(free)
+        yield batch.filter(pa.array(admitted, pa.bool_()))
+
+
+def folded(pairs: DataFrame) -> DataFrame:
+    """The admitted pairs, subject by subject in the order of their attempts."""
+    dealt = pairs.repartition("subject").sortWithinPartitions("subject", *_PAIR)
+    return dealt.mapInArrow(fold, pairs.schema)
+
+
+def _settled_round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs that are certainly admitted, pairs that are still open).
+
+    A pair that is the first both of its signature and of its fingerprint is admitted whatever happens to the
+    others; then every pair that shares one of the two is refused. What remains is the same question again. Both
+    minima combine before their shuffle, so no subject, signature or fingerprint is ordered in one task.
+    """
+    first = F.min(F.struct(*_PAIR)).alias("first")
+    of_signature = pairs.groupBy("subject", "signature").agg(first).select(F.struct("subject", "first").alias("p"))
+    of_fingerprint = pairs.groupBy("subject", "fingerprint").agg(first).select(F.struct("subject", "first").alias("p"))
+    # inside a struct missing values equal each other
+    both = pinned(of_signature.join(of_fingerprint, "p").select("p.subject", *[f"p.first.{c}" for c in _PAIR]))
+    rest = pairs
+    for side in ("signature", "fingerprint"):
+        spent = both.select(F.struct("subject", side).alias("spent"))
+        spent = F.broadcast(spent) if broadcastable(spent) else spent
+        rest = rest.withColumn("spent", F.struct("subject", side)).join(spent, "spent", "left_anti").drop("spent")
+    return both, rest.select(*pairs.columns)
+
+
 def best_attempt(attempts: DataFrame, subject: str = "migration_id") -> DataFrame:
     """The admitted attempt with fewest differences, the earliest of equals: ``attempt, differences``."""
     scored = attempts.filter(F.col("admitted") & F.col("differences").isNotNull())

@@ -93,7 +93,11 @@ def with_ratio_texts(df: DataFrame, ratios: str, output: str) -> DataFrame:
     each = ", ".join(
         f"struct(r AS x, greatest(coalesce({n}, 0), 0) AS d, '{form}' AS form)" for form, n in forms.items()
     )
-    entries = f"flatten(transform(filter({ratios}, r -> r IS NOT NULL), r -> array({each})))"
+    return with_printed(df, f"flatten(transform(filter({ratios}, r -> r IS NOT NULL), r -> array({each})))", output)
+
+
+def with_printed(df: DataFrame, entries: str, output: str) -> DataFrame:
+    """Add ``output``: the texts of an array (SQL text) of (x, d, form); the form ``short`` is ``:g``."""
     printed = with_fixed_entries(df, entries, output)
     text = f"if(e.form = 'short', {trimmed('e.fixed', 'e.x')}, e.fixed)"
     return printed.withColumn(output, F.expr(f"transform({output}, e -> {text})"))

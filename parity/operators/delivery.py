@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.numbers import with_fixed, with_ratio_texts
+from parity.functions.numbers import SIX_SIGNIFICANT, with_fixed, with_printed, with_ratio_texts
 from parity.operators.bench import array_median
 from parity.operators.lifecycle import record_risk
 from parity.sources.records import (
@@ -127,9 +127,8 @@ def _entries(kind: str, *values: str) -> str:
     return f"array({rows})"
 
 
-def supported_lists(records: DataFrame) -> DataFrame:
-    """``id, supported``: one row a record with an array of the (kind, value) it supports; two of its numbers may read
-    the same."""
+def supported_facts(records: DataFrame) -> DataFrame:
+    """``id, plain, ratios``: the (kind, value) of the whole numbers a record supports, and its speedups as doubles."""
     checks, run = "coalesce(validation.report.checks, array())", "validation.test_run"
     found = f"aggregate({checks}, 0, (n, c) -> n + greatest(coalesce(size(c.differences), 0), 0))"
     declared = "coalesce(size(flatten(transform(plan.steps, s -> s.semantic_differences))), 0)"
@@ -163,7 +162,13 @@ def supported_lists(records: DataFrame) -> DataFrame:
         f"if(optimization IS NULL, array(), concat(array(CAST({outcome_speedup()} AS DOUBLE)),"
         " transform(coalesce(optimization.attempts, array()), a -> CAST(a.strategy.expected_speedup AS DOUBLE)))) AS ratios"
     )
-    rows = with_ratio_texts(records.selectExpr("migration_id AS id", plain, ratios), "ratios", "quoted")
+    return records.selectExpr("migration_id AS id", plain, ratios)
+
+
+def supported_lists(records: DataFrame) -> DataFrame:
+    """``id, supported``: one row a record with an array of the (kind, value) it supports; two of its numbers may read
+    the same."""
+    rows = with_ratio_texts(supported_facts(records), "ratios", "quoted")
     quoted = "transform(quoted, v -> struct('speedup' AS kind, v AS value))"
     return rows.selectExpr("id", f"concat(plain, {quoted}) AS supported")
 
@@ -186,14 +191,37 @@ def violations(claims: DataFrame, supported: DataFrame) -> DataFrame:
 def audit(texts: DataFrame, records: DataFrame) -> DataFrame:
     """``id, checked, violations, passed`` for every text, including those without a claim.
 
-    A text meets its record once; claims and supported numbers stay arrays of the row they belong to.
+    A text meets its record once; claims and supported numbers stay arrays of the row they belong to. A speedup is
+    printed only if some claim lies where one of its forms could: within a rounding of two digits, of one, or of six
+    significant ones. The rest of the record's ratios cannot read like any claim.
     """
+    # Both sides grow with the corpus, and nothing has measured them: no broadcast. The patterns run where the join has
+    # dealt the texts out; a text is no larger than the claims found in it.
+    met = texts.select("id", "text").join(supported_facts(records).hint("merge"), "id", "left")
+    found = met.select("id", _claims().alias("claims"), "plain", "ratios")
+    # the claimed ratios are computed once a row: a lambda over an array of one binds them
+    said = "transform(filter(claims, c -> c.kind = 'speedup'), c -> CAST(c.claimed AS DOUBLE))"
+    near = "exists(s, v -> abs(r - v) <= {})"
+    forms = {"two": ("2", "0.00501D"), "one": ("1", "0.0501D"), "short": (SIX_SIGNIFICANT.format(x="r"), "r * 0.00001D")}
+    each = ", ".join(
+        f"if({near.format(reach)}, struct(r AS x, greatest(coalesce({n}, 0), 0) AS d, '{form}' AS form), NULL)"
+        for form, (n, reach) in forms.items()
+    )
+    entries = (
+        f"transform(array({said}), s -> filter(flatten(transform(filter(coalesce(ratios, array()), r -> r IS NOT NULL),"
+        f" r -> array({each}))), e -> e IS NOT NULL))[0]"
+    )
+    printed = with_printed(found, entries, "quoted")
     plain = "replace({}, ',', '')"
-    known = f"transform(supported, s -> struct(s.kind, {plain.format('s.value')} AS v))"
-    found = texts.select("id", _claims().alias("claims")).join(supported_lists(records), "id", "left")
-    rows = found.selectExpr("id", "claims", f"coalesce({known}, array()) AS known")
-    broken = f"size(filter(claims, c -> NOT array_contains(known, struct(c.kind, {plain.format('c.claimed')} AS v))))"
-    counted = rows.selectExpr("id", "CAST(size(claims) AS BIGINT) AS checked", f"CAST({broken} AS BIGINT) AS violations")
+    known = (
+        f"concat(transform(coalesce(plain, array()), s -> struct(s.kind, {plain.format('s.value')} AS v)),"
+        " transform(quoted, q -> struct('speedup' AS kind, q AS v)))"
+    )
+    broken = (
+        f"transform(array({known}), k -> size(filter(claims, c -> NOT array_contains(k,"
+        f" struct(c.kind, {plain.format('c.claimed')} AS v)))))[0]"
+    )
+    counted = printed.selectExpr("id", "CAST(size(claims) AS BIGINT) AS checked", f"CAST({broken} AS BIGINT) AS violations")
     return counted.withColumn("passed", F.col("violations") == 0)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parity.functions.numbers import SIX_SIGNIFICANT, with_fixed, with_printed, with_ratio_texts
+from parity.functions.numbers import SIX_SIGNIFICANT, with_fixed_entries, with_printed, with_ratio_texts
 from parity.operators.bench import array_median
 from parity.operators.lifecycle import record_risk
 from parity.sources.records import (
@@ -247,48 +248,65 @@ def excerpts(broken: DataFrame, texts: DataFrame, length: int | None = None) ->
 
 def evidence_rows(records: DataFrame, most_differences: int | None = None) -> DataFrame:
     """``id, section, ordinal, text``: the measured facts a reviewer reads, one per row; of the differences the first
-    ``most_differences`` if given."""
-
-    def rows(frame: DataFrame, id_: str, section: str, ordinal: Column, text: Column) -> DataFrame:
-        return frame.select(
-            F.col(id_).alias("id"), F.lit(section).alias("section"), ordinal.cast("int").alias("ordinal"), text.alias("text")
-        )
-
-    checks = explode_checks(records)
-    mark = F.when(F.col("skipped"), "skipped").when(F.col("passed"), "pass").otherwise("fail")
-    check_rows = rows(checks, "migration_id", "checks", F.col("ordinal"), F.concat_ws(" ", "name", mark))
-
-    # the first differences of a record in report order, cut inside the record before they become rows
-    found = F.flatten(
-        F.transform(
-            F.coalesce(F.col("validation.report.checks"), F.array()),
-            lambda c: F.coalesce(c["differences"], F.array()),
-        )
-    )
-    listed = found if most_differences is None else F.slice(found, 1, most_differences)
-    few = records.select("migration_id", F.posexplode(listed).alias("o", "d"))
-    where = F.when(F.col("d.column").isNotNull(), F.concat(F.lit(" ["), F.col("d.column"), F.lit("]"))).otherwise("")
-    text = F.concat(F.col("d.check"), where, F.lit(": reference="), F.col("d.reference"), F.lit(" candidate="), F.col("d.candidate"))
-    difference_rows = rows(few, "migration_id", "differences", F.col("o"), text)
-
-    repairs = records.select("migration_id", F.posexplode("repair.attempts").alias("o", "a"))
-    fate = F.when(~F.col("a.admitted"), "refused").otherwise(F.coalesce("a.validation_status", F.lit("not run")))
-    repair_rows = rows(
-        repairs, "migration_id", "repairs", F.col("o"),
-        F.concat_ws(" ", F.concat_ws(":", "a.strategy.category", "a.strategy.approach"), fate),
-    )
-
-    tries = records.select("migration_id", F.posexplode("optimization.attempts").alias("o", "a"))
-    result = F.when(~F.col("a.admitted"), "refused").when(F.col("a.accepted"), "accepted").otherwise("rejected")
-    try_rows = rows(tries, "migration_id", "optimizations", F.col("o"), F.concat_ws(" ", "a.strategy.approach", result))
-
-    facts = F.array(
-        F.concat(F.lit("source="), F.col("source_path")),
-        F.concat(F.lit("risk="), record_risk()),
-        F.concat(F.lit("stages="), F.coalesce(F.size("stages"), F.lit(0)).cast("string")),
-        F.concat(F.lit("seconds="), F.col("seconds_text")),
-    )
-    timed = with_fixed(records.withColumn("total_seconds", total_duration()), "total_seconds", "1", "seconds_text")
-    provenance = timed.select("migration_id", F.posexplode(facts).alias("o", "t"))
-    provenance_rows = rows(provenance, "migration_id", "provenance", F.col("o"), F.col("t"))
-    return reduce(DataFrame.unionByName, [check_rows, difference_rows, repair_rows, try_rows, provenance_rows])
+    ``most_differences`` if given.
+
+    Sections: checks, tests, differences, declared (differences the plan names and the check that covers each),
+    repairs, performance (medians of the baseline and the final runs and the speedup that was kept),
+    optimizations, provenance. A record's sections are one array, built and exploded in one pass over the records.
+    """
+    has_baseline, has_final = (f"optimization.{side} IS NOT NULL" for side in ("baseline", "final"))
+    numbers = {
+        "seconds": ("total_seconds", 1),
+        "baseline": (f"if({has_baseline}, {array_median('optimization.baseline.durations')}, NULL)", 3),
+        "final": (f"if({has_final}, {array_median('optimization.final.durations')}, NULL)", 3),
+        "kept": (f"if(optimization.applied AND {has_baseline} AND {has_final}, {outcome_speedup()}, NULL)", 2),
+    }
+    entries = ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, {d} AS d, '{n}' AS form)" for n, (x, d) in numbers.items())
+    timed = with_fixed_entries(records.withColumn("total_seconds", total_duration()), f"array({entries})", "__printed")
+    printed = {name: F.col("__printed")[i]["fixed"] for i, name in enumerate(numbers)}
+
+    def listed(items: Column, text: Callable[[Column], Column]) -> Column:
+        return F.transform(F.coalesce(items, F.array()), text)
+
+    def present(*texts: Column) -> Column:
+        return F.array_compact(F.array(*texts))
+
+    checks = F.col("validation.report.checks")
+    found = F.flatten(listed(checks, lambda c: F.coalesce(c["differences"], F.array())))
+    found = found if most_differences is None else F.slice(found, 1, most_differences)
+    run = F.col("validation.test_run")
+    runs = [F.size(F.col(f"optimization.{side}.durations")).cast("string") for side in ("baseline", "final")]
+    texts = {
+        "checks": listed(checks, lambda c: F.concat_ws(
+            " ", c["name"], F.when(F.coalesce(c["skipped"], F.lit(False)), "skipped").when(c["passed"], "pass").otherwise("fail"))),
+        "tests": present(F.when(run.isNotNull(), F.concat_ws(
+            " ", *[F.concat(F.lit(f"{n}="), run[n].cast("string")) for n in ("passed", "failed", "errors", "skipped")]))),
+        "differences": listed(found, lambda d: F.concat(
+            d["check"], F.when(d["column"].isNotNull(), F.concat(F.lit(" ["), d["column"], F.lit("]"))).otherwise(""),
+            F.lit(": reference="), d["reference"], F.lit(" candidate="), d["candidate"])),
+        "declared": listed(semantic_differences(), lambda d: F.concat(
+            d["category"], F.lit(" covered by "), F.coalesce(d["validation_check"], F.lit("no check")))),
+        "repairs": listed(F.col("repair.attempts"), lambda a: F.concat_ws(
+            " ", F.concat_ws(":", a["strategy"]["category"], a["strategy"]["approach"]),
+            F.when(~a["admitted"], "refused").otherwise(F.coalesce(a["validation_status"], F.lit("not run"))))),
+        "performance": present(
+            F.concat(F.lit("baseline="), printed["baseline"], F.lit(" runs="), runs[0]),
+            F.concat(F.lit("final="), printed["final"], F.lit(" runs="), runs[1]),
+            F.concat(F.lit("speedup="), printed["kept"])),
+        "optimizations": listed(F.col("optimization.attempts"), lambda a: F.concat_ws(
+            " ", a["strategy"]["approach"], F.when(~a["admitted"], "refused").when(a["accepted"], "accepted").otherwise("rejected"))),
+        "provenance": present(
+            F.concat(F.lit("source="), F.col("source_path")),
+            F.concat(F.lit("risk="), record_risk()),
+            F.concat(F.lit("stages="), F.coalesce(F.size("stages"), F.lit(0)).cast("string")),
+            F.concat(F.lit("seconds="), printed["seconds"])),
+    }
+
+    def section(name: str, lines: Column) -> Column:
+        def line(text: Column, place: Column) -> Column:
+            return F.struct(F.lit(name).alias("section"), place.cast("int").alias("ordinal"), text.alias("text"))
+
+        return F.transform(lines, line)
+
+    every = F.concat(*[section(name, lines) for name, lines in texts.items()])
+    return timed.select(F.col("migration_id").alias("id"), F.inline(every))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from parity.operators import metrics
 from parity.plans import corpus
 from parity.plans.catalog import query, table
+from parity.session import scratch_path
+from parity.sources import records as facts
 from parity.streaming import metrics as streams
 
 
@@ -376,3 +378,49 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     events = streams.watermarked(event_stream(spark, sf), "ts", "1 hour")
     counts = streams.window_counts(events, "ts", ["event_type"], "1 day")
     return _window_text(streams.run_to_files(counts, "late"))
+
+
+#: Records of these orders arrive in a second batch of files, after the newest of all others.
+_HELD_BACK = "o_orderkey % 5 = 2"
+_LATE_DAYS = "30"
+#: Files of a batch.
+_ARRIVING = 3
+
+
+def _late_sql(select: str) -> str:
+    return f"""
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) AS d, {_HELD_BACK} AS held FROM orders),
+t AS (SELECT max(d) - INTERVAL {_LATE_DAYS} DAY AS mark FROM o WHERE NOT held),
+j AS (SELECT d, k % 11 = 0 AS failed, date_trunc('day', d) AS w,
+             held AND date_trunc('day', d) + INTERVAL 1 DAY <= (SELECT mark FROM t) AS late FROM o)
+{select}
+"""
+
+
+def _record_stream(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus as a stream of two batches of files, the second of which holds records of days long past."""
+    path = scratch_path(spark, name)
+    records = corpus.newest(spark, sf, "validation")
+    key = F.substring("migration_id", 2, 20).cast("bigint")
+    held = F.expr(_HELD_BACK.replace("o_orderkey", "k"))
+    lines = records.select(F.to_json(F.struct(*[c for c in records.columns if c != "modified_at"])).alias("value"), key.alias("k"))
+    for wanted in (~held, held):
+        lines.filter(wanted).select("value").repartition(_ARRIVING).write.mode("append").text(path)
+    stream = facts.stream_records(spark, path, files_per_trigger=_ARRIVING)
+    return streams.split_late(stream, "created_at", ["failed"], "1 day", f"{_LATE_DAYS} DAYS", f"{name}-out")
+
+
+@query(
+    "stream_records_counted",
+    _late_sql("""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       failed, count(*)::BIGINT AS value FROM j WHERE NOT late GROUP BY ALL"""),
+)
+def stream_records_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Records counted by day as they arrive; what comes after its day is final does not change it."""
+    return _window_text(_record_stream(spark, sf, "record-stream")[0])
+
+
+@query("stream_records_rejected", _late_sql("SELECT failed, count(*)::BIGINT AS value FROM j WHERE late GROUP BY ALL"))
+def stream_records_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The late records of the same stream, counted by label instead of vanishing."""
+    return _record_stream(spark, sf, "record-late")[1]

@@ -82,6 +82,28 @@ def broadcast_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return report.select(_name(), "row_count", "broadcast_candidate")
 
 
+#: Copies of the order texts that make an export larger than what may be broadcast, whatever the scale.
+_WIDE_BYTES = 64 << 20
+
+
+@query(
+    "broadcast_flags",
+    """
+SELECT 'nations.parquet' AS name, count(*)::BIGINT AS row_count, true AS broadcast_candidate FROM nation
+UNION ALL SELECT 'orders.csv', count(*)::BIGINT, false FROM orders
+""",
+)
+def broadcast_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """A small dataset may be broadcast; every order with a wide text beside it is too large for that."""
+    path = scratch_path(spark, "flags")
+    files.to_parquet(table(spark, sf, "nation"), f"{path}/nations.parquet")
+    orders = table(spark, sf, "orders")
+    wide = F.repeat(F.lit("wide "), F.lit(-(-_WIDE_BYTES // (5 * max(orders.count(), 1))) + 1))
+    files.to_csv(orders.select("o_orderkey", "o_orderstatus", wide.alias("note")), f"{path}/orders.csv")
+    report = profile.size_report(profile.profile_directory(spark, path))
+    return report.select(_name(), "row_count", "broadcast_candidate")
+
+
 @query(
     "profile_directory",
     """

@@ -46,6 +46,38 @@ def scan_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Batches of record files, the files of each, and how many of the files are the newest ones asked for.
+_BATCHES, _FILES, _NEWEST = 6, 3, 6
+
+
+@query(
+    "newest_records",
+    f"""
+WITH {corpus.R}, {corpus.CHECKS_SQL}
+SELECT CASE WHEN r.k % 50 <> 0 THEN id END AS migration_id, CASE WHEN r.k % 50 <> 0 THEN st.status END AS status,
+       r.k % 50 <> 0 AS readable
+FROM r LEFT JOIN (SELECT k, status FROM st) st ON st.k = r.k WHERE r.k % {_BATCHES} >= {_BATCHES - _NEWEST // _FILES}
+""",
+)
+def newest_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus written in batches, one after another, and of all its files the newest ones read: those of the last
+    batches. A document that is cut off does not make its file older."""
+    path = scratch_path(spark, "newest")
+    records = corpus.newest(spark, sf)
+    whole = F.to_json(F.struct(*[c for c in records.columns if c != "modified_at"]))
+    documents = records.select(whole.alias("doc"), F.substring("migration_id", 2, 20).cast("bigint").alias("k"))
+    cut = F.when(F.col("k") % 50 == 0, F.expr("substring(doc, 1, length(doc) div 2)")).otherwise(F.col("doc"))
+    for batch in range(_BATCHES):
+        rows = documents.filter(F.col("k") % _BATCHES == batch).select(cut.alias("doc"))
+        rows.repartition(_FILES).write.text(f"{path}/batch-{batch}")
+    found = facts.scan_records(spark, path, limit=_NEWEST, pattern="batch-*/*.txt", lines=True)
+    return found.select(
+        F.when(F.col("readable"), F.col("migration_id")).alias("migration_id"),
+        F.when(F.col("readable"), facts.validation_status()).alias("status"),
+        "readable",
+    )
+
+
 # --- harvest ----------------------------------------------------------------------------------------
 
 
@@ -609,7 +641,8 @@ def claims_excerpts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "evidence_rows",
     f"""
-WITH {corpus.R}, {corpus.CHECKS_SQL}, {corpus.REPAIRS_SQL}, {corpus.TRIES_SQL}, {corpus.STAGES_SQL},
+WITH {corpus.R}, {corpus.CHECKS_SQL}, {corpus.REPAIRS_SQL}, {corpus.TRIES_SQL}, {corpus.STAGES_SQL}, {corpus.DECLARED_SQL},
+{corpus.OUTCOME_SQL},
 df AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY i, j) - 1)::INT AS o,
               name || ' [c' || j || ']: reference=' || (k + j) || ' candidate=' || (k - j) AS t
        FROM ck, range(3) u(j) WHERE j < nd),
@@ -622,6 +655,12 @@ UNION ALL SELECT id, 'repairs', (attempt - 1)::INT, category || ':' || approach
        || CASE WHEN NOT admitted THEN ' refused' WHEN succeeded THEN ' PASS' ELSE ' FAIL' END FROM rp
 UNION ALL SELECT id, 'optimizations', i::INT, approach
        || CASE WHEN NOT admitted THEN ' refused' WHEN accepted THEN ' accepted' ELSE ' rejected' END FROM tr0
+UNION ALL SELECT id, 'tests', 0, 'passed=' || (k % 20) || ' failed=' || (k % 3) || ' errors=' || (k % 2) || ' skipped=' || (k % 5)
+          FROM r WHERE has_val AND k % 4 = 0
+UNION ALL SELECT id, 'declared', (row_number() OVER (PARTITION BY id ORDER BY s, i) - 1)::INT, category || ' covered by ' || wanted FROM pd
+UNION ALL SELECT id, 'performance', 0, 'baseline=' || printf('%.3f', b) || ' runs=4' FROM om JOIN r USING (k)
+UNION ALL SELECT id, 'performance', 1, 'final=' || printf('%.3f', f) || ' runs=5' FROM om JOIN r USING (k)
+UNION ALL SELECT id, 'performance', 2, 'speedup=' || printf('%.2f', speedup) FROM oc JOIN r USING (k) WHERE applied
 UNION ALL SELECT id, 'provenance', 0, 'source=jobs/' || (k % 100) || '.py' FROM r
 UNION ALL SELECT id, 'provenance', 1, 'risk=' || coalesce(CASE WHEN has_plan THEN planned END, (['low', 'medium', 'high'])[top::INT + 1], 'low')
           FROM r LEFT JOIN s USING (k)

@@ -104,9 +104,9 @@ def _scanned_schema() -> T.StructType:
     )
 
 
-def stream_records(spark: SparkSession, directory: str) -> DataFrame:
+def stream_records(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
     """Records as they arrive as JSON files, one document per line."""
-    return spark.readStream.schema(record_schema()).json(directory)
+    return spark.readStream.schema(record_schema()).option("maxFilesPerTrigger", files_per_trigger).json(directory)
 
 
 # --- derived facts of one record ------------------------------------------------------------------

@@ -53,6 +53,48 @@ def window_histogram(
     )
 
 
+def split_late(stream: DataFrame, ts: str, labels: Sequence[str], size: str, delay: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of a stream by label and window with its rejected rows beside them: (window_start, window_end, labels,
+    value), (labels, value).
+
+    A row is late when the watermark had passed the end of its window before the row's batch began: the windows up to
+    there are final. One pass reads each batch once, counts the timely rows of every window and the late rows of
+    every label, and writes both to a folder of the batch, which a repeated batch replaces. The watermark is the
+    greatest event time of the batches before, less ``delay``; it is kept in the folder with each batch, so a restart
+    from the checkpoint goes on with it. Nothing but that one time comes to the driver.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+    window = F.window(F.col(ts).cast("timestamp"), size)
+    marks = T.StructType([T.StructField("top", T.TimestampType()), T.StructField("batch", T.LongType())])
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        before = spark.read.schema(marks).parquet(f"{base}/marks") if batch else None
+        top = before.filter(F.col("batch") < batch).agg(F.max("top").alias("t")).first()["t"] if before is not None else None
+        mark = F.lit(top).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        timed = rows.select(window.alias("w"), *labels, F.col(ts).cast("timestamp").alias("__ts"))
+        late = F.coalesce(F.col("w.end") <= mark, F.lit(False))
+        counts = timed.groupBy("w", late.alias("late"), *labels).agg(
+            F.count(F.lit(1)).alias("value"), F.max("__ts").alias("top")
+        )
+        counts.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        written = spark.read.parquet(f"{base}/out/batch={batch}")
+        written.agg(F.max("top").alias("top")).write.mode("overwrite").parquet(f"{base}/marks/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    total = F.sum("value").alias("value")
+    counted = rows.filter("not late").groupBy("w", *labels).agg(total)
+    counted = counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *labels, "value")
+    return counted, rows.filter("late").groupBy(*labels).agg(total)
+
+
 def read_file_stream(
     spark: SparkSession, directory: str, schema: T.StructType, pattern: str, files_per_trigger: int = 1000
 ) -> DataFrame:

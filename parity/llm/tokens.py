@@ -249,6 +249,8 @@ def write_shards(
         publish(f"{uri}.idx", attempt, lambda stream: stream.write(index_bytes(k, n, width, unnamed)))
         named = k[unnamed:].tolist()
         first, last = (named[0], named[-1]) if named else (None, None)
+        # a worker outlives its task, and what Arrow holds back would count against the stages after this one
+        pa.default_memory_pool().release_unused()
         values = (task.partitionId(), uri, len(k), int(n.sum()), first, last)
         kinds = (pa.int32(), pa.string(), *[pa.int64()] * 4)
         names = ["shard", "uri", "rows", "n_ids", "first_id", "last_id"]

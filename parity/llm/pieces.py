@@ -19,7 +19,7 @@ from parity.llm import cuts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of remembered pieces, by an estimate from above, before a worker forgets the rare ones.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 128 << 20
 #: What an entry takes beside its text and ids.
 ENTRY_BYTES = 220
 #: Pieces encoded in one call.

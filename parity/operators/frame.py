@@ -96,8 +96,9 @@ def dropna(
     subset: Sequence[str] | None = None,
     thresh: int | None = None,
 ) -> DataFrame:
-    """Drop rows by their missing values (null or NaN)."""
-    return df.na.drop(how=how, thresh=thresh, subset=list(subset) if subset else None)
+    """Drop rows by their missing values (null or NaN); those that stay come out as null. The rows are dropped before
+    that, so that the scan can push the condition down."""
+    return normalize(df.na.drop(how=how, thresh=thresh, subset=list(subset) if subset else None))
 
 
 def astype(df: DataFrame, types: Mapping[str, str], errors: str = "raise") -> DataFrame:

@@ -198,3 +198,9 @@ def test_whole_numbers_of_missing_values_are_missing(spark):
     })
     got = {r.k: tuple(r)[2:] for r in whole.collect()}
     assert got == {1: (None,) * 4, 2: (None,) * 4, 3: (2, 3, 2, 0)}
+
+
+def test_missing_values_that_are_not_dropped_are_null(spark):
+    df = spark.createDataFrame([(1, float("nan")), (None, 1.0), (3, 2.5)], "k bigint, v double")
+    assert {tuple(r) for r in frame.dropna(df, subset=["k"]).collect()} == {(1, None), (3, 2.5)}
+    assert {tuple(r) for r in frame.dropna(df).collect()} == {(3, 2.5)}

@@ -27,6 +27,7 @@ from parity.functions.types import (
     text_sql,
 )
 from parity.operators.align import BLOCK, aligned
+from parity.operators.skew import BROADCAST_LIMIT_ROWS, broadcastable
 from parity.operators.stats import (
     column_stats,
     distinct_counts,
@@ -35,6 +36,7 @@ from parity.operators.stats import (
     literal_rows,
     measures,
 )
+from parity.session import pinned
 from parity.sources.datasets import DatasetError, load_dataset
 
 # The named checks, and those run when nothing else is asked for.
@@ -90,6 +92,10 @@ def _shared(ref: DataFrame, cand: DataFrame) -> list[str]:
     return [c for c in ref.columns if c in cand.columns]
 
 
+def _usable(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [k for k in keys if k in ref.columns and k in cand.columns]
+
+
 def _rows(
     df: DataFrame, check: str, column: Column, category: Column, ref: Column, cand: Column, detail: Column
 ) -> DataFrame:
@@ -208,8 +214,68 @@ def distinct_differences(ref: DataFrame, cand: DataFrame, columns: Sequence[str]
     )
 
 
-def duplicate_differences(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Repeated rows, and repeats on the keys, counted on both sides."""
+@dataclass(frozen=True)
+class KeyFacts:
+    """What the keys of both sides say: repeats on the keys, and the keys whose records need a look.
+
+    A key outside ``suspects`` is there once on each side, with equal records.
+    """
+
+    repeats: tuple[int, int]
+    suspects: DataFrame
+    count: int
+
+    @property
+    def unique(self) -> bool:
+        return self.repeats == (0, 0)
+
+
+def key_facts(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> KeyFacts | None:
+    """One grouping of both sides by key, in which equal records cancel out.
+
+    The fingerprints of a key's records (128 bits, missing values marked) are combined by exclusive or, so a key
+    with one record a side has zero if the records are equal. Counts and fingerprints combine before the shuffle.
+    None where the types of the sides differ or a value is nested.
+    """
+    columns = _shared(ref, cand)
+    types = [ref.schema[c].dataType for c in columns]
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    if types != [cand.schema[c].dataType for c in columns] or any(isinstance(t, nested) for t in types):
+        return None
+    values = [quoted(c) for c in columns if c not in keys] or ["0"]
+    # the hash passes over missing values, so where they are is hashed too
+    marked = ", ".join([*values, *[f"{v} IS NULL" for v in values]])
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        hashes = [f"xxhash64({seed}, {marked}) AS __h{seed}" for seed in (1, 2)]
+        named = [f"{quoted(k)} AS __k{i}" for i, k in enumerate(keys)]
+        return df.selectExpr(*named, f"{1 - n} AS __r", f"{n} AS __c", *hashes)
+
+    names = [f"__k{i}" for i in range(len(keys))]
+    met = side(ref, 0).unionByName(side(cand, 1)).groupBy(*names)
+    counted = met.agg(*[F.sum(x).alias(x) for x in ("__r", "__c")], *[F.bit_xor(x).alias(x) for x in ("__h1", "__h2")])
+    suspects = pinned(counted.filter("__r <> 1 OR __c <> 1 OR __h1 <> 0 OR __h2 <> 0").select(*names, "__r", "__c"))
+    row = suspects.agg(
+        F.count(F.lit(1)), *[F.coalesce(F.sum(F.greatest(F.col(x) - 1, F.lit(0))), F.lit(0)) for x in ("__r", "__c")]
+    ).first()
+    return KeyFacts((row[1], row[2]), suspects, row[0])
+
+
+def _suspected(df: DataFrame, keys: Sequence[str], facts: KeyFacts) -> DataFrame:
+    """The records of the keys that need a look."""
+    marks = facts.suspects.drop("__r", "__c")
+    if facts.count <= BROADCAST_LIMIT_ROWS and broadcastable(marks):
+        marks = F.broadcast(marks)
+    on = " AND ".join(f"{quoted(k)} <=> __k{i}" for i, k in enumerate(keys))
+    return df.join(marks, F.expr(on), "left_semi")
+
+
+def duplicate_differences(
+    ref: DataFrame, cand: DataFrame, keys: Sequence[str], facts: KeyFacts | None = None
+) -> DataFrame | None:
+    """Repeated rows, and repeats on the keys, counted on both sides. None: nothing repeats, by what is known already."""
+    if facts is not None and facts.unique:
+        return None
 
     def compared(columns_of, column: str | None, detail: str) -> DataFrame:
         a = duplicate_count(ref, columns_of(ref), "a").select("a")
@@ -221,7 +287,7 @@ def duplicate_differences(ref: DataFrame, cand: DataFrame, keys: Sequence[str])
         )
 
     found = compared(lambda df: df.columns, None, "duplicate row counts differ")
-    usable = [k for k in keys if k in ref.columns and k in cand.columns]
+    usable = _usable(ref, cand, keys)
     if usable:
         by_key = compared(lambda _: usable, ",".join(usable), "duplicate counts on the keys differ")
         found = found.unionByName(by_key)
@@ -373,19 +439,25 @@ def record_check(
     keys: Sequence[str],
     tolerance: float = DEFAULT_TOLERANCE,
     n: int = MAX_SAMPLES,
+    facts: KeyFacts | None = None,
 ) -> tuple[DataFrame | None, DataFrame | None, str]:
     """Sampled and all differences of the record-level check, and what was done. None: the check cannot run.
 
     The strategy depends on the data, so whether the keys are unique (and, without keys, whether
-    the sizes agree) is looked up here, each by a job that returns one value.
+    the sizes agree) is looked up here, each by a job that returns one value. With ``facts`` that is known, and
+    only records of keys in question are joined.
     """
     spark = ref.sparkSession
-    usable = [k for k in keys if k in ref.columns and k in cand.columns]
+    usable = _usable(ref, cand, keys)
     if keys and not usable:
         return None, None, f"keys {list(keys)}: reference has {sorted(set(keys) & set(ref.columns))}, candidate {sorted(set(keys) & set(cand.columns))}"
-    if usable and not (has_duplicates(ref, usable) or has_duplicates(cand, usable)):
-        cells = keyed_cells(ref, cand, usable, tolerance)
+    if usable and (facts.unique if facts else not (has_duplicates(ref, usable) or has_duplicates(cand, usable))):
         told = f"records keyed on {usable} at tolerance {tolerance:g}"
+        if facts and not facts.count:
+            found = literal_rows(spark, DIFFERENCE, [])
+            return found, found, told
+        left, right = (_suspected(side, usable, facts) if facts else side for side in (ref, cand))
+        cells = keyed_cells(left, right, usable, tolerance)
         return keyed_differences(cells, n), all_keyed_differences(cells), told
     strategy = NOT_UNIQUE if usable else NO_KEYS
     a, b = ref.count(), cand.count()
@@ -482,9 +554,9 @@ def compare(
 ) -> Comparison:
     """Run the named checks on two frames.
 
-    Row counts, null counts, checksums and column statistics come from one aggregation per side.
-    The inputs are read again for duplicates and records. Reading files again, a few columns at a
-    time, is cheap; ``cache`` keeps inputs that are costly to compute, on disk where memory ends.
+    Row counts, null counts, checksums and column statistics come from one aggregation per side, duplicates and
+    equal records from one grouping of both sides by key. Only records of keys whose fingerprints differ are read
+    again. ``cache`` keeps inputs that are costly to compute, on disk where memory ends.
     """
     spark = reference.sparkSession
     ref, cand = normalize(reference), normalize(candidate)
@@ -494,6 +566,9 @@ def compare(
     parts: list[DataFrame] = []
     rows: list[tuple[str, bool, str]] = []
     sampled = complete = literal_rows(spark, DIFFERENCE, [])
+    usable = _usable(ref, cand, keys)
+    by_key = usable and ("numeric_tolerance" in checks or "duplicate_counts" in checks)
+    facts = key_facts(ref, cand, usable) if by_key else None
     one_pass = [c for c in dict.fromkeys(checks) if c in ONE_PASS_CHECKS]
     if one_pass and columns:
         both = _side_by_side(ref, cand, columns, portable_checksum)
@@ -506,10 +581,11 @@ def compare(
             parts.append(schema_differences(ref, cand))
             text = f"{len(ref.columns)} reference, {len(cand.columns)} candidate columns"
         elif name == "duplicate_counts":
-            parts.append(duplicate_differences(ref, cand, keys))
+            repeats = duplicate_differences(ref, cand, keys, facts)
+            parts += [repeats] if repeats is not None else []
             text = f"repeats of whole rows of {len(ref.columns)} columns, and of {len(list(keys))} keys"
         elif name == "numeric_tolerance":
-            found, every, text = record_check(ref, cand, keys, tolerance, n)
+            found, every, text = record_check(ref, cand, keys, tolerance, n, facts)
             skipped = found is None
             if found is not None:
                 sampled, complete = found, every

@@ -140,6 +140,24 @@ def test_sorted_alignment_against_brute_force(spark):
     assert got == expected and len(expected) > 10
 
 
+def test_key_facts_name_the_keys_in_question(spark):
+    schema = "k int, u string, v string"
+    rows = [(1, None, "x"), (2, "x", None), (3, "y", "z"), (None, "q", "q"), (5, "a", "b")]
+    other = [(1, "x", None), (2, "x", None), (3, "y", "z"), (None, "q", "w"), (6, "a", "b")]
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    facts = C.key_facts(a, b, ["k"])
+    assert facts.unique and {r["__k0"] for r in facts.suspects.collect()} == {1, None, 5, 6} and facts.count == 4
+    want = sorted(map(str, C.all_keyed_differences(C.keyed_cells(a, b, ["k"])).collect()))
+    got = C.compare(a, b, ["k"], checks=["numeric_tolerance"])
+    assert sorted(map(str, got.all_differences.collect())) == want and len(want) == 5
+    assert C.key_facts(a.union(a), b, ["k"]).repeats == (5, 0)
+    assert C.key_facts(a, a, ["k"]).count == 0
+    assert C.key_facts(a.limit(0), b.limit(0), ["k"]).unique
+    assert C.key_facts(a, b.withColumn("v", F.array("v")), ["k"]) is None
+    wide = b.withColumn("k", F.col("k").cast("bigint"))
+    assert status(C.compare(a, wide, ["k"], checks=["numeric_tolerance"])) == "FAIL"
+
+
 @pytest.mark.parametrize(
     ("left", "right", "close"),
     [

@@ -12,7 +12,8 @@ are many times fewer records than windows, and they are all that is shuffled of
 2. Open records and one partner for each span are resolved window by window, by the method of the caller.
 3. ``removed``: each document gets its repeated windows; what they cover is gone.
 
-A frequent passage meets in packed rows, one for each batch of documents, and never as pairs.
+A frequent passage meets in packed rows, one for each batch of documents, and never as pairs. Rows of one id and text
+share one set of findings, however many they are.
 """
 
 from __future__ import annotations
@@ -90,8 +91,18 @@ def schema_of(fields) -> str:
     return "bucket int, " + ", ".join(f"{name} binary" for name, _ in fields)
 
 
+def combined(rec: Records) -> Records:
+    """One finding for each place of a document, with all that is known of it: equal rows find the same."""
+    order = np.lexsort((rec["at"], rec["key"], rec["id"]))
+    i, k, at = rec["id"][order], rec["key"][order], rec["at"][order]
+    starts, _ = groups((i[1:] != i[:-1]) | (k[1:] != k[:-1]) | (at[1:] != at[:-1]), len(i))
+    states = np.bitwise_or.reduceat(rec["state"][order], starts) if len(starts) else rec["state"]
+    return {**{name: rec[name][order[starts]] for name, _ in TOLD_FIELDS}, "state": states}
+
+
 def told(out: Records, buckets: int) -> pd.DataFrame:
     """What is known of records, packed by the bucket of their document."""
+    out = combined(out)
     return packed(out, (out["key"].astype(np.int64).view(np.uint64) % np.uint64(buckets)).astype(np.int32), TOLD_FIELDS)
 
 
@@ -102,11 +113,11 @@ def assembled(told_rows: DataFrame, buckets: int) -> DataFrame:
         rec = unpacked(batches, TOLD_FIELDS)
         if not len(rec["id"]):
             return
-        order = np.lexsort((rec["key"], rec["id"]))
-        i, k = rec["id"][order], rec["key"][order]
-        found = np.zeros(len(order), FOUND)
+        rec = combined(rec)
+        i, k = rec["id"], rec["key"]
+        found = np.zeros(len(i), FOUND)
         for name in FOUND.names:
-            found[name] = rec[name][order]
+            found[name] = rec[name]
         starts, ends = groups((i[1:] != i[:-1]) | (k[1:] != k[:-1]), len(i))
         states = np.bitwise_or.reduceat(found["state"], starts)
         for at in range(0, len(starts), 10_000):
@@ -151,6 +162,8 @@ def census(rows: DataFrame, anchoring: Anchoring, buckets: int, crowd: int = 1 <
             yield packed(own, (own["name"] % np.uint64(buckets)).astype(np.int32), FIELDS)
             if (kind == 0).any():
                 done = {k: v[kind == 0] for k, v in rec.items()}
+                done = combined({**done, "state": np.full(len(done["name"]), REPEATED, np.uint8)})
+                done["span"] = done["name"]
                 done["many"] = np.full(len(done["name"]), 2, np.uint8)
                 yield packed(done, (done["key"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), FIELDS)
 

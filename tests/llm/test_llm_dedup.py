@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parity.llm import components, forest, recompression, suffixes, words
+from parity.llm import components, forest, recompression, repeats, suffixes, words
 
 
 def nasty(seed):
@@ -164,3 +164,17 @@ def test_large_ids_beside_null_ones_lose_no_document(spark):
     assert data.counted((r.doc_id,) for r in forest.one_of_each(docs).collect()) == data.counted((i,) for i in ids)
     named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     assert forest.one_of_each(named).count() == len(ids)
+
+
+def test_findings_of_equal_rows_are_shared(spark):
+    """Copies under one id: every row is repeated as a whole, and its findings do not grow with the copies."""
+    text = " ".join(f"w{i}" for i in range(300))
+    sizes = {}
+    for copies in (3, 300):
+        rows = repeats.rows_of(data.frame(spark, [(None, text)] * copies).repartition(5), "doc_id", "text")
+        found = repeats.by_document(repeats.census(rows, recompression.anchoring(35), 4)).collect()
+        assert len(found) == 1
+        sizes[copies] = sum(map(len, found[0]["found"]))
+    assert sizes[3] == sizes[300] > 0
+    out = recompression.deduplicated(data.frame(spark, [(None, text)] * 300).repartition(5)).collect()
+    assert len(out) == 300 and {r["n_removed"] for r in out} == {300}

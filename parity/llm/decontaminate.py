@@ -106,7 +106,8 @@ def occurrences(
     broadcast_rows: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(verified windows: id, key, at, n, gram; the windows of each item: item, gram, n)."""
-    shingle = min(shingle, window)
+    # the first and the last shingle are verified, so together they must reach over the whole window
+    shingle = max(min(shingle, window), -(-window // 2))
     grams = benchmark_windows(items, item_id, text, window)
     parts = window_shingles(grams, shingle).checkpoint()
     wanted = parts.select("h", "size").distinct()

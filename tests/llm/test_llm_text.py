@@ -259,14 +259,14 @@ def test_policies_and_ablations(spark):
 # ---- contamination
 
 
-def contaminated(rows, items):
+def contaminated(rows, items, window=10):
     def cut(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
     grams = {}
     for i, t in items:
         w = cut(t)
-        n = min(10, len(w))
+        n = min(window, len(w))
         for k in range(len(w) - n + 1) if n else ():
             grams.setdefault(tuple(w[k : k + n]), set()).add(str(i))
     out = []
@@ -282,7 +282,7 @@ def contaminated(rows, items):
     return data.counted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"shingle": 3}, {"window": 4, "shingle": 9}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"shingle": 3}, {"window": 4, "shingle": 9}, {"window": 20, "shingle": 5}])
 def test_contamination(spark, options):
     rng = random.Random(3)
     stock = [f"w{i}" for i in range(12)]
@@ -291,16 +291,19 @@ def test_contamination(spark, options):
     rows = data.awkward()[:-8]
     rows += [(100 + i, f"{data.prose(rng, rng.randrange(40), stock)}. {rng.choice(items)[1] or ''}, x") for i in range(60)]
     rows += [(200, "a É straße abc b"), (201, "é STRASSE abc"), (200, "a É straße abc b")]
+    long_item = data.prose(rng, 20, [f"u{i}" for i in range(400)])
+    items.append((40, long_item))
+    rows += [(300, long_item), (301, " ".join("other" if k in (9, 10) else w for k, w in enumerate(long_item.split())))]
     bench = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 AS words", "2 AS gram")
     docs = data.frame(spark, rows).repartition(3)
     got = decontaminate.report(docs, bench, **options).collect()
     got = data.counted((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got)
-    if options.get("window", 10) == 10:
-        assert got == contaminated(rows, items)
-        kept = decontaminate.clean(docs, bench, **options)
-        assert kept.columns == docs.columns
-        clean = [r for r in contaminated(rows, items).elements() if not r[5]]
-        assert data.counted((r.doc_id,) for r in kept.collect()) == data.counted((r[0],) for r in clean)
+    expected = contaminated(rows, items, options.get("window", 10))
+    assert got == expected
+    kept = decontaminate.clean(docs, bench, **options)
+    assert kept.columns == docs.columns
+    clean = [r for r in expected.elements() if not r[5]]
+    assert data.counted((r.doc_id,) for r in kept.collect()) == data.counted((r[0],) for r in clean)
 
 
 def test_contamination_of_empty_tables(spark):

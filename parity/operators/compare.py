@@ -30,7 +30,6 @@ from parity.operators.align import BLOCK, aligned
 from parity.operators.skew import BROADCAST_LIMIT_ROWS, broadcastable
 from parity.operators.stats import (
     column_stats,
-    distinct_counts,
     duplicate_count,
     has_duplicates,
     literal_rows,
@@ -205,9 +204,17 @@ def distinct_differences(ref: DataFrame, cand: DataFrame, columns: Sequence[str]
     ]
     if not others:
         return None
-    a = distinct_counts(ref, others).withColumnRenamed("distinct_count", "a")
-    b = distinct_counts(cand, others).withColumnRenamed("distinct_count", "b")
-    counts = a.join(b, "column", "full").fillna(0, ["a", "b"])
+    names = ", ".join(literal_sql(c) for c in others)
+
+    def cells(df: DataFrame, flags: Sequence[str]) -> DataFrame:
+        values = (f"struct({i} AS ordinal, {text_sql(quoted(c), df.schema[c].dataType)} AS value)" for i, c in enumerate(others))
+        return df.selectExpr(f"inline(array({', '.join(values)}))").filter("value IS NOT NULL").selectExpr("*", *flags)
+
+    # a value of both sides is one row of the shuffle
+    met = cells(ref, ("1 AS a", "0 AS b")).unionByName(cells(cand, ("0 AS a", "1 AS b")))
+    values = met.groupBy("ordinal", "value").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    sums = values.groupBy("ordinal").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = sums.selectExpr(f"array({names})[ordinal] AS column", "a", "b")
     return _rows(
         counts.filter("a != b"), "column_statistics", F.col("column"), F.lit(None), F.col("a"), F.col("b"),
         F.concat_ws(" ", F.lit("distinct values:"), F.col("a"), F.lit("against"), F.col("b")),
@@ -218,7 +225,7 @@ def distinct_differences(ref: DataFrame, cand: DataFrame, columns: Sequence[str]
 class KeyFacts:
     """What the keys of both sides say: repeats on the keys, and the keys whose records need a look.
 
-    A key outside ``suspects`` is there once on each side, with equal records.
+    A key outside ``suspects`` is there once on each side, with records that agree.
     """
 
     repeats: tuple[int, int]
@@ -230,44 +237,56 @@ class KeyFacts:
         return self.repeats == (0, 0)
 
 
-def key_facts(ref: DataFrame, cand: DataFrame, keys: Sequence[str]) -> KeyFacts | None:
-    """One grouping of both sides by key, in which equal records cancel out.
+def key_facts(
+    ref: DataFrame, cand: DataFrame, keys: Sequence[str], tolerance: float = DEFAULT_TOLERANCE
+) -> KeyFacts | None:
+    """One grouping of both sides by key, in which records that agree cancel out.
 
     The fingerprints of a key's records (128 bits, missing values marked) are combined by exclusive or, so a key
-    with one record a side has zero if the records are equal. Counts and fingerprints combine before the shuffle.
-    None where the types of the sides differ or a value is nested.
+    with one record a side has zero if the records are equal. Fractional columns are not part of the fingerprint:
+    with one record a side their least and greatest value are the two to hold against each other, and the tolerance
+    is the same in either direction. All of it combines before the shuffle. None where the types of the sides differ
+    or a value is nested.
     """
     columns = _shared(ref, cand)
     types = [ref.schema[c].dataType for c in columns]
     nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
     if types != [cand.schema[c].dataType for c in columns] or any(isinstance(t, nested) for t in types):
         return None
-    values = [quoted(c) for c in columns if c not in keys] or ["0"]
+    values = [c for c in columns if c not in keys]
+    fractions = [c for c in values if isinstance(ref.schema[c].dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
     # the hash passes over missing values, so where they are is hashed too
-    marked = ", ".join([*values, *[f"{v} IS NULL" for v in values]])
+    marked = ["0", *[quoted(c) for c in values if c not in fractions], *[f"{quoted(c)} IS NULL" for c in values]]
 
     def side(df: DataFrame, n: int) -> DataFrame:
-        hashes = [f"xxhash64({seed}, {marked}) AS __h{seed}" for seed in (1, 2)]
+        hashes = [f"xxhash64({seed}, {', '.join(marked)}) AS __h{seed}" for seed in (1, 2)]
         named = [f"{quoted(k)} AS __k{i}" for i, k in enumerate(keys)]
-        return df.selectExpr(*named, f"{1 - n} AS __r", f"{n} AS __c", *hashes)
+        near = [f"{double_sql(quoted(c), ref.schema[c].dataType)} AS __v{i}" for i, c in enumerate(fractions)]
+        return df.selectExpr(*named, f"{1 - n} AS __r", f"{n} AS __c", *hashes, *near)
 
     names = [f"__k{i}" for i in range(len(keys))]
     met = side(ref, 0).unionByName(side(cand, 1)).groupBy(*names)
-    counted = met.agg(*[F.sum(x).alias(x) for x in ("__r", "__c")], *[F.bit_xor(x).alias(x) for x in ("__h1", "__h2")])
-    suspects = pinned(counted.filter("__r <> 1 OR __c <> 1 OR __h1 <> 0 OR __h2 <> 0").select(*names, "__r", "__c"))
+    counted = met.agg(
+        *[F.sum(x).alias(x) for x in ("__r", "__c")], *[F.bit_xor(x).alias(x) for x in ("__h1", "__h2")],
+        *[f(f"__v{i}").alias(f"__{n}{i}") for i in range(len(fractions)) for n, f in (("low", F.min), ("high", F.max))],
+    )
+    apart = [f"NOT ({within_tolerance(f'__low{i}', f'__high{i}', tolerance)})" for i in range(len(fractions))]
+    asked = " OR ".join(["__r <> 1", "__c <> 1", "__h1 <> 0", "__h2 <> 0", *apart])
+    suspects = pinned(counted.filter(asked).select(*names, "__r", "__c"))
     row = suspects.agg(
         F.count(F.lit(1)), *[F.coalesce(F.sum(F.greatest(F.col(x) - 1, F.lit(0))), F.lit(0)) for x in ("__r", "__c")]
     ).first()
     return KeyFacts((row[1], row[2]), suspects, row[0])
 
 
-def _suspected(df: DataFrame, keys: Sequence[str], facts: KeyFacts) -> DataFrame:
-    """The records of the keys that need a look."""
+def _suspected(ref: DataFrame, cand: DataFrame, keys: Sequence[str], facts: KeyFacts) -> list[DataFrame]:
+    """The records of the keys that need a look. Too many keys for a broadcast: all records, since picking some would
+    shuffle them all by key, as their join does."""
     marks = facts.suspects.drop("__r", "__c")
-    if facts.count <= BROADCAST_LIMIT_ROWS and broadcastable(marks):
-        marks = F.broadcast(marks)
+    if facts.count > BROADCAST_LIMIT_ROWS or not broadcastable(marks):
+        return [ref, cand]
     on = " AND ".join(f"{quoted(k)} <=> __k{i}" for i, k in enumerate(keys))
-    return df.join(marks, F.expr(on), "left_semi")
+    return [df.join(F.broadcast(marks), F.expr(on), "left_semi") for df in (ref, cand)]
 
 
 def duplicate_differences(
@@ -456,7 +475,7 @@ def record_check(
         if facts and not facts.count:
             found = literal_rows(spark, DIFFERENCE, [])
             return found, found, told
-        left, right = (_suspected(side, usable, facts) if facts else side for side in (ref, cand))
+        left, right = _suspected(ref, cand, usable, facts) if facts else (ref, cand)
         cells = keyed_cells(left, right, usable, tolerance)
         return keyed_differences(cells, n), all_keyed_differences(cells), told
     strategy = NOT_UNIQUE if usable else NO_KEYS
@@ -568,7 +587,7 @@ def compare(
     sampled = complete = literal_rows(spark, DIFFERENCE, [])
     usable = _usable(ref, cand, keys)
     by_key = usable and ("numeric_tolerance" in checks or "duplicate_counts" in checks)
-    facts = key_facts(ref, cand, usable) if by_key else None
+    facts = key_facts(ref, cand, usable, tolerance) if by_key else None
     one_pass = [c for c in dict.fromkeys(checks) if c in ONE_PASS_CHECKS]
     if one_pass and columns:
         both = _side_by_side(ref, cand, columns, portable_checksum)

@@ -158,6 +158,19 @@ def test_key_facts_name_the_keys_in_question(spark):
     assert status(C.compare(a, wide, ["k"], checks=["numeric_tolerance"])) == "FAIL"
 
 
+def test_fractions_are_held_against_each_other_by_key(spark):
+    rows = "(1, 100D, 1.00, 'a'), (2, 0D, 2.00, 'b'), (3, NULL, 3.00, 'c'), (4, 4D, NULL, 'd'), (5, -5D, 5.00, NULL)"
+    a = spark.sql(f"SELECT * FROM VALUES {rows} AS t(k, v, w, t)")
+    noisy = a.withColumn("v", F.col("v") * (1 + 1e-13))
+    assert C.key_facts(a, noisy, ["k"]).count == 0
+    moved = a.withColumns({"v": F.when(F.col("k") == 3, 0.0).when(F.col("k") == 5, 5.0).otherwise(F.col("v"))})
+    assert {r["__k0"] for r in C.key_facts(a, moved, ["k"]).suspects.collect()} == {3, 5}
+    for other in (noisy, moved, a.withColumn("w", F.lit(1).cast("decimal(10,2)"))):
+        want = sorted(map(str, C.all_keyed_differences(C.keyed_cells(a, other, ["k"])).collect()))
+        got = C.compare(a, other, ["k"], checks=["numeric_tolerance"]).all_differences
+        assert sorted(map(str, got.collect())) == want
+
+
 @pytest.mark.parametrize(
     ("left", "right", "close"),
     [

@@ -20,6 +20,9 @@ def _with_text(df: DataFrame, column: str) -> DataFrame:
 
 # --- record files -----------------------------------------------------------------------------------
 
+#: Documents in a compressed file of the corpus: such a file is read by one task.
+_DOCUMENTS = 20_000
+
 
 @query(
     "scan_records",
@@ -37,8 +40,9 @@ def scan_records(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.to_json(F.struct(*[c for c in records.columns if c != "modified_at"]))
     cut = F.expr("substring(doc, 1, length(doc) div 2)")
     documents = records.select(whole.alias("doc"), k.alias("k"))
-    documents.select(F.when(F.col("k") % 50 == 0, cut).otherwise(F.col("doc"))).write.text(path)
-    found = facts.scan_records(spark, path, limit=None, pattern="*.txt", lines=True)
+    shown = documents.select(F.when(F.col("k") % 50 == 0, cut).otherwise(F.col("doc")))
+    shown.write.option("maxRecordsPerFile", _DOCUMENTS).text(path, compression="gzip")
+    found = facts.scan_records(spark, path, limit=None, pattern="*.txt.gz", lines=True)
     return found.select(
         F.when(F.col("readable"), F.col("migration_id")).alias("migration_id"),
         F.when(F.col("readable"), facts.validation_status()).alias("status"),

@@ -73,8 +73,8 @@ def newest_records(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.when(F.col("k") % 50 == 0, F.expr("substring(doc, 1, length(doc) div 2)")).otherwise(F.col("doc"))
     for batch in range(_BATCHES):
         rows = documents.filter(F.col("k") % _BATCHES == batch).select(cut.alias("doc"))
-        rows.repartition(_FILES).write.text(f"{path}/batch-{batch}")
-    found = facts.scan_records(spark, path, limit=_NEWEST, pattern="batch-*/*.txt", lines=True)
+        rows.repartition(_FILES).write.text(f"{path}/batch-{batch}", compression="gzip")
+    found = facts.scan_records(spark, path, limit=_NEWEST, pattern="batch-*/*.txt.gz", lines=True)
     return found.select(
         F.when(F.col("readable"), F.col("migration_id")).alias("migration_id"),
         F.when(F.col("readable"), facts.validation_status()).alias("status"),

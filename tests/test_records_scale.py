@@ -35,6 +35,7 @@ def test_record_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(record_queries, "_DOCUMENTS", 100, raising=False)
     for name, query, kept in (
         ("records", record_queries.scan_records, range(1, 601)),
+        ("newest", record_queries.newest_records, [k for k in range(1, 601) if k % 6 >= 4]),
     ):
         got = query(spark, str(tmp_path)).collect()
         assert sorted(r.migration_id for r in got if r.readable) == sorted(f"m{k}" for k in kept if k % 50)

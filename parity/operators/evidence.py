@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parity.operators.bench import array_speedup
 from parity.operators.quantiles import MEDIAN, order_statistics
 from parity.operators.windows import drop_duplicates
+from parity.session import pinned
 from parity.sources.records import (
     explode_optimizations,
     explode_repairs,
@@ -71,6 +72,10 @@ def optimization_attempts(records: DataFrame) -> DataFrame:
 def evidence(attempts: DataFrame, key: str = "key", min_support: int = MIN_SUPPORT) -> DataFrame:
     """``key, attempts, successes, migrations, rate, discouraged`` per strategy, and with speedups
     ``speedups, median_speedup, median_predicted, optimism``."""
+    measured = "speedup" in attempts.columns
+    if measured:
+        # exact medians read the attempts a number of times, and behind them lies the deduplication of whole records
+        attempts = pinned(attempts)
     n = F.count(F.lit(1))
     grouped = attempts.groupBy(key).agg(
         n.alias("attempts"),
@@ -78,7 +83,7 @@ def evidence(attempts: DataFrame, key: str = "key", min_support: int = MIN_SUPPO
         F.count_distinct("migration_id").alias("migrations"),
     )
     rated = with_rates(grouped, min_support)
-    if "speedup" not in attempts.columns:
+    if not measured:
         return rated
     for column, count, median in (
         ("speedup", "speedups", "median_speedup"),

@@ -3,7 +3,9 @@
 import datetime
 import os
 
-from parity.operators import delivery
+from pyspark.sql import functions as F
+
+from parity.operators import delivery, evidence
 from parity.plans import record_queries
 from parity.session import apply_defaults
 
@@ -44,3 +46,18 @@ def test_record_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
         # over 2,000 bytes a record as plain text
         assert sum(map(os.path.getsize, files)) < 600 * 600
         assert len(files) >= 6
+
+
+def test_evidence_computes_the_attempts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measured(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([("a", f"m{i}", True, float(i), 1.0) for i in range(5)], "key string, migration_id string, success boolean, x double, predicted double")
+    attempts = rows.select("key", "migration_id", "success", measured.asNondeterministic()("x").alias("speedup"), "predicted")
+    row = evidence.evidence(attempts).first()
+    assert (row.attempts, row.migrations, row.speedups, row.median_speedup, row.optimism) == (5, 5, 5, 2.0, -1.0)
+    assert seen.value == 5

@@ -1,10 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training takes a bounded, hash-chosen sample of labelled documents for each language (``per_language`` documents, a
-documented bound: the model has a fixed number of parameters). N-gram counts of the sample are summed by Spark and
-become a matrix of log probabilities, ``buckets`` x languages float32, which is what is broadcast: its size follows
-from these two numbers and not from the corpus. Scoring reads every whole text once, in slices of a bounded number of
-characters: hashed n-grams index the matrix and their rows are summed by document.
+Training counts the n-grams of every labelled document that is not held out. Spark sums the counts, which become a
+matrix of log probabilities, ``buckets`` x languages float32, which is what is broadcast: its size follows from these
+two numbers and not from the corpus. Scoring reads every whole text once, in slices of a bounded number of characters:
+hashed n-grams index the matrix and their rows are summed by document. Only a caller who gives ``per_language`` gets a
+hash-chosen sample of about so many documents of each language instead of all.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text when nothing was
 learned (an empty table, no labels). Ties go to the language first in order. Training skips rows whose id, text or
@@ -12,7 +12,7 @@ language is null. Only the text enters a prediction. Repeated rows and extra col
 
 The score compares the learned languages with each other and says nothing of other languages and noise. ``accepted``
 therefore also holds the mean log probability of a text's n-grams, in lower case and without marks and digits, against
-the range of labelled texts of the same language (a sample bounded in the same way, of all folds).
+the range of labelled texts of the same language: exact ranks over all of them, of all folds.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parity.operators.quantiles import order_statistics
+from parity.session import pinned
+
 UNKNOWN = "und"
 #: Characters handled at a time; bounds the memory of a slice whatever the length of a text.
 SLICE = 1 << 18
@@ -34,6 +37,18 @@ SLICE = 1 << 18
 RANGE, ROOM = 3.0, 1.0
 #: Means of few n-grams vary: so much more room, over the square root of their number.
 FEW = 8.0
+
+
+def _rank(share: float):
+    """The least value that ``share`` of the values, or more, do not exceed."""
+
+    def at(n: Column) -> Column:
+        return F.greatest(F.ceil(n * share), F.lit(1)) - 1
+
+    return share, at, at
+
+
+RANKS = {"middle": _rank(0.5), "low": _rank(0.01)}
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -136,8 +151,10 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows of each language by a hash of the id; columns lang and text."""
+def sample(labelled: DataFrame, per_language: int | None) -> DataFrame:
+    """Columns lang and text of all rows or, if a number is given, of about so many of each language by a hash of the id."""
+    if per_language is None:
+        return labelled.select("lang", "text")
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     whole = F.lit(1 << 31)
     return (
@@ -158,11 +175,11 @@ def train(
     text: str = "text",
     lang: str = "lang",
     buckets: int = 1 << 16,
-    per_language: int = 5000,
+    per_language: int | None = None,
     smoothing: float = 0.5,
     held_out: Column | None = None,
 ) -> Model:
-    """Learn from at most about ``per_language`` documents of each language, chosen by a hash of the id."""
+    """Learn from every labelled document that is not held out (of about ``per_language`` of each language, if given)."""
     held_out = fold(F.col(doc_id)) == 1 if held_out is None else held_out
     chosen = sample(labelled_rows(docs.where(~held_out), doc_id, text, lang), per_language)
 
@@ -234,7 +251,9 @@ def means(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     return like.argmax(axis=1), like.max(axis=1) / n, n
 
 
-def floors(docs: DataFrame, model: Model, doc_id: str, text: str, lang: str, per_language: int = 5000) -> np.ndarray:
+def floors(
+    docs: DataFrame, model: Model, doc_id: str, text: str, lang: str, per_language: int | None = None
+) -> np.ndarray:
     """The least mean log probability of each language of the model; of the lowest one where no text had it as its best."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -246,10 +265,11 @@ def floors(docs: DataFrame, model: Model, doc_id: str, text: str, lang: str, per
                 yield pd.DataFrame({"best": best, "mean": mean})
 
     seen = sample(labelled_rows(docs, doc_id, text, lang), per_language).mapInPandas(measured, "best bigint, mean double")
-    ranges = seen.groupBy("best").agg(F.percentile_approx("mean", [0.5, 0.01], 10000).alias("q"))
+    # two numbers a text, read several times: not to be measured again
+    ranges = order_statistics(pinned(seen), ["best"], "mean", RANKS)
     out = np.full(len(model.languages), np.nan)
     for row in ranges.toLocalIterator():  # a row a language
-        middle, low = row["q"]
+        middle, low = row["middle"], row["low"]
         out[row["best"]] = middle - max(RANGE * (middle - low), ROOM)
     return np.where(np.isnan(out), np.nanmin(out), out) if not np.isnan(out).all() else np.full(len(out), -np.inf)
 

@@ -16,6 +16,8 @@ from parity.session import scratch_path
 BUDGET = 0.9
 #: Documents under this probability of their language are rejected.
 LEAST_SCORE = 0.5
+#: What a worker remembers of pieces: the workers of the stages before are still there, and each comes to encode.
+KEPT_BYTES = 32 << 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_bytes=KEPT_BYTES)
 
 
 STAGES = [

@@ -35,8 +35,13 @@ class PieceEncoder:
         tokens = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(tokens.values()) + 1, bool)
         self.spaced[[i for t, i in tokens.items() if t[0] in "ĠĊ"]] = True
+        #: Bytes of remembered pieces; KEPT_BYTES if not set.
+        self.kept_bytes: int | None = None
         self._forget()
 
+    def _most(self) -> int:
+        return KEPT_BYTES if self.kept_bytes is None else self.kept_bytes
+
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -52,7 +57,7 @@ class PieceEncoder:
         entry = np.fromiter(self.index.values(), np.int64, len(names))
         order = np.argsort(-met[entry], kind="stable")
         sizes = ENTRY_BYTES + np.array([2 * len(names[k]) for k in order.tolist()]) + 4 * self.lengths[entry[order]]
-        order = order[(met[entry[order]] > 1) & (np.cumsum(sizes) < KEPT_BYTES // 2)]
+        order = order[(met[entry[order]] > 1) & (np.cumsum(sizes) < self._most() // 2)]
         kept = entry[order]
         flat, lengths, seen = self._gathered(kept), self.lengths[kept], met[kept] // 2
         self._forget()
@@ -101,7 +106,7 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array | list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); ``end`` is put after each text."""
-        if self.bytes > KEPT_BYTES:
+        if self.bytes > self._most():
             self._forget_rare()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         whole = np.zeros(len(texts), bool)
@@ -135,8 +140,9 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One for each worker process and tokenizer."""
+def encoder(path: str, kept_bytes: int | None = None) -> PieceEncoder:
+    """One for each worker process and tokenizer; it goes on with the bound of the last caller."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
+    _ENCODERS[path].kept_bytes = kept_bytes
     return _ENCODERS[path]

@@ -205,9 +205,11 @@ def write_shards(
     end: int | None = 2,
     shard_bytes: int = 32 << 20,
     width: int = 2,
+    kept_bytes: int | None = None,
 ) -> DataFrame:
     """Encode and write; returns one row a shard (SHARDS), already written. ``tokenizer`` is the path of a vocabulary
-    file that every executor can read, ``width`` the bytes of an id."""
+    file that every executor can read, ``width`` the bytes of an id, ``kept_bytes`` what a worker may remember of pieces
+    (by itself ``pieces.KEPT_BYTES``); less takes more time and gives the same ids."""
     if width not in (2, 4):
         raise ValueError("an id takes 2 or 4 bytes")
     kind_of_id = docs.schema[doc_id].dataType.simpleString()
@@ -232,7 +234,7 @@ def write_shards(
 
         def payload(stream) -> None:
             nonlocal unnamed
-            model = encoder(tokenizer)
+            model = encoder(tokenizer, kept_bytes)
             for batch in batches:
                 # an id stays an integer: a null one is counted, not marked by a value
                 unnamed += batch.column("id").null_count

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parity.llm import decontaminate, language
+from parity.llm import decontaminate, language, pieces, tokens
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
 
 def _texts(spark, n):
     words = "the house stands near river and bread lies upon table while people walk".split()
@@ -45,3 +47,14 @@ def test_word_counts_by_splitting(spark):
     report = decontaminate.report(df, df.limit(0), "i", item_id="i")
     assert "regexp_count" not in report._jdf.queryExecution().optimizedPlan().toString()
     assert {r.i: r.n_words for r in report.collect()} == got
+
+
+def test_a_smaller_memory_of_pieces_gives_the_same_ids(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(40)], "doc_id bigint, text string")
+    whole = sorted(tuple(r) for r in tokens.encoded(docs, path).collect())
+    assert sorted(tuple(r) for r in tokens.encoded(docs, path, kept_bytes=20_000).collect()) == whole
+    model = pieces.encoder(path, 20_000)
+    for i in range(20):
+        model.encode([" ".join(f"v{i}y{k}" for k in range(100))])
+        assert model.bytes < 20_000 + 100 * 300
